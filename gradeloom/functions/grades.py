@@ -30,24 +30,22 @@ NUMBER = r"([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?)"
 
 
 def _labelled(grade: Column, labels: dict[str, int], otherwise: Column) -> Column:
-    result = None
-    for label, value in labels.items():
-        test = grade == label
-        hit = F.lit(float(value))
-        result = F.when(test, hit) if result is None else result.when(test, hit)
-    return result.otherwise(otherwise)
+    """Value of the label, else ``otherwise``. A map keeps the expression small
+    when the optimizer copies it into pushed-down filters."""
+    table = F.create_map(*(F.lit(x) for label, value in labels.items() for x in (label, float(value))))
+    return F.coalesce(F.try_element_at(table, grade), otherwise)
 
 
 def numeric_grade(grade: Column) -> Column:
     """The text as a number, NULL when it is anything but a plain number."""
-    return F.when(grade.rlike(f"^ *{NUMBER} *$"), grade.try_cast("double"))
+    return F.regexp_extract(grade, f"^ *{NUMBER} *$", 1).try_cast("double")
 
 
 def whole_grade(grade: Column) -> Column:
     """Lenient whole-number cast: leading number rounded half up, else 0."""
     leading = F.regexp_extract(grade, f"^ *{NUMBER}", 1)
     number = leading.try_cast("double").try_cast("decimal(10,0)").cast("double")
-    return F.when(grade.isNotNull(), F.coalesce(number, F.lit(0.0)))
+    return F.coalesce(number, F.when(grade.isNotNull(), F.lit(0.0)))
 
 
 def scale_a(grade: Column) -> Column:

@@ -14,8 +14,12 @@ def matches(column: Column, pattern: str) -> Column:
     """LIKE with ``pattern`` as given. A NULL column never matches, even ``%``.
 
     A backslash that escapes neither wildcard nor itself is taken literally.
+    Runs of ``%`` mean one, and ``%`` alone is a test for NULL that the scan
+    can apply.
     """
-    return column.like(re.sub(r"\\(\\|[%_])|\\", lambda m: m[0] if m[1] else r"\\", pattern))
+    parts = re.findall(r"\\[\\%_]|%+|.", pattern, flags=re.DOTALL)
+    clean = "".join("%" if p[0] == "%" else r"\\" if p == "\\" else p for p in parts)
+    return column.isNotNull() if clean == "%" else column.like(clean)
 
 
 def contains(column: Column, text: str) -> Column:

@@ -79,9 +79,9 @@ def engineered_steps(train: DataFrame) -> tuple[list, list[str], str]:
 
 def cluster_centres(train: DataFrame, column: str, k: int = CLUSTERS, seed: int = 42) -> list[float]:
     """Centres of a k-means over one column, ascending."""
-    rows = VectorAssembler(inputCols=[column], outputCol="point").transform(
-        train.groupBy(column).agg(F.sum(WEIGHT).cast("double").alias(WEIGHT))
-    )
+    # Distinct values in order: the seeded start depends on the order of the rows.
+    values = train.groupBy(column).agg(F.sum(WEIGHT).cast("double").alias(WEIGHT)).orderBy(column)
+    rows = VectorAssembler(inputCols=[column], outputCol="point").transform(values)
     model = KMeans(k=k, seed=seed, featuresCol="point", weightCol=WEIGHT).fit(rows)
     return sorted(float(c[0]) for c in model.clusterCenters())
 
@@ -121,19 +121,18 @@ def _scaled(steps: list, train: DataFrame, names: Sequence[str]) -> list:
 def elastic_net(rows: DataFrame, label: str, alpha: float, ratio: float) -> LinearRegression:
     """Elastic net minimising 1/(2n)|y-Xw|^2 + alpha*ratio*|w|_1 + alpha*(1-ratio)/2*|w|^2.
 
-    MLlib scales the quadratic penalty by the label's deviation, so that part
-    is multiplied by it beforehand.
+    The ``normal`` solver reads the rows once for their cross products and
+    iterates on those. It scales the quadratic penalty by the label's
+    population deviation, so that part is multiplied by it beforehand.
     """
     w, y = F.col(WEIGHT).cast("double"), F.col(label)
-    s = rows.agg(
-        F.sum(w).alias("n"), F.sum(w * w).alias("n2"), F.sum(w * y).alias("y"), F.sum(w * y * y).alias("yy")
-    ).first()
-    variance = max(s["yy"] - s["y"] ** 2 / s["n"], 0.0) / max(s["n"] - s["n2"] / s["n"], 1e-300)
+    s = rows.agg(F.sum(w).alias("n"), F.sum(w * y).alias("y"), F.sum(w * y * y).alias("yy")).first()
+    variance = max(s["yy"] / s["n"] - (s["y"] / s["n"]) ** 2, 0.0)
     l1, l2 = alpha * ratio, alpha * (1 - ratio) * variance**0.5
     total = l1 + l2
     return LinearRegression(
-        featuresCol="features", labelCol=label, weightCol=WEIGHT, solver="l-bfgs", standardization=False,
-        regParam=total, elasticNetParam=l1 / total if total else 0.0, maxIter=1000, tol=1e-12,
+        featuresCol="features", labelCol=label, weightCol=WEIGHT, solver="normal", standardization=False,
+        regParam=total, elasticNetParam=l1 / total if total else 0.0, maxIter=10_000, tol=1e-14,
     )
 
 

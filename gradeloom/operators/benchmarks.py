@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.grades import scale_a
 from ..functions.predicates import contains, matches
 from ..functions.text import short_subject
+from ..session import materialise
 
 _CELL = ["course_name", "class_id", "major"]
 
@@ -22,31 +23,27 @@ _CELL = ["course_name", "class_id", "major"]
 def _cells(scored: DataFrame) -> DataFrame:
     """Benchmark weights per (course, class, major).
 
-    One aggregate over the enrolments; the class and the major totals are
-    rollups of its small result.
+    One aggregate over the enrolments. The class and the major totals are
+    windows over its result, which has one row per cell.
     """
     cell = scored.groupBy(*_CELL).agg(
         F.sum("score").alias("s"), F.count("score").alias("c"), F.count(F.lit(1)).alias("n")
     )
 
-    def total(key: str, tag: str) -> DataFrame:
-        keyed = cell.where(F.col("course_name").isNotNull() & F.col(key).isNotNull())
-        sums = [F.sum(x).alias(f"{tag}_{x}") for x in "scn"]
-        return keyed.groupBy("course_name", key).agg(*sums)
+    def total(part: str, key: str) -> Column:
+        known = F.col("course_name").isNotNull() & F.col(key).isNotNull()
+        return F.when(known, F.sum(part).over(Window.partitionBy("course_name", key))).cast("double")
 
-    joined = cell.select(*_CELL).join(total("class_id", "k"), ["course_name", "class_id"], "left")
-    joined = joined.join(total("major", "m"), ["course_name", "major"], "left")
+    def weighted(part: str, key: str, other: str) -> Column:
+        rows = F.coalesce(total("n", other), F.lit(1.0))
+        return F.coalesce(total(part, key), F.lit(0.0)) * rows
 
-    def weighted(part: str, by: str) -> Column:
-        rows = F.coalesce(F.col(f"{by}_n"), F.lit(1)).cast("double")
-        return F.coalesce(F.col(part), F.lit(0)).cast("double") * rows
-
-    return joined.select(
+    return cell.select(
         *_CELL,
-        weighted("k_s", "m").alias("class_sum"),
-        weighted("k_c", "m").alias("class_rows"),
-        weighted("m_s", "k").alias("major_sum"),
-        weighted("m_c", "k").alias("major_rows"),
+        weighted("s", "class_id", "major").alias("class_sum"),
+        weighted("c", "class_id", "major").alias("class_rows"),
+        weighted("s", "major", "class_id").alias("major_sum"),
+        weighted("c", "major", "class_id").alias("major_rows"),
     )
 
 
@@ -70,18 +67,17 @@ def home_scores(
         & contains(F.col("academic_year"), academic_year)
         & matches(F.col("student_id"), student)
     )
-    own = chosen.groupBy(*keys, "class_id", "major").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    cells = _cells(scored)
+    own = chosen.select(*keys, *(c for c in _CELL if c not in keys))
+    cells = materialise(_cells(scored))
     same = F.lit(True)
     for c in _CELL:
         same = same & own[c].eqNullSafe(cells[c])
-    joined = own.join(cells, same).select(*(own[c] for c in keys), "w", *cells.columns[3:])
+    joined = own.join(cells, same).select(*(own[c] for c in keys), *cells.columns[len(_CELL):])
 
     def mean(part: str) -> Column:
-        total = F.sum(F.col("w") * F.col(f"{part}_sum"))
-        return F.try_divide(total, F.sum(F.col("w") * F.col(f"{part}_rows")))
+        return F.try_divide(F.sum(f"{part}_sum"), F.sum(f"{part}_rows")).alias(f"{part}_mean")
 
-    means = joined.groupBy(*keys).agg(mean("class").alias("class_mean"), mean("major").alias("major_mean"))
+    means = joined.groupBy(*keys).agg(mean("class"), mean("major"))
     return means.select(*keys, scale_a(F.col("grade_text")).alias("personal"), "class_mean", "major_mean")
 
 

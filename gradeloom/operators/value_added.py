@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.grades import scale_a
+from ..session import materialise
+from .cohort import exact_sum
 from .distribution import select_enrollments
 from .ordering import sequence_slope
 
@@ -39,12 +41,13 @@ def semester_gpa_residuals(enrollment: DataFrame, student: DataFrame) -> DataFra
     """
     term = ["academic_year", "semester"]
     profile = student.select("student_id", "class_id", "major")
-    sums = [F.sum("credit_point").alias("points"), F.sum("credit").alias("credits")]
-    own = enrollment.groupBy("student_id", *term).agg(*sums).join(profile, "student_id")
+    sums = [exact_sum("credit_point").alias("points"), exact_sum("credit").alias("credits")]
+    # Read three times below, and far smaller than the enrolments.
+    own = materialise(enrollment.groupBy("student_id", *term).agg(*sums).join(profile, "student_id"))
 
     def group_gpa(key: str, name: str) -> DataFrame:
         totals = own.where(F.col(key).isNotNull()).groupBy(*term, key)
-        return totals.agg(F.try_divide(F.sum("points"), F.sum("credits")).alias(name))
+        return totals.agg(F.try_divide(exact_sum("points"), exact_sum("credits")).alias(name))
 
     joined = own.join(group_gpa("class_id", "class_gpa"), [*term, "class_id"], "left").join(
         group_gpa("major", "major_gpa"), [*term, "major"], "left"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.grades import BIN_LABELS, indicator, scale_a, scale_b, scale_c, score_bin, stretch_above
 from ..ml import models, training
 from ..operators import audit, benchmarks, cohort, distribution, graph, knowledge, reshape, value_added
+from ..session import materialise
 from ..sources import adapters as src
 from ..sources.tables import query
 
@@ -375,6 +376,11 @@ def _training(spark, sf, roles=None):
     return training.training_set(src.enrollment(spark, sf), roles or ROLES)
 
 
+def _kept_training(spark, sf):
+    """Written once, for queries that fit constants on the rows they change."""
+    return materialise(_training(spark, sf))
+
+
 @_query
 def training_set(spark, sf):
     return training.expand(_training(spark, sf))
@@ -397,7 +403,7 @@ def correlation_matrix(spark, sf):
 
 @_query
 def ceiling_q75(spark, sf):
-    rows = training.stretch_q75(_training(spark, sf))
+    rows = training.stretch_q75(_kept_training(spark, sf))
     return _rounded(rows, 6, *(f"{c}_adj" for c in training.GRADES))
 
 
@@ -409,7 +415,7 @@ def ceiling_95(spark, sf):
 
 @_query
 def interaction_features(spark, sf):
-    rows = training.interactions(training.stretch_q75(_training(spark, sf)))
+    rows = training.interactions(training.stretch_q75(_kept_training(spark, sf)))
     names = ["base_x_advanced", "structures_minus_base"]
     return _rounded(rows.select("student_id", *training.GRADES, "weight", *names), 6, *names)
 
@@ -439,7 +445,7 @@ def cv_folds(spark, sf):
 
 @_query
 def zscore_features(spark, sf):
-    rows = training.split(_training(spark, sf))
+    rows = training.split(_kept_training(spark, sf))
     scaled = training.standardise(rows, rows.where(F.col("part") == "train"), training.FEATURES)
     return _rounded(scaled, 6, *(f"{c}_z" for c in training.FEATURES))
 
@@ -510,7 +516,7 @@ def kmeans_feature(spark, sf):
 @_query
 def cv_scores(spark, sf):
     folded = models.shuffled_folds(training.split(_training(spark, sf)).where(F.col("part") == "train"))
-    rows = models.materialise(training.grade_tuples(folded, ["fold"]))
+    rows = materialise(training.grade_tuples(folded, ["fold"]))
     return models.cross_validate(rows, 5, models.raw_steps, "elastic_net", alpha=0.1)
 
 
@@ -518,7 +524,7 @@ def cv_scores(spark, sf):
 def cv_scores_contiguous(spark, sf):
     train = training.split(_training(spark, sf)).where(F.col("part") == "train").drop("part")
     folded = models.contiguous_folds(training.expand(train)).withColumn("weight", F.lit(1).cast("long"))
-    rows = models.materialise(training.grade_tuples(folded, ["fold"]))
+    rows = materialise(training.grade_tuples(folded, ["fold"]))
     return models.cross_validate(rows, 5, models.raw_steps, "elastic_net", alpha=0.1)
 
 

@@ -71,6 +71,8 @@ def _short(label: str, dots: str, tail: int) -> str:
 
 GENDER = "CASE WHEN c.c_custkey % 17 = 0 THEN NULL WHEN c.c_custkey % 2 = 0 THEN '女' ELSE '男' END"
 
+GPA = "SUM(CAST(credit_point AS DECIMAL(18,6))) / NULLIF(SUM(CAST(credit AS DECIMAL(18,6))), 0)"
+
 VIEWS = {
     "enrollment": f"""
 SELECT CAST(c.c_custkey AS VARCHAR) AS student_id, c.c_name AS name, n.n_name AS class_id,
@@ -268,7 +270,8 @@ FROM scored WHERE score IS NOT NULL) GROUP BY {key} HAVING COUNT(*) > 1"""
 
 
 def _residual(y: str, x: str = "i") -> str:
-    line = f"COALESCE(REGR_SLOPE({y}, {x}) OVER w, 0) * ({x} - AVG({x}) OVER w)"
+    slope = f"CASE WHEN COUNT(*) OVER w > 1 THEN REGR_SLOPE({y}, {x}) OVER w ELSE 0 END"
+    line = f"{slope} * ({x} - AVG({x}) OVER w)"
     return f"{_round(f'{y} - AVG({y}) OVER w - {line}')} AS {y}_residual"
 
 
@@ -302,7 +305,7 @@ _SQL = {
     "cohort_gpa_rank": f"""SELECT cohort, major, student_id,
   LEFT(name, 1) || REPEAT('*', CAST(LENGTH(name) - 1 AS INT)) AS name, gpa,
   ROW_NUMBER() OVER (PARTITION BY cohort, major ORDER BY gpa DESC NULLS LAST, student_id, name) AS position
-FROM (SELECT cohort, major, student_id, name, {_round('SUM(credit_point) / NULLIF(SUM(credit), 0)', 2)} AS gpa
+FROM (SELECT cohort, major, student_id, name, {_round(GPA, 2)} AS gpa
   FROM enrollment GROUP BY cohort, major, student_id, name)""",
     "gender_distribution": "SELECT gender, COUNT(student_id) AS n_students FROM student GROUP BY gender",
     "students_by_major": f"""SELECT major, student_id, class_id, name, course_name FROM enrollment
@@ -343,7 +346,8 @@ FROM subjects GROUP BY student_id""",
         "student_id", f"student_id, {_round('REGR_SLOPE(score, i)', 9)} AS value_added"
     ),
     "semester_gpa_residuals": f"""WITH own AS (
-  SELECT e.student_id, s.class_id, s.major, academic_year, semester, SUM(credit_point) AS p, SUM(credit) AS c
+  SELECT e.student_id, s.class_id, s.major, academic_year, semester,
+  SUM(CAST(credit_point AS DECIMAL(18,6))) AS p, SUM(CAST(credit AS DECIMAL(18,6))) AS c
   FROM enrollment e JOIN student s ON s.student_id = e.student_id GROUP BY ALL),
 cls AS (SELECT class_id, academic_year, semester, SUM(p) / SUM(c) AS class_gpa FROM own GROUP BY ALL),
 maj AS (SELECT major, academic_year, semester, SUM(p) / SUM(c) AS major_gpa FROM own GROUP BY ALL),

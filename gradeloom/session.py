@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)
@@ -32,18 +34,29 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
     return spark
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for written steps: the one in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A
-    temporary one is made only in local mode, where every task shares a disk.
+    A temporary one is made only in local mode, where every task shares a disk.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="gradeloom-checkpoint-")
+            folder = tempfile.mkdtemp(prefix="gradeloom-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table to the shared folder and continue from it.
+
+    The lineage ends there, the rows are fixed, and the planner knows their
+    size: joins broadcast the table only if its files are small enough.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
