@@ -45,12 +45,12 @@ def gender_distribution(student: DataFrame) -> DataFrame:
 def exact_sum(column: str) -> Column:
     """Sum as decimals. A sum of doubles depends on the order of the rows, and
     its last bits would decide half-way roundings and with them positions."""
-    return F.sum(F.col(column).cast("decimal(18,6)")).cast("double")
+    return F.sum(F.col(column).cast("decimal(18,6)")).cast("decimal(20,6)")
 
 
 def weighted_gpa() -> Column:
     """Credit-weighted GPA, NULL when the credits sum to zero."""
-    return F.round(F.try_divide(exact_sum("credit_point"), exact_sum("credit")), 2)
+    return F.round(F.try_divide(exact_sum("credit_point"), exact_sum("credit")), 2).cast("double")
 
 
 def student_gpa(enrollment: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.grades import stage_of
 from ..functions.predicates import filled
@@ -12,17 +12,21 @@ from ..functions.predicates import filled
 POINT_HEADER = "知识点"
 
 
+def _cell(name: str) -> Column:
+    """Sheet column by its header, which may hold dots or spaces."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def unpivot_scores(sheet: DataFrame, points: DataFrame, year: str, id_column: str = "student_id") -> DataFrame:
     """Wide score sheet to (student, point, year, score); NULL scores are kept.
 
     Columns whose header is no point's name drop out in the join.
     """
     names = [c for c in sheet.columns if c != id_column]
-    long = sheet.select(id_column, *(F.col(c).cast("double").alias(c) for c in names)).unpivot(
-        [id_column], names, "kp_name", "score"
-    )
+    cells = [F.struct(F.lit(c).alias("kp_name"), _cell(c).cast("double").alias("score")) for c in names]
+    long = sheet.select(_cell(id_column).alias("student_id"), F.inline(F.array(*cells)))
     return long.join(points.select("kp_name", "kp_id"), "kp_name").select(
-        F.col(id_column).alias("student_id"), "kp_id", F.lit(year).alias("year"), "score"
+        "student_id", "kp_id", F.lit(year).alias("year"), "score"
     )
 
 
@@ -34,7 +38,7 @@ def scoring_cells(sheet: DataFrame, points: DataFrame, header: str = POINT_HEADE
     """
     columns = [c for c in sheet.columns if header in c]
     places = [
-        F.struct(F.lit(sheet.columns.index(c)).alias("col_no"), F.col(c).alias("kp_name")) for c in columns
+        F.struct(F.lit(sheet.columns.index(c)).alias("col_no"), _cell(c).alias("kp_name")) for c in columns
     ]
     long = sheet.select("row_no", "scoring", F.inline(F.array(*places))).where(filled(F.col("kp_name")))
     return long.join(points.select("kp_name", "kp_id"), "kp_name").select("row_no", "col_no", "scoring", "kp_id")

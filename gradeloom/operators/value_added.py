@@ -47,7 +47,7 @@ def semester_gpa_residuals(enrollment: DataFrame, student: DataFrame) -> DataFra
 
     def group_gpa(key: str, name: str) -> DataFrame:
         totals = own.where(F.col(key).isNotNull()).groupBy(*term, key)
-        return totals.agg(F.try_divide(exact_sum("points"), exact_sum("credits")).alias(name))
+        return totals.agg(F.try_divide(exact_sum("points"), exact_sum("credits")).cast("double").alias(name))
 
     joined = own.join(group_gpa("class_id", "class_gpa"), [*term, "class_id"], "left").join(
         group_gpa("major", "major_gpa"), [*term, "major"], "left"
@@ -55,7 +55,7 @@ def semester_gpa_residuals(enrollment: DataFrame, student: DataFrame) -> DataFra
     series = joined.select(
         "student_id",
         *term,
-        F.try_divide("points", "credits").alias("gpa"),
+        F.try_divide("points", "credits").cast("double").alias("gpa"),
         F.coalesce("class_gpa", F.lit(0.0)).alias("class_gpa"),
         F.coalesce("major_gpa", F.lit(0.0)).alias("major_gpa"),
     )
@@ -159,3 +159,11 @@ def gain_radar(gains: DataFrame) -> DataFrame:
     )
     long = gains.unpivot(["student_id", "course_name"], ["actual", "expected", "gain"], "_series", "score")
     return long.select("student_id", F.col("course_name").alias("subject"), series.alias("type"), "score")
+
+
+def gain_report(gains: DataFrame) -> DataFrame:
+    """Text of a student's gains: at most three entries per course."""
+    entry = F.format_string("%s: %.4f,学期：%s", F.col("subject"), F.col("score"), F.col("type"))
+    lines = F.array_join(F.sort_array(F.collect_list(entry)), "\n")
+    text = F.concat(F.lit("学生ID: "), F.col("student_id"), F.lit("\n个人增值评价:\n"), lines)
+    return gain_radar(gains).groupBy("student_id").agg(text.alias("report"))

@@ -154,7 +154,7 @@ def student_value_added_slope(spark, sf):
 @_query
 def semester_gpa_residuals(spark, sf):
     rows = value_added.semester_gpa_residuals(src.enrollment(spark, sf), src.student(spark, sf))
-    return _rounded(rows, 6, "gpa", "gpa_residual", "class_gpa_residual", "major_gpa_residual")
+    return _rounded(rows, 7, "gpa", "gpa_residual", "class_gpa_residual", "major_gpa_residual")
 
 
 @_query
@@ -180,6 +180,11 @@ def value_added_radar(spark, sf):
     return _rounded(value_added.gain_radar(gains), 6, "score")
 
 
+@_query
+def gain_report_text(spark, sf):
+    return value_added.gain_report(value_added.expected_gain(src.enrollment(spark, sf), COURSES))
+
+
 # --- sheets and upserts ---------------------------------------------------
 
 

@@ -6,6 +6,8 @@ sequence numbers are window functions, retakes fan out as rows.
 
 from __future__ import annotations
 
+import re
+
 from ..functions.grades import BIN_EDGES, BIN_LABELS, LABELS_A, LABELS_B, LABELS_C, NUMBER, STAGES
 from ..operators.audit import FULL_POINTS
 from ..operators.value_added import LEARNING_RATE, ROUNDS
@@ -228,25 +230,21 @@ SELECT a.course, e.source, e.target FROM edges e JOIN points a ON a.kp_id = e.so
 
 
 def _needs(sql: str) -> list[str]:
-    """Views a statement uses, directly or through other views, in order."""
-    import re
-
+    """Views a statement uses, in their order; a view uses earlier ones only."""
     words = set(re.findall(r"[a-z_]+", sql))
-    direct = [name for name in VIEWS if name in words]
-    return sorted({v for name in direct for v in [*_needs_of(name), name]}, key=list(VIEWS).index)
-
-
-def _needs_of(name: str) -> list[str]:
-    earlier = list(VIEWS)[: list(VIEWS).index(name)]
-    import re
-
-    words = set(re.findall(r"[a-z_]+", VIEWS[name]))
-    return [v for e in earlier if e in words for v in [*_needs_of(e), e]]
+    used = []
+    for name in reversed(VIEWS):
+        if name in words:
+            used.insert(0, name)
+            words |= set(re.findall(r"[a-z_]+", VIEWS[name]))
+    return used
 
 
 def _with(sql: str) -> str:
+    """Prepend the views; they come before the statement's own WITH entries."""
     views = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in _needs(sql))
-    return f"WITH {views}\n{sql.strip()}"
+    own = sql.strip()
+    return f"WITH {views}" + (f",\n{own[5:]}" if own.startswith("WITH ") else f"\n{own}")
 
 
 def _scale_sql(score: str) -> str:
@@ -272,7 +270,7 @@ FROM scored WHERE score IS NOT NULL) GROUP BY {key} HAVING COUNT(*) > 1"""
 def _residual(y: str, x: str = "i") -> str:
     slope = f"CASE WHEN COUNT(*) OVER w > 1 THEN REGR_SLOPE({y}, {x}) OVER w ELSE 0 END"
     line = f"{slope} * ({x} - AVG({x}) OVER w)"
-    return f"{_round(f'{y} - AVG({y}) OVER w - {line}')} AS {y}_residual"
+    return f"{_round(f'{y} - AVG({y}) OVER w - {line}', 7)} AS {y}_residual"
 
 
 _GRADES = ("base", "advanced", "structures", "target")
@@ -298,7 +296,8 @@ def _colour(prefix: str, suffixes: tuple[str, ...]) -> str:
 
 
 def _ones(score: str) -> str:
-    return f"FORMAT('{{:.1f}}', {score})"
+    """Text with one decimal, halves rounded up."""
+    return f"CAST(CAST(ROUND(CAST({score} AS DECIMAL(38,14)), 1) AS DECIMAL(18,1)) AS VARCHAR)"
 
 
 _SQL = {
@@ -354,7 +353,7 @@ maj AS (SELECT major, academic_year, semester, SUM(p) / SUM(c) AS major_gpa FROM
 numbered AS (SELECT student_id, academic_year, semester, p / c AS gpa, class_gpa, major_gpa,
   ROW_NUMBER() OVER (PARTITION BY student_id ORDER BY academic_year, semester) - 1 AS i
   FROM own JOIN cls USING (class_id, academic_year, semester) JOIN maj USING (major, academic_year, semester))
-SELECT student_id, academic_year, semester, {_round('gpa')} AS gpa, {_residual('gpa')}, {_residual('class_gpa')},
+SELECT student_id, academic_year, semester, {_round('gpa', 7)} AS gpa, {_residual('gpa')}, {_residual('class_gpa')},
   {_residual('major_gpa')} FROM numbered WINDOW w AS (PARTITION BY student_id)""",
     "course_means": f"SELECT student_id, course_name, {_round('actual')} AS actual FROM means WHERE actual IS NOT NULL",
     "course_expected_gain": f"""SELECT student_id, course_name, {_round('actual')} AS actual,
@@ -367,6 +366,13 @@ FROM (SELECT *, DENSE_RANK() OVER (ORDER BY course_name) - 1 AS x FROM means JOI
         f"SELECT student_id, course_name AS subject, '{name}' AS type, {_round(value)} AS score FROM gains"
         for name, value in (("实际", "actual"), ("预测", "expected"), ("增值", "actual - expected"))
     ),
+    "gain_report_text": """SELECT student_id, '学生ID: ' || student_id || E'\\n个人增值评价:\\n'
+  || STRING_AGG(entry, E'\\n' ORDER BY entry) AS report
+FROM (SELECT student_id, course_name || ': ' || FORMAT('{:.4f}', v) || ',学期：' || t AS entry FROM (
+    SELECT student_id, course_name, actual AS v, '实际' AS t FROM gains
+    UNION ALL SELECT student_id, course_name, expected, '预测' FROM gains
+    UNION ALL SELECT student_id, course_name, actual - expected, '增值' FROM gains))
+GROUP BY student_id""",
     "unpivot_scores": " UNION ALL ".join(
         f"""SELECT student_id, (SELECT MIN(p_partkey) FROM part WHERE p_type = '{p}') AS kp_id,
 '1998' AS year, {p} AS score FROM sheet"""
@@ -467,11 +473,4 @@ FROM ts_n""",
 
 
 def statements() -> dict[str, str]:
-    return {name: _with(sql) if not sql.startswith("WITH ") else _merge(sql) for name, sql in _SQL.items()}
-
-
-def _merge(sql: str) -> str:
-    """Put the views before the statement's own WITH entries."""
-    head = _with(sql)
-    views = head[: head.index("\nWITH ")]
-    return views + ",\n" + sql.removeprefix("WITH ")
+    return {name: _with(sql) for name, sql in _SQL.items()}
