@@ -19,6 +19,7 @@ FEATURES = ["base", "advanced", "structures"]
 GRADES = [*FEATURES, "target"]
 WEIGHT = "weight"
 TEST_SHARE = 5
+COPY_RUN = 4096
 
 
 def attempts(enrollment: DataFrame, roles: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -68,9 +69,14 @@ def training_set(
 
 
 def expand(training: DataFrame) -> DataFrame:
-    """One row per combination of attempts, as an ordinary join would give."""
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(WEIGHT)))
-    return training.withColumn("_copy", copies).drop("_copy", WEIGHT)
+    """One row per combination of attempts, as an ordinary join would give.
+
+    Copies are made in runs, so that no array is longer than a run.
+    """
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(WEIGHT) - 1) / COPY_RUN).cast("long")))
+    length = F.least(F.lit(COPY_RUN), F.col(WEIGHT) - F.col("_run") * COPY_RUN).cast("int")
+    copies = training.withColumn("_run", runs).withColumn("_copy", F.explode(F.array_repeat(F.lit(True), length)))
+    return copies.drop("_run", "_copy", WEIGHT)
 
 
 def grade_tuples(training: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

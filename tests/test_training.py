@@ -50,6 +50,13 @@ def test_training_set_equals_the_joins(spark):
     assert {r.student_id for r in kept.collect()} == {r[0] for r in joined(data)} & with_target
 
 
+def test_expand_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(training, "COPY_RUN", 4)
+    frame = spark.createDataFrame([("a", 1), ("b", 4), ("c", 9)], "student_id string, weight long")
+    got = training.expand(frame).groupBy("student_id").count().collect()
+    assert sorted(map(tuple, got)) == [("a", 1), ("b", 4), ("c", 9)]
+
+
 def test_statistics(spark):
     data, df = enrollments(spark)
     built = training.training_set(df, ROLES)
