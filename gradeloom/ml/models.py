@@ -225,7 +225,7 @@ def coefficients(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def shuffled_folds(training: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
     """Fold by hash of the student id."""
-    return training.withColumn("fold", fold(F.col("student_id"), folds, seed))
+    return training.withColumn("fold", fold(F.col("student_id"), folds, seed, "cv"))
 
 
 def contiguous_folds(training: DataFrame, folds: int = 5) -> DataFrame:

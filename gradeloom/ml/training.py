@@ -160,19 +160,20 @@ def engineered(training: DataFrame, ceiling: float = 95.0) -> DataFrame:
     )
 
 
-def fold(identifier: Column, folds: int, seed: int) -> Column:
-    """Fold 0..folds-1 of an id: depends on id and seed only.
+def fold(identifier: Column, folds: int, seed: int, use: str) -> Column:
+    """Fold 0..folds-1 of an id: depends on id, seed and use only.
 
     Rows of one student share a fold, and the assignment does not change with
-    the partitioning. md5 is used as other engines compute it alike.
+    the partitioning. ``use`` keeps the folds of different purposes apart.
+    md5 is used as other engines compute it alike.
     """
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), identifier).cast("binary"))
+    digest = F.md5(F.concat_ws("|", F.lit(use), F.lit(str(seed)), identifier).cast("binary"))
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
 
 
 def split(training: DataFrame, seed: int = 42) -> DataFrame:
     """Add ``part``: one in five students is ``test``, the others ``train``."""
-    test = fold(F.col("student_id"), TEST_SHARE, seed) == 0
+    test = fold(F.col("student_id"), TEST_SHARE, seed, "split") == 0
     return training.withColumn("part", F.when(test, "test").otherwise("train"))
 
 

@@ -210,7 +210,7 @@ SELECT student_id, base, advanced, structures, target, COUNT(*) AS weight FROM t
     )
     + " FROM ts_n CROSS JOIN cuts",
     "parts": """
-SELECT *, CASE WHEN CAST('0x' || LEFT(MD5('42|' || student_id), 8) AS BIGINT) % 5 = 0
+SELECT *, CASE WHEN CAST('0x' || LEFT(MD5('split|42|' || student_id), 8) AS BIGINT) % 5 = 0
   THEN 'test' ELSE 'train' END AS part FROM ts_n""",
     "mastery": """
 SELECT s.student_id, CAST(p.kp_id AS VARCHAR) AS id, p.kp_name, sk.year, sk.score, g.stage
@@ -463,7 +463,7 @@ FROM ts_n""",
     + " FROM ts_n",
     "train_test_split": "SELECT DISTINCT student_id, part FROM parts",
     "cv_folds": """SELECT DISTINCT student_id,
-  CAST(CAST('0x' || LEFT(MD5('42|' || student_id), 8) AS BIGINT) % 5 AS INT) AS fold FROM ts""",
+  CAST(CAST('0x' || LEFT(MD5('cv|42|' || student_id), 8) AS BIGINT) % 5 AS INT) AS fold FROM ts""",
     "zscore_features": "SELECT student_id, base, advanced, structures, target, weight, part, "
     + ", ".join(f"{_round(f'({c} - m_{c}) / s_{c}')} AS {c}_z" for c in _GRADES[:3])
     + " FROM parts CROSS JOIN (SELECT "

@@ -100,6 +100,13 @@ def test_split_does_not_depend_on_partitions(spark):
     assert 0.15 < share < 0.25
 
 
+def test_folds_of_the_train_part_are_even(spark):
+    ids = spark.range(2000).select(F.col("id").cast("string").alias("student_id"), F.lit(1).alias("weight"))
+    train = models.shuffled_folds(training.split(ids)).where("part = 'train'")
+    counts = {r.fold: r["count"] for r in train.groupBy("fold").count().collect()}
+    assert set(counts) == {0, 1, 2, 3, 4} and max(counts.values()) < 1.3 * min(counts.values())
+
+
 def coordinate_descent(x, y, alpha, ratio, rounds=20_000):
     x, y = x - x.mean(0), y - y.mean()
     w = np.zeros(x.shape[1])
