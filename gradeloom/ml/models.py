@@ -13,11 +13,11 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from ..functions.grades import BIN_EDGES
 from ..operators.ordering import number_rows
-from ..session import materialise
+from ..session import materialise, shared_folder
 from .training import FEATURES, GRADES, WEIGHT, fold, grade_tuples, scaling, split
 
 CLUSTERS = 3
@@ -109,26 +109,22 @@ def _through(rows: DataFrame, steps: Sequence[SQLTransformer]) -> DataFrame:
     return rows
 
 
-def _scaled(steps: list, train: DataFrame, names: Sequence[str]) -> list:
-    """Append standardisation on the train moments and the feature vector."""
-    moments = scaling(_through(train, steps), names).first()
+def _scale(moments: Row, names: Sequence[str]) -> list:
+    """Standardisation on the train moments and the feature vector."""
     scale = _step(
         *(f"({c} - {_number(moments[c + '_mean'])}) / {_number(moments[c + '_std'])} AS {c}_z" for c in names)
     )
-    return [*steps, scale, VectorAssembler(inputCols=[f"{c}_z" for c in names], outputCol="features")]
+    return [scale, VectorAssembler(inputCols=[f"{c}_z" for c in names], outputCol="features")]
 
 
-def elastic_net(rows: DataFrame, label: str, alpha: float, ratio: float) -> LinearRegression:
+def elastic_net(label: str, deviation: float, alpha: float = 0.1, ratio: float = 0.5) -> LinearRegression:
     """Elastic net minimising 1/(2n)|y-Xw|^2 + alpha*ratio*|w|_1 + alpha*(1-ratio)/2*|w|^2.
 
     The ``normal`` solver reads the rows once for their cross products and
     iterates on those. It scales the quadratic penalty by the label's
     population deviation, so that part is multiplied by it beforehand.
     """
-    w, y = F.col(WEIGHT).cast("double"), F.col(label)
-    s = rows.agg(F.sum(w).alias("n"), F.sum(w * y).alias("y"), F.sum(w * y * y).alias("yy")).first()
-    variance = max(s["yy"] / s["n"] - (s["y"] / s["n"]) ** 2, 0.0)
-    l1, l2 = alpha * ratio, alpha * (1 - ratio) * variance**0.5
+    l1, l2 = alpha * ratio, alpha * (1 - ratio) * deviation
     total = l1 + l2
     return LinearRegression(
         featuresCol="features", labelCol=label, weightCol=WEIGHT, solver="normal", standardization=False,
@@ -147,14 +143,16 @@ def boosted_trees(label: str, rounds: int = 200, depth: int = 5, seed: int = 42)
 def fit(train: DataFrame, steps: Steps, learner: str, **options) -> PipelineModel:
     """Fit features, scaling and regressor on ``train`` as one pipeline."""
     engineer, names, label = steps(train)
-    stages = _scaled(engineer, train, names)
-    rows = _through(train, stages).withColumn(WEIGHT, F.col(WEIGHT).cast("double"))
+    engineered = _through(train, engineer)
+    moments = scaling(engineered, [*names, label]).first()
+    scale = _scale(moments, names)
     if learner == "elastic_net":
-        regressor = elastic_net(rows, label, options.get("alpha", 0.1), options.get("ratio", 0.5))
+        regressor = elastic_net(label, moments[f"{label}_std"], **options)
     else:
+        shared_folder(train.sparkSession)  # the rounds are checkpointed there
         regressor = boosted_trees(label, **options)
-    model = regressor.fit(rows.select("features", label, WEIGHT))
-    return PipelineModel(stages=[*stages, model])
+    rows = _through(engineered, scale).select("features", label, F.col(WEIGHT).cast("double").alias(WEIGHT))
+    return PipelineModel(stages=[*engineer, *scale, regressor.fit(rows)])
 
 
 def label_of(model: PipelineModel) -> str:

@@ -225,9 +225,7 @@ def stage_upsert(spark, sf):
 
 @_query
 def scoring_update(spark, sf):
-    scoring = src.scoring(spark, sf).where(F.col("year") == "1998").select("kp_id", "scoring")
-    points = src.knowledge_point(spark, sf).join(scoring, "kp_id")
-    return reshape.update_scoring(points, _scoring_cells(spark, sf))
+    return reshape.update_scoring(src.scored_point(spark, sf), _scoring_cells(spark, sf))
 
 
 @_query

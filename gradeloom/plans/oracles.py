@@ -384,8 +384,8 @@ GROUP BY student_id""",
     "stage_upsert": """SELECT kp_id, year, scoring, stage FROM stages s
 WHERE NOT EXISTS (SELECT 1 FROM assigned a WHERE a.kp_id = s.kp_id AND a.year = s.year)
 UNION ALL SELECT kp_id, year, scoring, stage FROM assigned""",
-    "scoring_update": """SELECT p.kp_id, p.kp_name, p.chapter, p.course, COALESCE(w.scoring, s.scoring) AS scoring
-FROM points p JOIN (SELECT * FROM scoring WHERE year = '1998') s ON s.kp_id = p.kp_id
+    "scoring_update": f"""SELECT p.kp_id, p.kp_name, COALESCE(w.scoring, {_items('x.p_size')}) AS scoring
+FROM points p JOIN part x ON x.p_partkey = p.kp_id
 LEFT JOIN (SELECT kp_id, scoring FROM cells
   QUALIFY ROW_NUMBER() OVER (PARTITION BY kp_id ORDER BY row_no DESC, col_no DESC) = 1) w ON w.kp_id = p.kp_id""",
     "prereq_edges": "SELECT source, target FROM prereq_edges",

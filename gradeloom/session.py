@@ -40,14 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
     A temporary one is made only in local mode, where every task shares a disk.
     """
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="gradeloom-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="gradeloom-")
         context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+    return folder
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -57,6 +57,6 @@ def materialise(df: DataFrame) -> DataFrame:
     size: joins broadcast the table only if its files are small enough.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/gradeloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

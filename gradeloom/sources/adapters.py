@@ -155,6 +155,15 @@ def scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scored_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Knowledge points with their scoring item."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("kp_id"),
+        F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("kp_name"),
+        _scoring_item(F.col("p_size")).alias("scoring"),
+    )
+
+
 def score_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point ids for the wide score sheet; one sheet column has no point."""
     part = table(spark, sf_dir, "part").where(F.col("p_type") != "SMALL")

@@ -179,6 +179,9 @@ def test_cross_validation(spark):
     folded = models.shuffled_folds(training.training_set(df, ROLES))
     got = models.cross_validate(folded, 5, models.raw_steps, "elastic_net", alpha=0.1).collect()
     assert [r.fold for r in got] == [0, 1, 2, 3, 4] and all(r.r2 is not None and r.r2 <= 1 for r in got)
+    rows = models.materialise(folded)
+    got = models.cross_validate(rows, 2, models.q75_steps(rows), "boosted_trees", rounds=2, depth=2).collect()
+    assert len(got) == 2 and all(r.r2 is not None for r in got)
 
 
 def test_clusters_are_ordered_and_stable(spark):
