@@ -9,6 +9,7 @@ statistics and the models take the weights.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,14 +29,13 @@ def attempts(enrollment: DataFrame, roles: Mapping[str, tuple[str, str]]) -> Dat
     ``roles`` maps a role to (course name pattern, academic year). One scan
     serves all roles, and the lists hold distinct grades.
     """
-    entries = [
-        F.when(
-            matches(F.col("course_name"), pattern) & (F.col("academic_year") == year), F.lit(role)
-        )
+    tests = {
+        role: matches(F.col("course_name"), pattern) & (F.col("academic_year") == year)
         for role, (pattern, year) in roles.items()
-    ]
-    role = F.explode(F.array_compact(F.array(*entries)))
-    rows = enrollment.select("student_id", "grade_text", role.alias("role"))
+    }
+    wanted = enrollment.where(reduce(Column.__or__, tests.values()))
+    role = F.explode(F.array_compact(F.array(*(F.when(test, F.lit(r)) for r, test in tests.items()))))
+    rows = wanted.select("student_id", "grade_text", role.alias("role"))
     counted = rows.groupBy("student_id", "role", scale_a(F.col("grade_text")).alias("grade")).agg(
         F.count(F.lit(1)).alias("n")
     )

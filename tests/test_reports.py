@@ -33,6 +33,8 @@ def table(columns, rows):
 @pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query_equals_its_sql(spark, database, name):
     df = contract.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("CartesianProduct", "NestedLoopJoin", "Python"))
     cursor = database.execute(contract.oracle_sql()[name])
     expected = table([d[0] for d in cursor.description], cursor.fetchall())
     assert table(df.columns, [tuple(r) for r in df.collect()]) == expected
