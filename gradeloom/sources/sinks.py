@@ -27,9 +27,8 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def replace_courses(df: DataFrame, path: str, column: str = "course") -> None:
     """Replace all rows of the courses in ``df``; other courses stay as they are.
 
-    Shuffled by course and a spread, so a course with most of the rows is
-    written by many tasks.
+    Rebalanced by course: small courses are written by one task each, a course
+    with most of the rows is split by size.
     """
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-    writer = df.repartition(F.col(column), spread).write.mode("overwrite")
+    writer = df.hint("rebalance", F.col(column)).write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)

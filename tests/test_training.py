@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.ml import models, training
+from gradeloom.session import shared_folder
 from gradeloom.sources import sinks, tables
 
 ROLES = {"base": ("P1", "2021"), "advanced": ("P2", "2021"), "structures": ("DS", "2022"), "target": ("OS%", "2023")}
@@ -208,6 +209,27 @@ def test_sinks_round_trip(spark, tmp_path):
     assert frame.select(sinks.json_record("name", "v").alias("j")).collect()[1].j == '{"name":"b,\\"c"}'
 
 
+def test_a_cluster_must_name_its_shared_folder(tmp_path):
+    class Context:
+        master = "spark://host:7077"
+        folder = None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session)
+    Session.conf = {"spark.checkpoint.dir": "s3a://bucket/steps"}
+    assert shared_folder(Session) == Session.sparkContext.folder == "s3a://bucket/steps"
+
+
 def test_replacing_one_course_keeps_the_others(spark, tmp_path):
     path = str(tmp_path / "points")
     sinks.replace_courses(spark.createDataFrame([(1, "A"), (2, "B"), (3, "A")], "kp_id long, course string"), path)
