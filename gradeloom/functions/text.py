@@ -20,6 +20,11 @@ def short_point(label: Column) -> Column:
     return _shorten(label, "...", 4)
 
 
+def short_node(label: Column) -> Column:
+    """Node texts over 5 characters become 5 + ``...``."""
+    return F.when(F.length(label) > 5, F.concat(F.substring(label, 1, 5), F.lit("..."))).otherwise(label)
+
+
 def _shorten(label: Column, dots: str, tail: int) -> Column:
     short = F.concat(F.substring(label, 1, 4), F.lit(dots), F.substring(label, -tail, tail))
     return F.when(F.length(label) > 8, short).otherwise(label)

@@ -155,6 +155,25 @@ def fit(train: DataFrame, steps: Steps, learner: str, **options) -> PipelineMode
     return PipelineModel(stages=[*engineer, *scale, regressor.fit(rows)])
 
 
+# Variant: features (given all rows), learner and its settings.
+VARIANTS = {
+    "raw": (lambda rows: raw_steps, "elastic_net", {"alpha": 0.1}),
+    "engineered": (lambda rows: engineered_steps, "elastic_net", {"alpha": 0.1}),
+    "clustered": (lambda rows: clustered_steps, "elastic_net", {"alpha": 0.001}),
+    "boosted": (q75_steps, "boosted_trees", {}),
+}
+
+
+def train_part(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("part") == "train")
+
+
+def train(rows: DataFrame, variant: str, **options) -> PipelineModel:
+    """Train a variant on the train part of ``prepared`` rows."""
+    steps, learner, settings = VARIANTS[variant]
+    return fit(train_part(rows), steps(rows), learner, **{**settings, **options})
+
+
 def label_of(model: PipelineModel) -> str:
     return model.stages[-1].getLabelCol()
 

@@ -55,6 +55,19 @@ def stage_list(points: DataFrame, stages: DataFrame) -> DataFrame:
     return pairs.select("course", "year", "stage").distinct()
 
 
+def chapter_list(points: DataFrame) -> DataFrame:
+    """Distinct chapters per course."""
+    return points.select("course", "chapter").distinct()
+
+
+def point_scores(student: DataFrame, scores: DataFrame, points: DataFrame) -> DataFrame:
+    """Every score of the known students with the name of its point."""
+    rows = scores.select("student_id", "kp_id", "year", "score").join(student.select("student_id"), "student_id")
+    return rows.join(points.select("kp_id", "kp_name"), "kp_id").select(
+        "student_id", F.col("kp_id").cast("string").alias("id"), "kp_name", "year", "score"
+    )
+
+
 def mastery(
     student: DataFrame, scores: DataFrame, points: DataFrame, stages: DataFrame, up_to: str | None = None
 ) -> DataFrame:

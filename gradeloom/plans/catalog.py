@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.grades import BIN_LABELS, indicator, scale_a, scale_b, scale_c, score_bin, stretch_above
+from ..functions.text import short_node
 from ..ml import models, training
 from ..operators import audit, benchmarks, cohort, distribution, graph, knowledge, reshape, value_added
 from ..session import materialise
@@ -324,6 +325,23 @@ def mastery_overlay(spark, sf):
     return _mastery(spark, sf, "阶段2树图")
 
 
+@_query
+def student_point_scores(spark, sf):
+    return knowledge.point_scores(
+        src.student(spark, sf), src.student_knowledge(spark, sf), src.knowledge_point(spark, sf)
+    )
+
+
+@_query
+def chapter_list(spark, sf):
+    return knowledge.chapter_list(src.knowledge_point(spark, sf))
+
+
+@_query
+def graph_node_labels(spark, sf):
+    return _nodes(spark, sf).withColumn("label", short_node(F.col("name")))
+
+
 @_query
 def mastery_bands(spark, sf):
     return knowledge.mastery_display(src.knowledge_point(spark, sf), _mastery(spark, sf))
@@ -456,40 +474,28 @@ def zscore_features(spark, sf):
 # --- models ---------------------------------------------------------------
 
 
-def _train(rows):
-    return rows.where(F.col("part") == "train")
-
-
-def _linear_variants():
-    return [
-        ("raw", models.raw_steps, 0.1),
-        ("engineered", models.engineered_steps, 0.1),
-        ("clustered", models.clustered_steps, 0.001),
-    ]
-
-
-def _each_variant(spark, sf, report):
+def _each_linear(spark, sf, report):
     rows = models.prepared(_training(spark, sf))
-    results = []
-    for name, steps, alpha in _linear_variants():
-        model = models.fit(_train(rows), steps, "elastic_net", alpha=alpha)
-        results.append(report(model, rows).withColumn("variant", F.lit(name)))
+    results = [
+        report(models.train(rows, name), rows).withColumn("variant", F.lit(name))
+        for name in ("raw", "engineered", "clustered")
+    ]
     return results[0].unionByName(results[1]).unionByName(results[2])
 
 
 @_query
 def elastic_net_fit(spark, sf):
-    return _each_variant(spark, sf, models.coefficients)
+    return _each_linear(spark, sf, models.coefficients)
 
 
 @_query
 def elastic_net_metrics(spark, sf):
-    return _each_variant(spark, sf, lambda model, rows: models.metrics(models.predict(model, rows)))
+    return _each_linear(spark, sf, lambda model, rows: models.metrics(models.predict(model, rows)))
 
 
 def _boosted(spark, sf):
     rows = models.prepared(_training(spark, sf))
-    return models.fit(_train(rows), models.q75_steps(rows), "boosted_trees"), rows
+    return models.train(rows, "boosted"), rows
 
 
 @_query
@@ -507,7 +513,7 @@ def feature_importance(spark, sf):
 @_query
 def kmeans_feature(spark, sf):
     rows = models.prepared(_training(spark, sf))
-    steps, _, _ = models.clustered_steps(_train(rows))
+    steps, _, _ = models.clustered_steps(models.train_part(rows))
     clustered = rows
     for step in steps:
         clustered = step.transform(clustered)
@@ -533,13 +539,13 @@ def cv_scores_contiguous(spark, sf):
 
 def _scored(spark, sf):
     rows = models.prepared(_training(spark, sf))
-    return models.diagnostics(models.fit(_train(rows), models.raw_steps, "elastic_net", alpha=0.1), rows)
+    return models.diagnostics(models.train(rows, "raw"), rows)
 
 
 @_query
 def batch_predict(spark, sf):
     rows = models.prepared(_training(spark, sf))
-    model = models.fit(_train(rows), models.raw_steps, "elastic_net", alpha=0.1)
+    model = models.train(rows, "raw")
     return models.predict(model, _training(spark, sf).select("student_id", "base", "advanced", "weight"))
 
 

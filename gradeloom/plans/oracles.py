@@ -412,6 +412,11 @@ UNION ALL SELECT course, '{"data":{"source":"' || source || '","target":"' || ta
     "graph_id_by_name": """SELECT n.name, p_partkey AS id FROM prereq_nodes n JOIN part ON n.name = 'KP' || p_partkey""",
     "stage_list": "SELECT DISTINCT p.course, g.year, g.stage FROM stages g JOIN points p ON p.kp_id = g.kp_id",
     "mastery_overlay": "SELECT student_id, id, kp_name, year, score, stage FROM mastery WHERE stage <= '阶段2树图'",
+    "student_point_scores": """SELECT s.student_id, CAST(p.kp_id AS VARCHAR) AS id, p.kp_name, sk.year, sk.score
+FROM student s JOIN sk ON s.student_id = sk.student_id JOIN points p ON p.kp_id = sk.kp_id""",
+    "chapter_list": "SELECT DISTINCT course, chapter FROM points",
+    "graph_node_labels": """SELECT kp_id AS id, kp_name AS name,
+  CASE WHEN LENGTH(kp_name) > 5 THEN LEFT(kp_name, 5) || '...' ELSE kp_name END AS label FROM points""",
     "mastery_bands": f"""SELECT CAST(p.kp_id AS VARCHAR) AS id, p.kp_name AS name, student_id, score,
   CASE WHEN score = 100 THEN 'gold' WHEN score >= 0 AND score < 60 THEN 'red' WHEN score >= 60 AND score < 80 THEN 'blue'
     WHEN score >= 80 AND score < 100 THEN 'green' ELSE 'grey' END AS band,

@@ -7,10 +7,12 @@ one is an ordinary filter.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
+from ..ml import models, training
 from ..operators import audit, benchmarks, cohort, distribution, graph, knowledge, value_added
 from ..sources.sinks import json_record
 
@@ -43,6 +45,11 @@ def violin(enrollment: DataFrame, exam_course: str = "0", **filters: str) -> dic
     return {"rows": rows, "summary": distribution.five_numbers(rows, ["x", "courseName"], "y")}
 
 
+def class_gain(enrollment: DataFrame, order: Sequence[str], **filters: str) -> DataFrame:
+    """Progress of each class over its enrolments, in ``order`` (year, semester, row keys)."""
+    return value_added.class_value_added(enrollment, order, **filters)
+
+
 def student_gain(enrollment: DataFrame, courses: Sequence[str], student: str | None = None) -> dict[str, DataFrame]:
     """Expected grades and gains, and the line over the courses.
 
@@ -99,6 +106,16 @@ def stage_choices(points: DataFrame, stages: DataFrame, course: str, year: str)
     return rows.select("stage").orderBy("stage")
 
 
+def grade_model(
+    enrollment: DataFrame, roles: Mapping[str, tuple[str, str]], variant: str = "boosted", **options
+) -> tuple[PipelineModel, dict[str, DataFrame]]:
+    """Train a variant on the courses in ``roles``; metrics and scored rows by part."""
+    rows = models.prepared(training.training_set(enrollment, roles))
+    model = models.train(rows, variant, **options)
+    scored = models.diagnostics(model, rows)
+    return model, {"metrics": models.metrics(scored), "rows": scored}
+
+
 def as_json(report: DataFrame) -> DataFrame:
     """The rows of a report as JSON records."""
     return report.select(json_record(*report.columns).alias("record"))

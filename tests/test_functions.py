@@ -61,6 +61,7 @@ def test_names_and_labels(spark):
     labels = ["12345678", "123456789", "1234xx89", "数据结构与算法基础"]
     assert evaluate(spark, labels, text.short_subject) == ["12345678", "1234..89", "1234xx89", "数据结构..基础"]
     assert evaluate(spark, labels, text.short_point)[1] == "1234...6789"
+    assert evaluate(spark, ["12345", "123456"], text.short_node) == ["12345", "12345..."]
 
 
 def test_bands(spark):

@@ -73,6 +73,21 @@ def test_gain_of_one_student(spark):
         reports.student_gain(enrollment, courses, "nobody")
 
 
+def test_grade_model(spark):
+    roles = {
+        "base": ("ECONOMY", "1998"), "advanced": ("LARGE", "1998"), "structures": ("MEDIUM", "1999"),
+        "target": ("PROMO%", "2000"),
+    }
+    enrollment = src.enrollment(spark, SF)
+    model, tables = reports.grade_model(enrollment, roles, rounds=2, depth=2)
+    assert {r.part for r in tables["metrics"].collect()} == {"train", "test"}
+    assert tables["rows"].where("predicted IS NULL").count() == 0
+    classes = reports.class_gain(enrollment, src.ROW_ORDER, cohort="ASIA")
+    whole = {r.x: r.y for r in reports.class_gain(enrollment, src.ROW_ORDER).collect()}
+    chosen = {r.x: r.y for r in classes.collect()}
+    assert 0 < len(chosen) < len(whole) and all(whole[x] == y for x, y in chosen.items())
+
+
 def test_course_graph(spark):
     points = src.knowledge_point(spark, SF)
     edges = src.knowledge_edge(spark, SF).withColumn("course", F.lit("Brand#3"))
