@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column
 
 # Exam-nature flags of the request and the patterns they select.
 EXAM_NATURE = {"0": "%", "1": "正常考试"}

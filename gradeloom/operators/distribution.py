@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.grades import violin_score
 from ..functions.predicates import contains, exam_nature
@@ -39,11 +39,6 @@ def violin_rows(enrollment: DataFrame, exam_course: str = "0", **filters: str) -
     ).where(F.col("y").isNotNull())
 
 
-def quantile(value: str, fraction: float, weight: str | Column = "_n") -> Column:
-    """Interpolated exact quantile of weighted values."""
-    return F.percentile(F.col(value), fraction, F.col(weight) if isinstance(weight, str) else weight)
-
-
 def five_numbers(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Count, mean, quartiles and range per group.
 
@@ -51,12 +46,11 @@ def five_numbers(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     values of a group and not its rows.
     """
     counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    quartiles = {f"q{p}": F.percentile(value, p / 100, F.col("_n")) for p in (25, 50, 75)}
     return counted.groupBy(*keys).agg(
         F.sum("_n").alias("n"),
         (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"),
         F.min(value).alias("min"),
-        quantile(value, 0.25).alias("q25"),
-        quantile(value, 0.5).alias("q50"),
-        quantile(value, 0.75).alias("q75"),
+        *(q.alias(name) for name, q in quartiles.items()),
         F.max(value).alias("max"),
     )

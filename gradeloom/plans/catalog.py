@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.grades import BIN_LABELS, indicator, scale_a, scale_b, scale_c, score_bin, stretch_above
+from ..functions.grades import BIN_LABELS, scale_a, scale_b, scale_c, score_bin, stretch_above
 from ..functions.text import short_node
 from ..ml import models, training
 from ..operators import audit, benchmarks, cohort, distribution, graph, knowledge, reshape, value_added

@@ -46,5 +46,4 @@ def read_sheet(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 def query(spark: SparkSession, sql: str, views: dict[str, DataFrame], **binds) -> DataFrame:
     """SQL over the given frames with named binds (``:name``)."""
-    args = {name: value for name, value in binds.items()}
-    return spark.sql(sql, args=args, **views)
+    return spark.sql(sql, args=binds, **views)
