@@ -15,6 +15,8 @@ from ..session import materialise
 from .common import whole_text
 
 PREFIX_CHARS = 256
+#: A hot length or prefix is looked up over so many keys.
+SALTS = 32
 
 
 def fingerprints(docs: DataFrame, prefix: int = PREFIX_CHARS) -> DataFrame:
@@ -40,10 +42,13 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
     def shared(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
 
-    same_length = rows.join(shared(rows, "n_bytes"), "n_bytes", "left_semi")
-    same_prefix = same_length.join(
-        shared(same_length, "n_bytes", "prefix_hash"), ["n_bytes", "prefix_hash"], "left_semi"
-    )
+    def in_company(df: DataFrame, *keys: str) -> DataFrame:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        return df.join(shared(df, *keys).withColumn("_salt", salts), [*keys, "_salt"], "left_semi")
+
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    same_length = in_company(salted, "n_bytes")
+    same_prefix = in_company(same_length, "n_bytes", "prefix_hash")
     return (
         same_prefix.groupBy("n_bytes", "prefix_hash", "text_sha256")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
