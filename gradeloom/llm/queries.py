@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, oracles
+from . import bpe, exact_dedup, language_id, line_dedup, mixing, oracles
 from .common import remainder, ship, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf, "documents", "doc_id", "text"))
+
+
 def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents", "doc_id", "text", "lang")
     model = language_id.train(language_id.training_rows(docs))
@@ -32,7 +36,7 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents", "doc_id", "text", "lang", "source", "n_chars"))
 
 
-QUERIES = (op2_language_id, op4_exact_dedup, op8_bpe, op10_mixing)
+QUERIES = (op1_line_dedup, op2_language_id, op4_exact_dedup, op8_bpe, op10_mixing)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
