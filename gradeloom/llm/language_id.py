@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ..session import materialise
 from .common import remainder
 
 #: An n-gram belongs to a language if it is at least this share of its n-grams: 100,000 per language at most.
@@ -155,7 +156,7 @@ def train(docs: DataFrame) -> LanguageFilter:
 
     What comes to the driver is bounded by the number of languages over MIN_SHARE.
     """
-    counts = count_trigrams(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()))
+    counts = materialise(count_trigrams(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("_all"))
     shares = counts.join(totals, "lang").withColumn("share", F.col("n") / F.col("_all")).where(F.col("share") >= MIN_SHARE)
     largest = shares.groupBy("gram").agg(F.max("share").alias("_largest"))

@@ -110,7 +110,7 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     windows = materialise(windows)
     place = F.struct("doc_id", "row", "line")
     firsts = windows.groupBy("reach", "head", "tail").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_n"))
-    later = windows.join(firsts.where(F.col("_n") > 1), ["reach", "head", "tail"])
+    later = windows.join(materialise(firsts.where(F.col("_n") > 1)), ["reach", "head", "tail"])
     return later.where(~place.eqNullSafe(F.col("first"))).select("row", "line", "reach")
 
 
