@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, context_mixing, exact_dedup, language_id, line_dedup, mixing, oracles, topk_search
+from . import bpe, context_mixing, exact_dedup, html_text, language_id, line_dedup, mixing, oracles, topk_search
 from .common import remainder, ship, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,11 +40,15 @@ def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents", "doc_id", "text"), TOKENIZER)
 
 
+def op9_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf, "pages", "page_id", "url", "html"))
+
+
 def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents", "doc_id", "text", "lang", "source", "n_chars"))
 
 
-QUERIES = (op1_line_dedup, op2_language_id, op4_exact_dedup, op5_lm_scoring, op7_topk, op8_bpe, op10_mixing)
+QUERIES = (op1_line_dedup, op2_language_id, op4_exact_dedup, op5_lm_scoring, op7_topk, op8_bpe, op9_html_text, op10_mixing)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
