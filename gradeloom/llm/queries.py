@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, context_mixing, exact_dedup, html_text, language_id, line_dedup, mixing, oracles, topk_search
+from . import bpe, context_mixing, exact_dedup, html_text, jaccard_join, language_id, line_dedup, mixing, oracles, topk_search
 from .common import remainder, ship, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.identify(rows, model).drop("text")
 
 
+def op3_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.linked_documents(table(spark, sf, "documents", "doc_id", "text"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf, "documents", "doc_id", "text"))
 
@@ -48,7 +52,7 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents", "doc_id", "text", "lang", "source", "n_chars"))
 
 
-QUERIES = (op1_line_dedup, op2_language_id, op4_exact_dedup, op5_lm_scoring, op7_topk, op8_bpe, op9_html_text, op10_mixing)
+QUERIES = (op1_line_dedup, op2_language_id, op3_jaccard_join, op4_exact_dedup, op5_lm_scoring, op7_topk, op8_bpe, op9_html_text, op10_mixing)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
