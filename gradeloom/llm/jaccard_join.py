@@ -35,7 +35,11 @@ from ..session import materialise
 from .common import in_batches, row_key, whole_text
 
 PIVOTS = 4
-LEAF = 24
+#: Groups of so many members compare their pairs in the first round.
+FIRST_LEAF = 24
+#: Regions of so many members join in one task later on.
+LEAF = 2048
+COLUMNS = 2048
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _ODD = np.uint64(0x100000001B3)
 _ODD_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
@@ -260,74 +264,163 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("set"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def rare_prefixes(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Groups cut by the n-grams that are rarest in the group.
+def rare_prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(g, set): groups of the sets in ``members`` that share one of their rarest n-grams.
 
     Linked sets of which one has n elements share at least one of the first
-    n - ceil(n * threshold) + 1 in any common order; so members that share no
-    such n-gram need not meet.
+    n - ceil(n * threshold) + 1 in any common order, here that of the number of
+    members which hold an n-gram; sets that share no such one need not meet.
     """
 
     def listed(batch: pa.RecordBatch) -> dict:
-        found = [np.frombuffer(v.as_buffer(), dtype=np.int64) for v in batch.column(2)]
-        return {"g": batch.column(0), "set": batch.column(1), "grams": found}
+        found = [np.frombuffer(v.as_buffer(), dtype=np.int64) for v in batch.column(1)]
+        return {"set": batch.column(0), "grams": found}
 
-    members = in_batches(groups.join(sets, "set").select("g", "set", "grams"), "g long, set long, grams array<long>", listed)
+    arrays = in_batches(sets.join(members, "set", "left_semi").select("set", "grams"), "set long, grams array<long>", listed)
     size = F.size("grams")
     prefix = size - F.ceil(size * percent / 100) + 1
-    grams = materialise(members.select("g", "set", prefix.alias("prefix"), F.explode("grams").alias("gram")))
-    often = materialise(grams.groupBy("g", "gram").agg(F.count(F.lit(1)).alias("often")))
-    placed = grams.join(often, ["g", "gram"]).withColumn(
-        "place", F.row_number().over(Window.partitionBy("g", "set").orderBy("often", "gram"))
-    )
+    grams = materialise(arrays.select("set", prefix.alias("prefix"), F.explode("grams").alias("gram")))
+    often = materialise(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")))
+    place = F.row_number().over(Window.partitionBy("set").orderBy("often", "gram"))
+    placed = grams.join(often, "gram").withColumn("place", place)
     near = placed.where((F.col("place") <= F.col("prefix")) & (F.col("often") > 1))
-    return near.select(F.xxhash64("g", "gram").alias("g"), "set").distinct()
+    return near.select(F.col("gram").alias("g"), "set")
+
+
+def unsettled(groups: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(g, set, comp, n): the groups whose members are not all connected yet."""
+    comp = F.col("set")
+    if known is not None:
+        groups, comp = groups.join(known, "set", "left"), F.coalesce("comp", "set")
+    placed = groups.select("g", "set", comp.alias("comp"))
+    mark = placed.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
+    mark = materialise(mark.where(F.col("low") != F.col("high")).select("g", "n"))
+    return materialise(placed.join(mark, "g"))
+
 
+def region_links(percent: int):
+    """Links inside of one region of bounded size, as few as connect what is linked.
 
-def linked_sets(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): verified links that connect all sets of ``groups`` that are connected by links."""
+    Common elements are counted by products of 0/1 matrices over the n-grams
+    that two members have, in runs of columns; no pair leaves the task unless it
+    is linked and joins two parts that were not connected yet.
+    """
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        names, comps = table["set"].to_numpy(), table["comp"].to_numpy()
+        grams = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in table["grams"]]
+        sizes = np.array([len(x) for x in grams], dtype=np.int64)
+        rows = np.repeat(np.arange(len(grams)), sizes)
+        _, column, often = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+        place = np.cumsum(often > 1) - 1
+        rows, column = rows[often[column] > 1], place[column[often[column] > 1]]
+        both = np.zeros((len(grams), len(grams)), dtype=np.float32)
+        order = np.argsort(column, kind="stable")
+        rows, column = rows[order], column[order]
+        for start in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+            lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+            part = np.zeros((len(grams), COLUMNS), dtype=np.float32)
+            part[rows[lo:hi], column[lo:hi] - start] = 1
+            both += part @ part.T
+        whole = both.astype(np.int64)
+        linked = 100 * whole >= percent * (sizes[:, None] + sizes[None, :] - whole)
+        left, right = np.nonzero(np.triu(linked & (comps[:, None] != comps[None, :]), 1))
+        root = {c: c for c in comps.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for i, j in zip(left.tolist(), right.tolist()):
+            x, y = find(comps[i].item()), find(comps[j].item())
+            if x != y:
+                root[x] = y
+                out.append((names[i].item(), names[j].item()))
+        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
+
+    return join
+
+
+def chunk_pairs(large: DataFrame, size: int) -> DataFrame:
+    """Regions of at most ``2 * size`` members, so that every two members of a group meet in one of them."""
+    chunks = F.ceil(F.col("n") / size).cast("int")
+    own = F.pmod(F.xxhash64("set", F.lit(3)), chunks).cast("int")
+    met = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    pair = F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other"))
+    return met.where((F.col("own") != F.col("other")) | (chunks == 1)).select(pair.alias("g"), "set")
+
+
+def linked_sets(
+    groups: DataFrame, sets: DataFrame, percent: int, first_leaf: int = FIRST_LEAF, leaf: int = LEAF
+) -> DataFrame:
+    """(a, b): verified links that connect all sets of ``groups`` that are connected by links.
+
+    First round: small groups compare their unconnected pairs, each pair once
+    over all groups; large ones measure their members against a few pivots,
+    those that share most groups. Second: the members of unsettled large groups
+    are grouped anew by their rarest n-grams; a group up to ``leaf`` joins in one
+    task, a larger one is split into the regions of its pivots. Third: regions
+    that are still larger, as all their members are about as far from each
+    other, are cut into chunks that meet in pairs. Only what is not connected is
+    carried on, and no round depends on how many members a group has.
+    """
     degree = materialise(groups.groupBy("set").agg(F.count(F.lit(1)).alias("degree")))
     radius = 1 - percent / 100
-    links, known, level = [], None, 0
-    while True:
-        if level:
-            groups = rare_prefixes(groups, sets, percent) if level > 1 else groups
-            groups = materialise(distinct_groups(groups))
-        placed = groups
-        if known is not None:
-            placed = groups.join(known, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-        else:
-            placed = groups.withColumn("comp", F.col("set"))
-        mark = placed.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
-        mark = materialise(mark.where(F.col("low") != F.col("high")).select("g", "n"))
-        if mark.isEmpty():
-            break
-        active = materialise(placed.join(mark, "g").join(degree, "set"))
-        small = active.where(F.col("n") <= LEAF)
-        other = small.select("g", F.col("set").alias("b"), F.col("comp").alias("comp_b"))
-        pairs = small.join(other, "g").where((F.col("set") < F.col("b")) & (F.col("comp") != F.col("comp_b")))
-        pairs = pairs.select(F.col("set").alias("a"), "b")
-        large = active.where(F.col("n") > LEAF).select("g", "set", "degree")
-        place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("degree"), "set"))
-        pivots = materialise(large.withColumn("_p", place).where(F.col("_p") <= PIVOTS).select("g", F.col("set").alias("pivot")))
-        met = large.join(pivots, "g").where(F.col("set") != F.col("pivot"))
-        met = materialise(met.select("g", "set", "pivot", F.least("set", "pivot").alias("a"), F.greatest("set", "pivot").alias("b")))
-        asked = pairs.unionByName(met.select("a", "b")).distinct()
-        measured = materialise(distances(materialise(asked), sets, percent))
-        links.append(measured.where("linked").select("a", "b"))
-        if met.isEmpty():
-            break
-        known = materialise(components(reduce(DataFrame.unionByName, links)))
-        members = met.join(pivots.select("g", F.col("pivot").alias("set")), ["g", "set"], "left_anti")
-        away = members.join(measured.select("a", "b", "distance"), ["a", "b"])
-        nearest = materialise(away.groupBy("g", "set").agg(F.min("distance").alias("nearest")))
-        inside = away.join(nearest, ["g", "set"]).where(F.col("distance") <= F.col("nearest") + 2 * radius + 1e-9)
-        groups = materialise(inside.select(F.xxhash64("g", "pivot").alias("g"), "set"))
-        level += 1
-    return reduce(DataFrame.unionByName, links) if links else groups.select(F.col("set").alias("a"), F.col("set").alias("b")).limit(0)
+    links: list[DataFrame] = []
 
+    def linked() -> DataFrame:
+        return reduce(DataFrame.unionByName, links)
 
-def linked_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    def measured_pivots(large: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("degree"), "set"))
+        ranked = large.join(degree, "set").withColumn("_p", place)
+        pivots = materialise(ranked.where(F.col("_p") <= PIVOTS).select("g", F.col("set").alias("pivot")))
+        met = large.select("g", "set").join(pivots, "g").where(F.col("set") != F.col("pivot"))
+        met = materialise(met.withColumns({"a": F.least("set", "pivot"), "b": F.greatest("set", "pivot")}))
+        asked = met.select("a", "b") if more is None else met.select("a", "b").unionByName(more)
+        measured = materialise(distances(materialise(asked.distinct()), sets, percent))
+        links.append(measured.where("linked").select("a", "b"))
+        return pivots, met, measured
+
+    def joined(regions: DataFrame) -> None:
+        members = regions.select("g", "set", "comp").join(sets, "set").select("g", "set", "comp", "grams")
+        links.append(materialise(members.groupBy("g").applyInArrow(region_links(percent), "a long, b long")))
+
+    active = unsettled(groups, None)
+    small = active.where(F.col("n") <= first_leaf)
+    other = small.select("g", F.col("set").alias("b"))
+    pairs = small.join(other, "g").where(F.col("set") < F.col("b")).select(F.col("set").alias("a"), "b")
+    large = active.where(F.col("n") > first_leaf)
+    measured_pivots(large, pairs)
+    left = unsettled(large.select("g", "set"), components(linked()))
+    if left.isEmpty():
+        return linked()
+    groups = materialise(distinct_groups(materialise(rare_prefixes(left.select("set").distinct(), sets, percent))))
+    active = unsettled(groups, components(linked()))
+    joined(active.where(F.col("n") <= leaf))
+    large = active.where(F.col("n") > leaf)
+    if large.isEmpty():
+        return linked()
+    pivots, met, measured = measured_pivots(large)
+    away = met.join(measured.select("a", "b", "distance"), ["a", "b"])
+    away = materialise(away.join(pivots.select("g", F.col("pivot").alias("set")), ["g", "set"], "left_anti"))
+    nearest = materialise(away.groupBy("g", "set").agg(F.min("distance").alias("nearest")))
+    inside = away.join(nearest, ["g", "set"]).where(F.col("distance") <= F.col("nearest") + 2 * radius + 1e-9)
+    regions = materialise(distinct_groups(materialise(inside.select(F.xxhash64("g", "pivot").alias("g"), "set"))))
+    active = unsettled(regions, components(linked()))
+    cut = chunk_pairs(active.where(F.col("n") > leaf), leaf // 2)
+    whole = active.where(F.col("n") <= leaf).select("g", "set")
+    joined(unsettled(materialise(whole.unionByName(cut)), components(linked())))
+    return linked()
+
+
+def linked_documents(
+    docs: DataFrame, width: int = 3, percent: int = 90, first_leaf: int = FIRST_LEAF, leaf: int = LEAF
+) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 
     A set holds the distinct ``width``-word n-grams; documents link when their
@@ -341,7 +434,7 @@ def linked_documents(docs: DataFrame, width: int = 3, percent: int = 90) -> Data
     groups = materialise(distinct_groups(materialise(first_groups(listed))))
     members = materialise(groups.select("set").distinct())
     sets = materialise(sets_of(docs, listed, members, width))
-    links = linked_sets(groups, sets, percent)
+    links = linked_sets(groups, sets, percent, first_leaf, leaf)
     comps = materialise(components(links))
     own = listed.select("doc_id", "n_shingles", "set").join(comps, "set", "left")
     own = materialise(own.withColumn("comp", F.coalesce("comp", "set")))
