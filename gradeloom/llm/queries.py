@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, context_mixing, exact_dedup, html_text, jaccard_join, language_id, line_dedup, mixing, oracles, topk_search
+from . import bpe, context_mixing, exact_dedup, html_text, jaccard_join, language_id, line_dedup, mixing, oracles, suffix_dedup, topk_search
 from .common import remainder, ship, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,10 @@ def op5_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return context_mixing.score_documents(table(spark, sf, "documents", "doc_id", "text"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents", "doc_id", "text"))
+
+
 def op7_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf, "embeddings", "vec_id", "embedding"))
 
@@ -52,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents", "doc_id", "text", "lang", "source", "n_chars"))
 
 
-QUERIES = (op1_line_dedup, op2_language_id, op3_jaccard_join, op4_exact_dedup, op5_lm_scoring, op7_topk, op8_bpe, op9_html_text, op10_mixing)
+QUERIES = (op1_line_dedup, op2_language_id, op3_jaccard_join, op4_exact_dedup, op5_lm_scoring, op6_suffix_dedup, op7_topk, op8_bpe, op9_html_text, op10_mixing)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
