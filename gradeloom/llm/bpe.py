@@ -18,6 +18,7 @@ import heapq
 import json
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -195,8 +196,8 @@ def _added(docs: DataFrame, path: str, read: str, name: str, kind: str, function
     return docs.mapInArrow(apply, schema)
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Token count, digest of the ids and digest of the decoded text of every document.
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """Token count, digest of the ids and digest of the decoded text of every document, and its ids if asked for.
 
     Encodes and decodes every whole text where it is read, without a shuffle. A
     null text counts as empty (no tokens). Rows are independent: repeated rows
@@ -206,15 +207,17 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def apply(batch):
         bpe = _loaded(path)
-        counts, ids_digest, text_digest = [], [], []
-        for text in batch.column(1).to_pylist():
-            runs = bpe.encoded(text or "")
-            counts.append(sum(len(r[0]) for r in runs))
-            ids_digest.append(hashlib.sha256(",".join([r[1] for r in runs]).encode()).hexdigest())
+        out = {"doc_id": batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
+        for text in batch.column(1):
+            runs = bpe.encoded(text.as_py() or "")
+            out["n_tokens"].append(sum(len(r[0]) for r in runs))
+            out["ids_sha256"].append(hashlib.sha256(",".join([r[1] for r in runs]).encode()).hexdigest())
             decoded = b"".join([r[2] for r in runs]).decode("utf-8", "replace")
-            text_digest.append(hashlib.sha256(decoded.encode()).hexdigest())
-        return {"doc_id": batch.column(0), "n_tokens": counts, "ids_sha256": ids_digest, "decoded_sha256": text_digest}
+            out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+            if with_ids:
+                out["ids"].append(np.fromiter((i for r in runs for i in r[0]), dtype=np.int32))
+        return out
 
-    return in_batches(
-        docs.select("doc_id", "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", apply
-    )
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return in_batches(docs.select("doc_id", "text"), schema + ", ids array<int>" * with_ids, apply)

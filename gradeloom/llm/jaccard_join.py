@@ -418,6 +418,19 @@ def linked_sets(
     return linked()
 
 
+def document_sets(
+    docs: DataFrame, width: int, percent: int, first_leaf: int = FIRST_LEAF, leaf: int = LEAF
+) -> DataFrame:
+    """(row, doc_id, n_shingles, comp): the component of every document's set, null for an empty set."""
+    listed = materialise(listed_sets(docs, width, percent))
+    groups = materialise(distinct_groups(materialise(first_groups(listed))))
+    members = materialise(groups.select("set").distinct())
+    sets = materialise(sets_of(docs, listed, members, width))
+    comps = materialise(components(linked_sets(groups, sets, percent, first_leaf, leaf)))
+    own = listed.select("row", "doc_id", "n_shingles", "set").join(comps, "set", "left")
+    return materialise(own.select("row", "doc_id", "n_shingles", F.coalesce("comp", "set").alias("comp")))
+
+
 def linked_documents(
     docs: DataFrame, width: int = 3, percent: int = 90, first_leaf: int = FIRST_LEAF, leaf: int = LEAF
 ) -> DataFrame:
@@ -430,15 +443,27 @@ def linked_documents(
     one component if their texts link. A null id never names a component unless
     it stands alone. An empty table gives no rows; other columns are not read.
     """
-    listed = materialise(listed_sets(docs, width, percent))
-    groups = materialise(distinct_groups(materialise(first_groups(listed))))
-    members = materialise(groups.select("set").distinct())
-    sets = materialise(sets_of(docs, listed, members, width))
-    links = linked_sets(groups, sets, percent, first_leaf, leaf)
-    comps = materialise(components(links))
-    own = listed.select("doc_id", "n_shingles", "set").join(comps, "set", "left")
-    own = materialise(own.withColumn("comp", F.coalesce("comp", "set")))
-    least = materialise(own.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("component_id")))
-    return own.join(least, "comp", "left").select(
+    own = document_sets(docs, width, percent, first_leaf, leaf)
+    least = own.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return own.join(materialise(least), "comp", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of every component: that of the smallest doc_id (a null id comes last).
+
+    Documents without words are linked with nothing and all stay; of repeated
+    rows one stays. The rows that stay are unchanged, whatever their columns.
+    """
+    own = document_sets(docs, width, percent).where(F.col("comp").isNotNull())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stay = materialise(own.groupBy("comp").agg(first.alias("first")).select(F.col("first.row").alias("row")))
+    packed = docs.select(
+        row_key(F.col("doc_id"), F.col("text")).alias("row"),
+        whole_text().rlike(r"[^\x20\x09-\x0D]").alias("worded"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"),
+    )
+    worded = packed.where("worded").join(stay, "row").groupBy("row").agg(F.first("kept").alias("kept")).select("kept")
+    rest = packed.where(~F.col("worded")).select("kept")
+    return worded.unionByName(rest).select(*[F.col("kept").getField(c).alias(c) for c in docs.columns])
