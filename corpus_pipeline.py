@@ -18,8 +18,8 @@ from gradeloom.session import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: A text stays if half of its trigrams, false positives taken off, belong to one learned language.
-LEAST_SCORE = 0.5
+#: A text stays if this part of its trigrams, false positives taken off, belongs to one learned language.
+LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
