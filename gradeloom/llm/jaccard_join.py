@@ -39,6 +39,7 @@ PIVOTS = 4
 FIRST_LEAF = 24
 #: Regions of so many members join in one task later on.
 LEAF = 2048
+SLICES = 128
 COLUMNS = 2048
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _ODD = np.uint64(0x100000001B3)
@@ -208,15 +209,46 @@ def distinct_groups(groups: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, listed: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(set, grams) for the sets in ``members``: the n-grams are made again from one text of each."""
+    """(set, grams, n, sketch) for the sets in ``members``: the n-grams are made again from one text of each.
+
+    The sketch has the number of n-grams in each of ``SLICES`` slices of the
+    hashes. The slices are pivots too: a set's differences to another one are at
+    least the sum of the differences of these numbers.
+    """
     rows = listed.join(members, "set", "left_semi").groupBy("set").agg(F.min("row").alias("row"))
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), whole_text().alias("text"))
 
     def grams(batch: pa.RecordBatch) -> dict:
-        return {"set": batch.column(0), "grams": [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]}
+        found = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+        slices = [np.bincount((_mixed(x, 1) >> np.uint64(32)) % np.uint64(SLICES), minlength=SLICES) for x in found]
+        return {
+            "set": batch.column(0), "grams": [x.tobytes() for x in found], "n": [len(x) for x in found],
+            "sketch": [np.minimum(x, 255).astype(np.uint8).tobytes() for x in slices],
+        }
 
     found = texts.join(rows, "row").select("set", "text")
-    return in_batches(found, "set long, grams binary", grams)
+    return in_batches(found, "set long, grams binary, n long, sketch binary", grams)
+
+
+def near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches and sizes leave it possible that they are linked."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (
+                np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, SLICES).astype(np.int64)
+                for i in (3, 5)
+            )
+            both = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            apart = np.maximum(np.abs(x - y).sum(axis=1), np.abs(batch.column(2).to_numpy() - batch.column(4).to_numpy()))
+            yield batch.select(["a", "b"]).filter(pa.array(100 * (both - apart) >= percent * (both + apart)))
+
+    left = sets.select(F.col("set").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x"))
+    right = sets.select(F.col("set").alias("b"), "n", F.col("sketch").alias("y"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "m", "x", "n", "y")
+    return met.mapInArrow(possible, "a long, b long")
 
 
 def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -359,10 +391,10 @@ def linked_sets(
 ) -> DataFrame:
     """(a, b): verified links that connect all sets of ``groups`` that are connected by links.
 
-    First round: small groups compare their unconnected pairs, each pair once
-    over all groups; large ones measure their members against a few pivots,
-    those that share most groups. Second: the members of unsettled large groups
-    are grouped anew by their rarest n-grams; a group up to ``leaf`` joins in one
+    First round: members are measured against one pivot of their group, in large
+    groups a few, those that share most groups; then small groups compare what
+    is unconnected, each pair once over all groups. Second: the members of
+    unsettled large groups are grouped anew by their rarest n-grams; a group up to ``leaf`` joins in one
     task, a larger one is split into the regions of its pivots. Third: regions
     that are still larger, as all their members are about as far from each
     other, are cut into chunks that meet in pairs. Only what is not connected is
@@ -375,14 +407,17 @@ def linked_sets(
     def linked() -> DataFrame:
         return reduce(DataFrame.unionByName, links)
 
-    def measured_pivots(large: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def measured_pivots(active: DataFrame, single_to: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Members against the pivots of their group, one for groups up to ``single_to`` members."""
         place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("degree"), "set"))
-        ranked = large.join(degree, "set").withColumn("_p", place)
-        pivots = materialise(ranked.where(F.col("_p") <= PIVOTS).select("g", F.col("set").alias("pivot")))
-        met = large.select("g", "set").join(pivots, "g").where(F.col("set") != F.col("pivot"))
-        met = materialise(met.withColumns({"a": F.least("set", "pivot"), "b": F.greatest("set", "pivot")}))
-        asked = met.select("a", "b") if more is None else met.select("a", "b").unionByName(more)
-        measured = materialise(distances(materialise(asked.distinct()), sets, percent))
+        most = F.when(F.col("n") <= single_to, 1).otherwise(PIVOTS)
+        ranked = active.select("g", "set", "n").join(degree, "set").withColumn("_p", place).where(F.col("_p") <= PIVOTS)
+        pivots = materialise(ranked.where(F.col("_p") <= most).select("g", F.col("set").alias("pivot")))
+        met = active.select("g", "set").join(pivots, "g").where(F.col("set") != F.col("pivot"))
+        met = met.withColumns({"a": F.least("set", "pivot"), "b": F.greatest("set", "pivot")})
+        asked = materialise(met.select("a", "b").distinct())
+        near = asked if single_to == 0 else near_enough(asked, sets, percent)
+        measured = materialise(distances(near, sets, percent))
         links.append(measured.where("linked").select("a", "b"))
         return pivots, met, measured
 
@@ -391,12 +426,14 @@ def linked_sets(
         links.append(materialise(members.groupBy("g").applyInArrow(region_links(percent), "a long, b long")))
 
     active = unsettled(groups, None)
-    small = active.where(F.col("n") <= first_leaf)
-    other = small.select("g", F.col("set").alias("b"))
-    pairs = small.join(other, "g").where(F.col("set") < F.col("b")).select(F.col("set").alias("a"), "b")
-    large = active.where(F.col("n") > first_leaf)
-    measured_pivots(large, pairs)
-    left = unsettled(large.select("g", "set"), components(linked()))
+    measured_pivots(active, first_leaf)
+    left = unsettled(groups, components(linked()))
+    small = left.where(F.col("n") <= first_leaf)
+    other = small.select("g", F.col("set").alias("b"), F.col("comp").alias("comp_b"))
+    pairs = small.join(other, "g").where((F.col("set") < F.col("b")) & (F.col("comp") != F.col("comp_b")))
+    pairs = materialise(pairs.select(F.col("set").alias("a"), "b").distinct())
+    links.append(materialise(distances(near_enough(pairs, sets, percent), sets, percent)).where("linked").select("a", "b"))
+    left = unsettled(left.where(F.col("n") > first_leaf).select("g", "set"), components(linked()))
     if left.isEmpty():
         return linked()
     groups = materialise(distinct_groups(materialise(rare_prefixes(left.select("set").distinct(), sets, percent))))
@@ -405,7 +442,7 @@ def linked_sets(
     large = active.where(F.col("n") > leaf)
     if large.isEmpty():
         return linked()
-    pivots, met, measured = measured_pivots(large)
+    pivots, met, measured = measured_pivots(large, 0)
     away = met.join(measured.select("a", "b", "distance"), ["a", "b"])
     away = materialise(away.join(pivots.select("g", F.col("pivot").alias("set")), ["g", "set"], "left_anti"))
     nearest = materialise(away.groupBy("g", "set").agg(F.min("distance").alias("nearest")))
