@@ -13,7 +13,7 @@ Documents without a common n-gram are at distance one from each other, and no
 pivot tells them apart. So the first regions are found by a pigeonhole
 argument: sets of sizes a <= b that are linked differ in at most (a + b) / 19
 elements (for similarity 0.9), so of a few more parts than that, dealt by a hash
-of the elements, two at least are equal. Sets with an equal part form a group.
+of the elements, some at least are equal. Sets with an equal part form a group.
 Groups that stay large after a round of pivots are cut by the prefix of their
 members' n-grams that are rarest within the group, which is exact as well.
 
@@ -23,8 +23,9 @@ links that were verified on whole sets of 64-bit hashes of the n-grams.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -92,8 +93,9 @@ class Parts:
 
     Class k holds sizes from l to l / threshold; linked sets are in one class or
     in neighbouring ones, so a set has parts for its own class and for the one
-    below. Two parts at least agree: the empty parts of a set with one empty
-    part need not be matched then.
+    below. With ``spare`` more parts than the pigeonhole needs, ``spare`` + 1
+    parts agree at least. So the empty parts of a set need not be matched if it
+    has no more than ``spare``, which is chosen so that few sets have more.
     """
 
     def __init__(self, percent: int):
@@ -109,6 +111,20 @@ class Parts:
         """Most elements by which linked sets differ, if the smaller one has ``top`` elements or fewer."""
         return (top * (100 + self.percent) * (100 - self.percent)) // (self.percent * (100 + self.percent))
 
+    @lru_cache(maxsize=4096)
+    def layout(self, k: int) -> tuple[int, int]:
+        """(parts, spare) of class k; no parts if its sets link with equal ones only."""
+        top = self.tops[k]
+        needed = self.differing(top) + 1
+        if needed == 1:
+            return 0, 0
+        spare = 1
+        for _ in range(4):
+            parts = needed + spare
+            empty = parts * math.exp(-max(1.0, top * self.percent / 100) / parts)
+            spare = math.ceil(1 + empty + 4 * math.sqrt(empty))
+        return needed + spare, spare
+
     def signatures(self, grams: np.ndarray) -> np.ndarray:
         n = len(grams)
         if not n:
@@ -118,16 +134,16 @@ class Parts:
         out = []
         spread = _mixed(grams, 2)
         for k in (own, own - 1):
-            if k < 0 or not self.differing(self.tops[k]):
+            parts, spare = self.layout(k) if k >= 0 else (0, 0)
+            if not parts:
                 continue
-            parts = self.differing(self.tops[k]) + 2
             part = ((spread >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             size = np.bincount(part, minlength=parts)
             sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(grams, 3)[order], dtype=np.uint64)])
             ends = np.cumsum(size)
             total = sums[ends] - sums[ends - size]
-            used = np.flatnonzero(size) if (size == 0).sum() < 2 else np.arange(parts)
+            used = np.flatnonzero(size) if (size == 0).sum() <= spare else np.arange(parts)
             place = used.astype(np.uint64) * _MIX[1] + np.array([k * 1_000_003 + 17], dtype=np.uint64) * _MIX[0]
             out.append(_mixed(_mixed(total, 0)[used] ^ place, 2))
         return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
