@@ -26,7 +26,10 @@ from pyspark.sql import DataFrame
 from .common import in_batches
 
 LONG_WORD = 200
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
+CACHE_PIECES = 60_000
+#: Documents that are encoded before their rows leave the task.
+SLICE = 256
 
 # The word pattern of byte-level BPE and the characters that stand for bytes.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -65,8 +68,8 @@ class ByteBpe:
             else None
         )
         self.uneven = regex.compile(r"^\s|\s$| \s|\s ")
-        self.words: dict[str, tuple[list[int], str, bytes]] = {}
-        self.pieces: dict[str, tuple[list[int], str, bytes]] = {}
+        self.words: dict[str, tuple[int, str, bytes]] = {}
+        self.pieces: dict[str, tuple[int, str, bytes]] = {}
 
     def merge_short(self, word: bytes) -> list[int]:
         """Parts of one word, by scans over the contiguous array of adjacent ranks."""
@@ -111,25 +114,26 @@ class ByteBpe:
                     heapq.heappush(queue, (rank, a, parts[a], parts[b]))
         return [p for p in parts if p >= 0]
 
-    def _word(self, word: str) -> tuple[list[int], str, bytes]:
+    def _word(self, word: str) -> tuple[int, str, bytes]:
         raw = word.encode()
         ids = self.merge_short(raw) if len(raw) <= LONG_WORD else self.merge_long(raw)
-        return self._kept(self.words, word, ids)
+        run = len(ids), ",".join(map(str, ids)), b"".join(map(self.token_bytes.__getitem__, ids))
+        return self._kept(self.words, CACHE_WORDS, word, run)
 
-    def _piece(self, piece: str) -> tuple[list[int], str, bytes]:
+    def _piece(self, piece: str) -> tuple[int, str, bytes]:
         words, find = self.word.findall(piece), self.words.get
         if len(words) == 1:
             return find(piece) or self._word(piece)
         runs = [find(w) or self._word(w) for w in words]
-        return self._kept(self.pieces, piece, [i for r in runs for i in r[0]])
+        run = sum([r[0] for r in runs]), ",".join([r[1] for r in runs]), b"".join([r[2] for r in runs])
+        return self._kept(self.pieces, CACHE_PIECES, piece, run)
 
-    def _kept(self, cache: dict, key: str, ids: list[int]) -> tuple[list[int], str, bytes]:
-        found = ids, ",".join(map(str, ids)), b"".join(map(self.token_bytes.__getitem__, ids))
+    def _kept(self, cache: dict, size: int, key: str, run: tuple[int, str, bytes]) -> tuple[int, str, bytes]:
         if len(key) <= LONG_WORD:
-            if len(cache) >= CACHE_WORDS:
+            if len(cache) >= size:
                 cache.clear()
-            cache[key] = found
-        return found
+            cache[key] = run
+        return run
 
     def _pieces(self, text: str) -> list[str]:
         """Cuts that no word crosses: before a single space between two characters that are not white space.
@@ -142,20 +146,20 @@ class ByteBpe:
         first, *rest = text.split(" ")
         return [first, *[" " + r for r in rest]]
 
-    def encoded(self, text: str) -> list[tuple[list[int], str, bytes]]:
-        """Runs of a text as (ids, ids in decimal, bytes that the ids stand for)."""
+    def encoded(self, text: str) -> list[tuple[int, str, bytes]]:
+        """Runs of a text as (number of ids, ids in decimal, bytes that the ids stand for)."""
         sections = self.split_special.split(text) if self.split_special else [text]
         out, word, piece = [], self.words.get, self.pieces.get
         for section in sections:
             if section in self.special:
                 i = self.special[section]
-                out.append(([i], str(i), self.token_bytes[i]))
+                out.append((1, str(i), self.token_bytes[i]))
             elif section:
                 out += [word(p) or piece(p) or self._piece(p) for p in self._pieces(section)]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for run in self.encoded(text) for i in run[0]]
+        return [int(i) for run in self.encoded(text) for i in run[1].split(",")]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -206,16 +210,20 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """
 
     def apply(batch):
-        bpe = _loaded(path)
+        for start in range(0, batch.num_rows, SLICE):
+            yield encoded(_loaded(path), batch.slice(start, SLICE))
+
+    def encoded(bpe, batch):
         out = {"doc_id": batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
         for text in batch.column(1):
             runs = bpe.encoded(text.as_py() or "")
-            out["n_tokens"].append(sum(len(r[0]) for r in runs))
-            out["ids_sha256"].append(hashlib.sha256(",".join([r[1] for r in runs]).encode()).hexdigest())
+            ids = ",".join([r[1] for r in runs])
+            out["n_tokens"].append(sum([r[0] for r in runs]))
+            out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
             decoded = b"".join([r[2] for r in runs]).decode("utf-8", "replace")
             out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
             if with_ids:
-                out["ids"].append(np.fromiter((i for r in runs for i in r[0]), dtype=np.int32))
+                out["ids"].append(np.fromstring(ids, dtype=np.int32, sep=","))
         return out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
