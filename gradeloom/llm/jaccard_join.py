@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import materialise
 from .common import in_batches, row_key, whole_text
 
-PIVOTS = 4
+PIVOTS = 2
 #: Groups of so many members compare their pairs in the first round.
-FIRST_LEAF = 24
+FIRST_LEAF = 8
 #: Regions of so many members join in one task later on.
 LEAF = 2048
 SLICES = 128
@@ -149,13 +149,17 @@ class Parts:
         return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
-def listed_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(row, doc_id, n_shingles, set, sigs) of every document; a task lists the parts of equal sets once."""
+def listed_sets(docs: DataFrame, width: int, percent: int, with_parts: bool) -> DataFrame:
+    """(row, doc_id, n_shingles, set, sigs) of every document; a task lists the parts of equal sets once.
+
+    The parts are by far the larger output, and making them twice costs less
+    than storing them: they are left out where only the sets are asked for.
+    """
     kind = docs.schema["doc_id"].dataType
     names = ["row", "doc_id", "n_shingles", "set", "sigs"]
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, seen = Parts(percent), set()
+        parts, seen, none = Parts(percent), set(), np.empty(0, dtype=np.int64)
         for batch in batches:
             sizes, sets, sigs = [], [], []
             for text in batch.column(2):
@@ -163,7 +167,7 @@ def listed_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 number = xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else None
                 sizes.append(len(grams))
                 sets.append(number)
-                sigs.append(np.empty(0, dtype=np.int64) if number in seen else parts.signatures(grams).view(np.int64))
+                sigs.append(none if not with_parts or number in seen else parts.signatures(grams).view(np.int64))
                 seen.add(number)
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
             flat = np.concatenate(sigs) if sigs else np.empty(0, dtype=np.int64)
@@ -475,8 +479,9 @@ def document_sets(
     docs: DataFrame, width: int, percent: int, first_leaf: int = FIRST_LEAF, leaf: int = LEAF
 ) -> DataFrame:
     """(row, doc_id, n_shingles, comp): the component of every document's set, null for an empty set."""
-    listed = materialise(listed_sets(docs, width, percent))
-    groups = materialise(distinct_groups(materialise(first_groups(listed))))
+    listed = materialise(listed_sets(docs, width, percent, with_parts=False).drop("sigs"))
+    parts = listed_sets(docs, width, percent, with_parts=True)
+    groups = materialise(distinct_groups(materialise(first_groups(parts))))
     members = materialise(groups.select("set").distinct())
     sets = materialise(sets_of(docs, listed, members, width))
     comps = materialise(components(linked_sets(groups, sets, percent, first_leaf, leaf)))
