@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.grades import BIN_LABELS, indicator, scale_a, score_bin, stretch_above
-from ..functions.predicates import matches
 
 FEATURES = ["base", "advanced", "structures"]
 GRADES = [*FEATURES, "target"]
@@ -26,12 +25,14 @@ COPY_RUN = 4096
 def attempts(enrollment: DataFrame, roles: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Per student and role, the whole grades with their number of attempts.
 
-    ``roles`` maps a role to (course name pattern, academic year). One scan
-    serves all roles, and the lists hold distinct grades.
+    ``roles`` maps a role to (course name, academic year). The name is the whole
+    name for a feature and the beginning of it for the ``target``; no character
+    is a wildcard. One scan serves all roles, and the lists hold distinct grades.
     """
+    course = F.col("course_name")
     tests = {
-        role: matches(F.col("course_name"), pattern) & (F.col("academic_year") == year)
-        for role, (pattern, year) in roles.items()
+        role: (course.startswith(name) if role == "target" else course == name) & (F.col("academic_year") == year)
+        for role, (name, year) in roles.items()
     }
     wanted = enrollment.where(reduce(Column.__or__, tests.values()))
     role = F.explode(F.array_compact(F.array(*(F.when(test, F.lit(r)) for r, test in tests.items()))))

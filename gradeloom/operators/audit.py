@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,8 +10,8 @@ from ..functions.grades import scale_c
 
 # Fixed value: the credit point that is reported course by course.
 FULL_POINTS = 18
-# A plan up to this size is compared as one array per student.
-MAX_PLAN = 2_000
+# Parts of a study plan; each is one array.
+SHARES = 4
 
 
 def taken_courses(enrollment: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -50,26 +49,23 @@ def audit_totals(taken: DataFrame, required: DataFrame) -> DataFrame:
     )
 
 
-def audit_missing(taken: DataFrame, required: DataFrame) -> DataFrame:
+def audit_missing(taken: DataFrame, required: DataFrame, shares: int = SHARES) -> DataFrame:
     """Required courses a student has not taken.
 
-    The plan is one array next to each student's set of taken required courses.
-    A plan above ``MAX_PLAN`` is spread over shares instead: every share is
-    compared with the students' courses of that share.
+    The plan is dealt into ``shares`` by a hash of the course, each share an
+    array; a student's taken required courses are dealt alike, and each share of
+    a student meets the plan's share once. The enrolments are aggregated once
+    for any number of shares, which only bounds the length of an array: a plan
+    of n courses has about n / shares in each.
     """
-    plan = required.select("course_name").distinct()
-    size = plan.count()
-    if size <= MAX_PLAN:
-        return _missing(taken, plan)
-    shares = 2 * -(-size // MAX_PLAN)
-    share = F.pmod(F.xxhash64("course_name"), F.lit(shares))
-    parts = [_missing(taken, plan.where(share == i)) for i in range(shares)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _missing(taken: DataFrame, plan: DataFrame) -> DataFrame:
-    wanted = plan.agg(F.collect_set("course_name")).scalar()
-    flagged = taken.join(plan.withColumn("_required", F.lit(True)), "course_name", "left")
-    have = F.collect_set(F.when(F.col("_required"), F.col("course_name")))
-    students = flagged.groupBy("student_id").agg(have.alias("have"))
-    return students.select("student_id", F.explode(F.array_except(wanted, F.col("have"))).alias("course_name"))
+    share = F.pmod(F.xxhash64("course_name"), F.lit(shares)).cast("int")
+    plan = required.select("course_name").distinct().where(F.col("course_name").isNotNull()).withColumn("share", share)
+    wanted = plan.groupBy("share").agg(F.collect_set("course_name").alias("wanted"))
+    flagged = taken.join(plan.select("course_name", F.col("share").alias("_share")), "course_name", "left")
+    pair = F.when(F.col("_share").isNotNull(), F.struct("_share", "course_name"))
+    students = flagged.groupBy("student_id").agg(F.collect_set(pair).alias("have"))
+    dealt = students.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    own = F.filter("have", lambda x: x["_share"] == F.col("share"))
+    have = F.transform(own, lambda x: x["course_name"])
+    rows = dealt.select("student_id", "share", have.alias("have")).join(wanted, "share")
+    return rows.select("student_id", F.explode(F.array_except("wanted", "have")).alias("course_name"))

@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 COURSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO"]
 CORE_ROLES = {"base": ("ECONOMY", "1998"), "advanced": ("LARGE", "1998"), "structures": ("MEDIUM", "1999")}
-ROLES = {**CORE_ROLES, "target": ("PROMO%", "2000")}
+ROLES = {**CORE_ROLES, "target": ("PROMO", "2000")}
 REPORT_KEYS = ["class_id", "course", "chapter"]
 
 _QUERIES: dict[str, Query] = {}
@@ -382,7 +382,9 @@ def degree_audit_missing(spark, sf):
 
 @_query
 def degree_audit_scores(spark, sf):
-    return audit.audit_scores(_taken(spark, sf), src.required_courses(spark, sf)).orderBy("score")
+    return audit.audit_scores(_taken(spark, sf), src.required_courses(spark, sf)).orderBy(
+        "student_id", "score", "course_name"
+    )
 
 
 @_query

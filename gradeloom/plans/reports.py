@@ -80,7 +80,7 @@ def degree_audit(
     rows = enrollment if student is None else enrollment.where(F.col("student_id") == student)
     taken = audit.taken_courses(rows, order)
     return {
-        "scores": audit.audit_scores(taken, required).orderBy("student_id", "score"),
+        "scores": audit.audit_scores(taken, required).orderBy("student_id", "score", "course_name"),
         "totals": audit.audit_totals(taken, required),
         "missing": audit.audit_missing(taken, required),
     }

@@ -45,6 +45,8 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="gradeloom-")
+    elif folder.startswith("file:") and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must be shared by all executors, not a local folder")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

@@ -1,8 +1,12 @@
-"""Sinks: CSV sheets, JSON records, appends and partition replacement."""
+"""Sinks: CSV sheets, JSON records, appends, partition replacement and upserts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..session import materialise
 
 
 def write_sheet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -24,11 +28,40 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def replace_courses(df: DataFrame, path: str, column: str = "course") -> None:
-    """Replace all rows of the courses in ``df``; other courses stay as they are.
+def replace_courses(
+    df: DataFrame, path: str, column: str = "course", courses: Sequence[str] | None = None
+) -> None:
+    """Replace all rows of ``courses`` by those in ``df``; other courses stay as they are.
 
-    Rebalanced by course: small courses are written by one task each, a course
-    with most of the rows is split by size.
+    Without ``courses`` they are the ones in ``df``. A named course that ``df``
+    has no row of loses all its rows: its partition is removed after the new
+    ones are in place. Rebalanced by course: small courses are written by one
+    task each, a course with most of the rows is split by size.
     """
     writer = df.hint("rebalance", F.col(column)).write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    if courses:
+        named = df.where(F.col(column).isin(*courses)).select(column).distinct()
+        _drop_partitions(df.sparkSession, path, column, set(courses) - {r[0] for r in named.collect()})
+
+
+def _drop_partitions(spark: SparkSession, path: str, column: str, values: set[str]) -> None:
+    """Remove whole partitions by the file system that the path belongs to."""
+    jvm = spark._jvm
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for value in sorted(values):
+        folder = jvm.org.apache.hadoop.fs.Path(path, f"{column}={escape(value)}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def upsert_courses(df: DataFrame, path: str, keys: Sequence[str], column: str = "course") -> None:
+    """Write the rows of ``df`` into the table at ``path``: new keys are added, known ones replaced.
+
+    Only the partitions of the courses in ``df`` are read and written again.
+    The merged rows are stored first, as the table is read and overwritten.
+    """
+    spark = df.sparkSession
+    touched = df.select(column).distinct()
+    stored = spark.read.schema(df.schema).parquet(path).join(touched, column, "left_semi")
+    kept = stored.join(df.select(*keys), list(keys), "left_anti").select(*df.columns)
+    replace_courses(materialise(kept.unionByName(df)), path, column)

@@ -307,7 +307,7 @@ def test_scoring_sheet(spark):
     ]
 
 
-def test_degree_audit(spark, monkeypatch):
+def test_degree_audit(spark):
     data = [
         ("a", "OS", 1, "60", 5.0), ("a", "OS", 2, "优秀", 18.0), ("a", "DB", 1, "通过", None), ("a", "PE", 1, "90", 18.0),
         ("b", "PE", 1, "70", 3.0),
@@ -321,5 +321,5 @@ def test_degree_audit(spark, monkeypatch):
     assert rows(audit.audit_totals(taken, required)) == [("a", 18.0, "OS"), ("b", 0.0, "")]
     missing = [("a", "ML"), ("b", "DB"), ("b", "ML"), ("b", "OS")]
     assert rows(audit.audit_missing(taken, required)) == missing
-    monkeypatch.setattr(audit, "MAX_PLAN", 1)
-    assert rows(audit.audit_missing(taken, required)) == missing
+    for shares in (1, 2, 9):
+        assert rows(audit.audit_missing(taken, required, shares)) == missing

@@ -76,7 +76,7 @@ def test_gain_of_one_student(spark):
 def test_grade_model(spark):
     roles = {
         "base": ("ECONOMY", "1998"), "advanced": ("LARGE", "1998"), "structures": ("MEDIUM", "1999"),
-        "target": ("PROMO%", "2000"),
+        "target": ("PROMO", "2000"),
     }
     enrollment = src.enrollment(spark, SF)
     model, tables = reports.grade_model(enrollment, roles, rounds=2, depth=2)

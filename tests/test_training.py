@@ -9,7 +9,7 @@ from gradeloom.ml import models, training
 from gradeloom.session import shared_folder
 from gradeloom.sources import sinks, tables
 
-ROLES = {"base": ("P1", "2021"), "advanced": ("P2", "2021"), "structures": ("DS", "2022"), "target": ("OS%", "2023")}
+ROLES = {"base": ("P1", "2021"), "advanced": ("P2", "2021"), "structures": ("DS", "2022"), "target": ("OS", "2023")}
 
 
 def enrollments(spark):
@@ -237,6 +237,36 @@ def test_replacing_one_course_keeps_the_others(spark, tmp_path):
     assert sorted((r.kp_id, r.course) for r in spark.read.parquet(path).collect()) == [(2, "B"), (9, "A")]
 
 
+def test_an_emptied_course_loses_its_rows(spark, tmp_path):
+    for name in ("nodes", "edges"):
+        path = str(tmp_path / name)
+        table = spark.createDataFrame([(1, "A"), (2, "B/1"), (3, "A")], "kp_id long, course string")
+        sinks.replace_courses(table, path)
+        sinks.replace_courses(table.limit(0), path, courses=["A", "none"])
+        assert [(r.kp_id, r.course) for r in spark.read.parquet(path).collect()] == [(2, "B/1")]
+        sinks.replace_courses(spark.createDataFrame([(5, "A")], table.schema), path, courses=["A", "B/1"])
+        assert [(r.kp_id, r.course) for r in spark.read.parquet(path).collect()] == [(5, "A")]
+
+
+def test_upsert_into_the_table_that_is_read(spark, tmp_path):
+    path = str(tmp_path / "points")
+    schema = "kp_id long, score double, course string"
+    sinks.replace_courses(spark.createDataFrame([(1, 1.0, "A"), (2, 2.0, "A"), (3, 3.0, "B")], schema), path)
+    stored = spark.read.schema(schema).parquet(path)
+    changed = stored.where("kp_id = 2").selectExpr("kp_id", "score + 10 AS score", "course")
+    sinks.upsert_courses(changed.unionByName(spark.createDataFrame([(4, 4.0, "A")], schema)), path, ["kp_id", "course"])
+    assert sorted((r.kp_id, r.score, r.course) for r in spark.read.parquet(path).collect()) == [
+        (1, 1.0, "A"), (2, 12.0, "A"), (3, 3.0, "B"), (4, 4.0, "A"),
+    ]
+
+
+def test_role_names_have_no_wildcards(spark):
+    data = [("s", "C_1", "70", "2021"), ("s", "CX1", "10", "2021"), ("s", "T_a", "80", "2022"), ("s", "TXa", "20", "2022")]
+    frame = spark.createDataFrame(data, "student_id string, course_name string, grade_text string, academic_year string")
+    found = training.training_set(frame, {"base": ("C_1", "2021"), "target": ("T_", "2022")}).collect()
+    assert [(r.base, r.target) for r in found] == [(70.0, 80.0)]
+
+
 def test_named_binds(spark):
     frame = spark.createDataFrame([("a", 1), ("b'--", 2)], "code string, n int")
     got = tables.query(spark, "SELECT n FROM {t} WHERE code = :code", {"t": frame}, code="b'--")
