@@ -42,10 +42,13 @@ def numeric_grade(grade: Column) -> Column:
 
 
 def whole_grade(grade: Column) -> Column:
-    """Lenient whole-number cast: leading number rounded half up, else 0."""
+    """Lenient whole-number cast: leading number rounded half up, else 0.
+
+    A number of more than ten digits is no grade and gives NULL.
+    """
     leading = F.regexp_extract(grade, f"^ *{NUMBER}", 1)
     number = leading.try_cast("double").try_cast("decimal(10,0)").cast("double")
-    return F.coalesce(number, F.when(grade.isNotNull(), F.lit(0.0)))
+    return F.coalesce(number, F.when(leading == "", F.lit(0.0)))
 
 
 def scale_a(grade: Column) -> Column:

@@ -35,6 +35,10 @@ def number_text(score: Column) -> Column:
     return F.regexp_replace(score.cast("string"), r"\.0$", "")
 
 
+# Fixed values below: limits, names and colours of the bands, end colours of the
+# gradients, and the text for a point that was not examined.
+
+
 def _by_band(score: Column, perfect, red, blue, green, none) -> Column:
     """Band limits: 100; [0, 60); [60, 80); [80, 100); anything else."""
     return (

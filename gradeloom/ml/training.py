@@ -72,12 +72,13 @@ def training_set(
 def expand(training: DataFrame) -> DataFrame:
     """One row per combination of attempts, as an ordinary join would give.
 
-    Copies are made in runs, so that no array is longer than a run.
+    Copies are made in runs, so that no array is longer than a run, and the runs
+    are dealt over the tasks before they are copied out.
     """
     runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(WEIGHT) - 1) / COPY_RUN).cast("long")))
     length = F.least(F.lit(COPY_RUN), F.col(WEIGHT) - F.col("_run") * COPY_RUN).cast("int")
-    copies = training.withColumn("_run", runs).withColumn("_copy", F.explode(F.array_repeat(F.lit(True), length)))
-    return copies.drop("_run", "_copy", WEIGHT)
+    dealt = training.withColumn("_run", runs).repartition("student_id", "_run")
+    return dealt.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), length))).drop("_run", "_copy", WEIGHT)
 
 
 def grade_tuples(training: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -178,15 +179,19 @@ def split(training: DataFrame, seed: int = 42) -> DataFrame:
     return training.withColumn("part", F.when(test, "test").otherwise("train"))
 
 
-def scaling(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with mean and population deviation per column; 1 where it is 0."""
+def scaling(train: DataFrame, columns: Sequence[str], tolerance: float = 1e-12) -> DataFrame:
+    """One row with mean and population deviation per column; 1 where it is 0.
+
+    A variance counts as 0 up to ``tolerance`` times 1 + mean squared, which is
+    what rounding leaves of a constant column.
+    """
     w = F.col(WEIGHT)
     n = F.sum(w)
 
     def deviation(c: str) -> Column:
         mean = F.sum(w * F.col(c)) / n
         spread = F.greatest(F.sum(w * F.col(c) * F.col(c)) / n - mean * mean, F.lit(0.0))
-        return F.when(spread > 1e-12 * (1 + mean * mean), F.sqrt(spread)).otherwise(1.0)
+        return F.when(spread > tolerance * (1 + mean * mean), F.sqrt(spread)).otherwise(1.0)
 
     return train.agg(
         *((F.sum(w * F.col(c)) / n).alias(f"{c}_mean") for c in columns),

@@ -68,6 +68,10 @@ def home_scores(
         & matches(F.col("student_id"), student)
     )
     own = chosen.select(*keys, *(c for c in _CELL if c not in keys))
+    if student != "%":
+        # Only the means of these students' courses are needed.
+        courses = chosen.select(F.col("course_name").alias("_course")).distinct()
+        scored = scored.join(courses, F.col("course_name").eqNullSafe(F.col("_course")), "left_semi")
     cells = materialise(_cells(scored))
     same = F.lit(True)
     for c in _CELL:
@@ -132,7 +136,7 @@ def student_report(home: DataFrame) -> DataFrame:
     weak = F.col("personal") < F.col("class_mean")
 
     def lines(score: str) -> Column:
-        entry = F.format_string("%s: %.1f分", F.col("course_name"), F.col(score))
+        entry = F.format_string("%s %.1f", F.col("course_name"), F.col(score))
         return _joined(F.when(F.col(score).isNotNull(), entry))
 
     parts = subjects.groupBy("student_id").agg(
@@ -142,10 +146,10 @@ def student_report(home: DataFrame) -> DataFrame:
         F.count_if(weak).alias("n_weak"),
     )
     text = F.concat(
-        F.lit("学生标识："), F.col("student_id"),
-        F.lit("\n个人成绩："), F.col("own"),
-        F.lit("\n班级平均："), F.col("others"),
-        F.lit("\n低于班级平均的科目："), F.when(F.col("weak") == "", "无").otherwise(F.col("weak")),
+        F.lit("student "), F.col("student_id"),
+        F.lit("\ngrades: "), F.col("own"),
+        F.lit("\nclass means: "), F.col("others"),
+        F.lit("\nbelow the class mean: "), F.when(F.col("weak") == "", "none").otherwise(F.col("weak")),
     )
     return parts.select("student_id", "n_weak", text.alias("report"))
 

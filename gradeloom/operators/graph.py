@@ -6,11 +6,23 @@ then spread over the tasks like any other rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.predicates import not_blank
 from ..sources.sinks import json_record
 
+# Headers of the prerequisite sheet.
+SHEET_HEADERS = {
+    "章节": "chapter", "一级知识点": "level1",
+    "前驱知识点1": "pre1", "前驱知识点2": "pre2", "前驱知识点3": "pre3",
+    "二级知识点1": "sub1", "二级知识点2": "sub2", "二级知识点3": "sub3", "二级知识点4": "sub4", "二级知识点5": "sub5",
+}
+
+#: Columns of a sheet that hold the predecessors and the secondary points.
+CELLS = ("pre1", "pre2", "pre3", "sub1", "sub2", "sub3", "sub4", "sub5")
+
 
 def edge_set(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").distinct()
@@ -75,39 +87,48 @@ def elements(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def assign_keys(nodes: DataFrame) -> DataFrame:
-    """Reproducible 64-bit key per (course, name); raises if two names collide."""
-    keyed = nodes.withColumn("kp_id", F.xxhash64("course", "name"))
+    """Reproducible 60-bit key per (course, name); raises if two names collide.
+
+    The first 15 hexadecimal digits of an md5, as other engines compute it alike.
+    """
+    digest = F.md5(F.concat_ws("\x1f", "course", "name").cast("binary"))
+    keyed = nodes.withColumn("kp_id", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
     pairs = keyed.select("kp_id", "course", "name").distinct()
     if not pairs.groupBy("kp_id").count().where(F.col("count") > 1).isEmpty():
         raise ValueError("two knowledge points have the same key")
     return keyed
 
 
-def _sheet_columns(sheet: DataFrame, prefix: str) -> list[str]:
-    return sorted(c for c in sheet.columns if c.startswith(prefix))
+def named_sheet(sheet: DataFrame) -> DataFrame:
+    """The sheet with its own headers replaced by the names used here; other columns stay."""
+    return sheet.withColumnsRenamed(SHEET_HEADERS)
 
 
-def _first_mentions(sheet: DataFrame) -> tuple[DataFrame, list[str]]:
+def _first_mentions(sheet: DataFrame, cells: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Sheet rows by level-1 point: a repeated point keeps its first row."""
-    missing = {"chapter", "level1"} - set(sheet.columns)
+    missing = {"row_no", "chapter", "level1"} - set(sheet.columns)
     if missing:
         raise ValueError(f"sheet lacks the columns {sorted(missing)}")
-    cells = _sheet_columns(sheet, "pre") + _sheet_columns(sheet, "sub")
-    first = F.min(F.struct("row_no", "chapter", *cells)).alias("row")
+    present = [c for c in cells if c in sheet.columns]
+    first = F.min(F.struct("row_no", "chapter", *present)).alias("row")
     rows = sheet.where(not_blank(F.col("level1"))).groupBy("level1").agg(first)
-    return rows.select("level1", "row.*"), cells
+    return rows.select("level1", "row.*"), present
+
 
+def prereq_edges(sheet: DataFrame, cells: Sequence[str] = CELLS) -> DataFrame:
+    """Edges by name: predecessors and secondary points lead to the level-1 point.
 
-def prereq_edges(sheet: DataFrame) -> DataFrame:
-    """Edges by name: predecessors and secondary points lead to the level-1 point."""
-    rows, cells = _first_mentions(sheet)
+    ``cells`` names the columns of points, in their order; those that the sheet
+    lacks are empty, and no other column is read as one.
+    """
+    rows, cells = _first_mentions(sheet, cells)
     long = rows.unpivot(["level1"], cells, "_cell", "source").where(not_blank(F.col("source")))
     return long.select("source", F.col("level1").alias("target")).distinct()
 
 
-def prereq_nodes(sheet: DataFrame) -> DataFrame:
+def prereq_nodes(sheet: DataFrame, cells: Sequence[str] = CELLS) -> DataFrame:
     """One node per name, in the chapter that mentions it first (row, then column)."""
-    rows, cells = _first_mentions(sheet)
+    rows, cells = _first_mentions(sheet, cells)
     places = [F.struct(F.lit(0).alias("pos"), F.col("level1").alias("name"))]
     places += [F.struct(F.lit(i + 1).alias("pos"), F.col(c).alias("name")) for i, c in enumerate(cells)]
     mentions = rows.select("row_no", "chapter", F.inline(F.array(*places))).where(not_blank(F.col("name")))

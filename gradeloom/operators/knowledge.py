@@ -84,21 +84,38 @@ def mastery(
     )
 
 
+def _shown(scored: DataFrame) -> DataFrame:
+    """(id, student_id, score): of several scores the one of the last stage (then year, then score)."""
+    last = F.max(F.struct("stage", "year", "score")).alias("last")
+    return scored.groupBy("id", "student_id").agg(last).select("id", "student_id", F.col("last.score").alias("score"))
+
+
+def _displayed(rows: DataFrame) -> DataFrame:
+    score = F.col("score")
+    return rows.withColumns(
+        {
+            "band": mastery_band(score), "colour": mastery_colour(score), "gradient": mastery_gradient(score),
+            "shown": shown_score(score),
+        }
+    )
+
+
+def _nodes(points: DataFrame) -> DataFrame:
+    return points.select(F.col("kp_id").cast("string").alias("id"), F.col("kp_name").alias("name"))
+
+
 def mastery_display(points: DataFrame, scored: DataFrame) -> DataFrame:
-    """Every point with the score shown on it, per student who has one.
+    """The base layer, every point once without a student, and a row per student and scored point.
 
-    Of several scores the one of the last stage is shown (then year, then
-    score). A point nobody was assessed in has one row without a student.
+    The graph of a student is the base layer, in which the rows of the student
+    replace those of the same point.
     """
-    last = F.max(F.struct("stage", "year", "score")).alias("last")
-    shown = scored.groupBy("id", "student_id").agg(last)
-    nodes = points.select(F.col("kp_id").cast("string").alias("id"), F.col("kp_name").alias("name"))
-    score = F.col("last.score")
-    return nodes.join(shown, "id", "left").select(
-        "id", "name", "student_id",
-        score.alias("score"),
-        mastery_band(score).alias("band"),
-        mastery_colour(score).alias("colour"),
-        mastery_gradient(score).alias("gradient"),
-        shown_score(score).alias("shown"),
-    )
+    nodes = _nodes(points)
+    base = nodes.withColumns({"student_id": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
+    own = nodes.join(_shown(scored), "id").select("id", "name", "student_id", "score")
+    return _displayed(base.unionByName(own))
+
+
+def student_display(points: DataFrame, scored: DataFrame) -> DataFrame:
+    """Every point with the score shown on it, of the only student in ``scored``."""
+    return _displayed(_nodes(points).join(_shown(scored).drop("student_id"), "id", "left").select("id", "name", "score"))

@@ -162,8 +162,10 @@ def gain_radar(gains: DataFrame) -> DataFrame:
 
 
 def gain_report(gains: DataFrame) -> DataFrame:
-    """Text of a student's gains: at most three entries per course."""
-    entry = F.format_string("%s: %.4f,学期：%s", F.col("subject"), F.col("score"), F.col("type"))
-    lines = F.array_join(F.sort_array(F.collect_list(entry)), "\n")
-    text = F.concat(F.lit("学生ID: "), F.col("student_id"), F.lit("\n个人增值评价:\n"), lines)
-    return gain_radar(gains).groupBy("student_id").agg(text.alias("report"))
+    """Text of a student's gains: one line per course."""
+    line = F.format_string(
+        "%s: actual %.4f, expected %.4f, gain %.4f", *(F.col(c) for c in ("course_name", "actual", "expected", "gain"))
+    )
+    lines = F.array_join(F.sort_array(F.collect_list(line)), "\n")
+    text = F.concat(F.lit("student "), F.col("student_id"), F.lit("\n"), lines)
+    return gains.groupBy("student_id").agg(text.alias("report"))

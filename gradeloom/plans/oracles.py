@@ -31,8 +31,9 @@ def _labels(grade: str, labels: dict[str, int], otherwise: str) -> str:
 
 
 def _whole(g: str) -> str:
-    lead = f"TRY_CAST(regexp_extract({g}, '^ *{NUMBER}', 1) AS DOUBLE)"
-    return f"CASE WHEN {g} IS NOT NULL THEN COALESCE(CAST(TRY_CAST({lead} AS DECIMAL(10,0)) AS DOUBLE), 0.0) END"
+    lead = f"regexp_extract({g}, '^ *{NUMBER}', 1)"
+    number = f"CAST(TRY_CAST(TRY_CAST({lead} AS DOUBLE) AS DECIMAL(10,0)) AS DOUBLE)"
+    return f"CASE WHEN {g} IS NOT NULL THEN CASE WHEN {lead} = '' THEN 0.0 ELSE {number} END END"
 
 
 def _plain(g: str) -> str:
@@ -332,11 +333,11 @@ UNION ALL SELECT student_id, course_name, grade_text, {_short('course_name', '..
     "weak_subjects": f"""SELECT student_id, course_name, personal, {_round('class_mean')} AS class_mean
 FROM subjects WHERE personal < class_mean""",
     "student_report_text": f"""SELECT student_id, COUNT(*) FILTER (personal < class_mean) AS n_weak,
-  '学生标识：' || student_id
-  || E'\\n个人成绩：' || STRING_AGG(course_name || ': ' || {_ones('personal')} || '分', ', ' ORDER BY course_name)
-  || E'\\n班级平均：' || STRING_AGG(course_name || ': ' || {_ones('class_mean')} || '分', ', ' ORDER BY course_name)
-  || E'\\n低于班级平均的科目：'
-  || COALESCE(STRING_AGG(course_name, ', ' ORDER BY course_name) FILTER (personal < class_mean), '无') AS report
+  'student ' || student_id
+  || E'\\ngrades: ' || STRING_AGG(course_name || ' ' || {_ones('personal')}, ', ' ORDER BY course_name)
+  || E'\\nclass means: ' || STRING_AGG(course_name || ' ' || {_ones('class_mean')}, ', ' ORDER BY course_name)
+  || E'\\nbelow the class mean: '
+  || COALESCE(STRING_AGG(course_name, ', ' ORDER BY course_name) FILTER (personal < class_mean), 'none') AS report
 FROM subjects GROUP BY student_id""",
     "class_value_added": _slope(
         "class_id", f"MIN_BY(course_name, i) AS courseName, class_id AS x, {_round('REGR_SLOPE(score, i)', 9)} AS y"
@@ -366,12 +367,10 @@ FROM (SELECT *, DENSE_RANK() OVER (ORDER BY course_name) - 1 AS x FROM means JOI
         f"SELECT student_id, course_name AS subject, '{name}' AS type, {_round(value)} AS score FROM gains"
         for name, value in (("实际", "actual"), ("预测", "expected"), ("增值", "actual - expected"))
     ),
-    "gain_report_text": """SELECT student_id, '学生ID: ' || student_id || E'\\n个人增值评价:\\n'
-  || STRING_AGG(entry, E'\\n' ORDER BY entry) AS report
-FROM (SELECT student_id, course_name || ': ' || FORMAT('{:.4f}', v) || ',学期：' || t AS entry FROM (
-    SELECT student_id, course_name, actual AS v, '实际' AS t FROM gains
-    UNION ALL SELECT student_id, course_name, expected, '预测' FROM gains
-    UNION ALL SELECT student_id, course_name, actual - expected, '增值' FROM gains))
+    "gain_report_text": """SELECT student_id,
+  'student ' || student_id || E'\\n' || STRING_AGG(entry, E'\\n' ORDER BY entry) AS report
+FROM (SELECT student_id, FORMAT('{}: actual {:.4f}, expected {:.4f}, gain {:.4f}',
+    course_name, actual, expected, actual - expected) AS entry FROM gains)
 GROUP BY student_id""",
     "unpivot_scores": " UNION ALL ".join(
         f"""SELECT student_id, (SELECT MIN(p_partkey) FROM part WHERE p_type = '{p}') AS kp_id,
@@ -390,6 +389,8 @@ LEFT JOIN (SELECT kp_id, scoring FROM cells
   QUALIFY ROW_NUMBER() OVER (PARTITION BY kp_id ORDER BY row_no DESC, col_no DESC) = 1) w ON w.kp_id = p.kp_id""",
     "prereq_edges": "SELECT source, target FROM prereq_edges",
     "prereq_nodes": "SELECT name, chapter FROM prereq_nodes",
+    "prereq_node_keys": """SELECT name, chapter, '数据结构' AS course,
+  CAST('0x' || LEFT(MD5('数据结构' || chr(31) || name), 15) AS BIGINT) AS kp_id FROM prereq_nodes""",
     "new_courses": "SELECT course_code, course_name FROM courses WHERE course_code NOT IN "
     "(SELECT p_brand FROM part WHERE p_brand < 'Brand#2')",
     "new_students": f"""SELECT student_id, name, major, class_id, gender FROM (SELECT * FROM enrollment
@@ -425,7 +426,8 @@ FROM student s JOIN sk ON s.student_id = sk.student_id JOIN points p ON p.kp_id
     AS gradient,
   CASE WHEN score IS NULL OR score = 0 THEN '未考查'
     ELSE regexp_replace(CAST(score AS VARCHAR), '\\.0$', '') END AS shown
-FROM points p LEFT JOIN shown x ON x.id = CAST(p.kp_id AS VARCHAR)""",
+FROM points p JOIN (SELECT id, student_id, score FROM shown
+  UNION ALL SELECT CAST(kp_id AS VARCHAR), NULL, NULL FROM points) x ON x.id = CAST(p.kp_id AS VARCHAR)""",
     "bubble_counts": f"""SELECT {_short('kp_name', '...', 4)} AS kp_name, score, n_students FROM (
   SELECT kp_name, score, CAST(SUM(n_students) AS BIGINT) AS n_students FROM bubbles GROUP BY kp_name, score)""",
     "bubble_counts_by_class": f"""SELECT class_id, course, chapter, {_short('kp_name', '...', 4)} AS kp_name, score,

@@ -1,8 +1,9 @@
 """Composite reports with the parameters of a request.
 
-Each takes the input tables as frames and returns lazy frames. Without a
-student, class or course the report answers for all of them at once; a given
-one is an ordinary filter.
+Each takes the input tables as frames and returns frames. Those that rank,
+share a step or fit constants run jobs while they are built, as they write
+that step to the shared folder. Without a student, class or course the report
+answers for all of them at once; a given one is an ordinary filter.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def course_graph(
     who = student.where(F.col("student_id") == student_id)
     own_scores = scores.where(F.col("student_id") == student_id)
     scored = knowledge.mastery(who, own_scores, own_points, stages, up_to)
-    nodes = knowledge.mastery_display(own_points, scored).drop("student_id")
+    nodes = knowledge.student_display(own_points, scored)
     return {"elements": graph.elements(own_points, own_edges), "nodes": nodes}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SCHEMAS = {
     "enrollment": (
@@ -38,10 +38,21 @@ def read_jdbc(
     return reader.options(**options).load()
 
 
-def read_sheet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Spreadsheet export with a header row. Without a schema all cells are text."""
+def read_sheet(spark: SparkSession, path: str, schema: str | None = None, numbered: bool = False) -> DataFrame:
+    """Spreadsheet export with a header row. Without a schema all cells are text.
+
+    ``numbered`` adds ``row_no``, which sorts the rows as they stand in the
+    file, however the file is split: file, then block, then row of the block.
+    """
     reader = spark.read.option("header", True).option("encoding", "UTF-8")
-    return (reader.schema(schema) if schema else reader).csv(path)
+    sheet = (reader.schema(schema) if schema else reader).csv(path)
+    if not numbered:
+        return sheet
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return sheet.select("*", place.alias("row_no"))
 
 
 def query(spark: SparkSession, sql: str, views: dict[str, DataFrame], **binds) -> DataFrame:

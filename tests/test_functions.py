@@ -17,6 +17,7 @@ def evaluate(spark, values, expression, type_="string"):
 def test_scale_a(spark):
     expected = [95, 0, 85, 75, 0, 60, 100, 0, 0, 88, 87, 85, 85, 100, 0, 0, 85, None]
     assert evaluate(spark, TEXTS, grades.scale_a) == expected
+    assert evaluate(spark, ["1e12", "99999999999", "-1e300"], grades.scale_a) == [None] * 3
 
 
 def test_scale_b(spark):

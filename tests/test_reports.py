@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from gradeloom.operators import knowledge
 from gradeloom.plans import reports
 from gradeloom.sources import adapters as src
 
@@ -68,7 +69,7 @@ def test_gain_of_one_student(spark):
     courses = ["ECONOMY", "LARGE"]
     report = reports.student_gain(enrollment, courses, "17")
     assert report["radar"].count() == 6 and report["line"].count() == 2
-    assert report["report"].first().report.startswith("学生ID: 17\n")
+    assert report["report"].first().report.startswith("student 17\nECONOMY: actual ")
     with pytest.raises(LookupError):
         reports.student_gain(enrollment, courses, "nobody")
 
@@ -99,6 +100,15 @@ def test_course_graph(spark):
     assert graph["nodes"].count() == n
     assert graph["elements"].count() == n + edges.distinct().count()
     assert graph["nodes"].where("score IS NOT NULL").count() >= 1
+    scored = knowledge.mastery(src.student(spark, SF), scores, points.where("course = 'Brand#3'"), stages)
+    layers = knowledge.mastery_display(points.where("course = 'Brand#3'"), scored)
+    assert layers.where("student_id IS NULL").count() == n
+    by_point = {r.id: r for r in layers.where("student_id IS NULL").collect()}
+    by_point |= {r.id: r for r in layers.where(F.col("student_id") == who).collect()}
+    columns = ["id", "name", "score", "band", "colour", "gradient", "shown"]
+    assert sorted((tuple(r[c] for c in columns) for r in by_point.values()), key=str) == sorted(
+        map(tuple, graph["nodes"].select(columns).collect()), key=str
+    )
     choices = reports.stage_choices(points, stages, "Brand#3", "1998")
     assert [r.stage for r in choices.collect()] == ["阶段1线性"]
     assert reports.as_json(choices).first().record == '{"stage":"阶段1线性"}'
