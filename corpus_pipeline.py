@@ -31,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later copies of repeated runs of lines; a document of nothing else goes."""
     ship(spark)
-    cut = line_dedup.dedup_lines(docs, removed="line_dedup_removed")
+    cut = line_dedup.dedup_lines(docs, removed="line_dedup_removed", whole_runs=True)
     emptied = (F.col("line_dedup_removed") > 0) & ~F.col("text").rlike(r"\S")
     return cut.where(~emptied).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -14,7 +14,15 @@ of any length L between h and 2h is the pair of ranks by h lines at its start
 and at its end minus h, so an interval of exactly the needed length is found
 without a further doubling. Of the equal runs in an interval the first, in the
 order of (doc_id, row, line), stays; the lines of the others are deleted.
-Overlapping deleted windows join to the maximal repeated runs.
+
+Windows of ``min_words`` lines or fewer make up every run. A line of a run from
+which on the run still holds ``min_words`` words starts a shortest window inside
+of it. The lines after the last such start hold fewer words than that, so there
+are fewer than ``min_words`` of them, and a window from that start to the end of
+the run has them. So each line starts its shortest window and the longer ones
+whose lines after the first hold fewer than ``min_words`` words, and the deleted
+windows join to the maximal repeated runs. Without ``whole_runs`` only shortest
+windows are compared.
 """
 
 from __future__ import annotations
@@ -34,20 +42,30 @@ MIN_WORDS = 5
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """(row, doc_id, line, id, reach): every line with a word, by its number among those of its document.
+    """(row, doc_id, line, id, reach, most): every line with a word, by its number among those of its document.
 
     ``id`` is a 128-bit hash of the line, ``reach`` the number of lines from
     this one on that hold ``min_words`` words, null if the document ends before.
+    ``most`` is the number of lines up to which a window from this one is
+    needed: as many as hold fewer than ``min_words`` words after the first, and
+    ``reach`` at least.
     """
 
     def lines(batch: pa.RecordBatch) -> Iterator[dict]:
         rows, ids = batch.column(0).to_pylist(), batch.column(1)
-        out: dict[str, list] = {"at": [], "line": [], "id": [], "reach": []}
+        out: dict[str, list] = {"at": [], "line": [], "id": [], "reach": [], "most": []}
         for at, text in enumerate(batch.column(2).to_pylist()):
             found = [(x, len(w)) for x in text.split("\n") if (w := x.split())]
             counts = [n for _, n in found]
-            end = words = 0
+            end = words = far = more = 0
             for i, (line, n) in enumerate(found):
+                if far <= i:
+                    far, more = i + 1, 0
+                else:
+                    more -= n
+                while far < len(found) and more + counts[far] < min_words:
+                    more += counts[far]
+                    far += 1
                 while words < min_words and end < len(found):
                     words += counts[end]
                     end += 1
@@ -55,15 +73,16 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
                 out["line"].append(i)
                 out["id"].append(xxhash.xxh3_128_digest(line))
                 out["reach"].append(end - i if words >= min_words else None)
+                out["most"].append(max(end, far) - i)
                 words -= n
         yield {
             "row": [rows[i] for i in out["at"]], "doc_id": ids.take(pa.array(out["at"], pa.int64())),
-            "line": out["line"], "id": out["id"], "reach": out["reach"],
+            "line": out["line"], "id": out["id"], "reach": out["reach"], "most": out["most"],
         }
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), "doc_id", whole_text().alias("text"))
-    return in_batches(keyed, f"row binary, doc_id {kind}, line int, id binary, reach int", lines)
+    return in_batches(keyed, f"row binary, doc_id {kind}, line int, id binary, reach int, most int", lines)
 
 
 def ranked(suffixes: DataFrame, *keys: str) -> DataFrame:
@@ -89,15 +108,16 @@ def suffix_ranks(lines: DataFrame, longest: int) -> dict[int, DataFrame]:
     return ranks
 
 
-def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(row, line, reach) of every run that stands somewhere before as well.
+def repeated_windows(docs: DataFrame, min_words: int, whole_runs: bool) -> DataFrame:
+    """(row, line, reach) of every window that stands somewhere before as well; ``reach`` is its number of lines.
 
     The order is (doc_id, row, line), null ids first. Rows that are equal in
     doc_id and text are one row to it.
     """
     lines = materialise(line_table(docs, min_words).distinct())
     ranks = suffix_ranks(lines, min_words)
-    starts = lines.where(F.col("reach").isNotNull()).select("row", "doc_id", "line", "reach")
+    lengths = F.explode(F.sequence("reach", "most")).alias("reach") if whole_runs else F.col("reach")
+    starts = lines.where(F.col("reach").isNotNull()).select("row", "doc_id", "line", lengths)
     windows = None
     for h, rank in ranks.items():
         own = starts.where((F.col("reach") >= h) & (F.col("reach") < 2 * h))
@@ -114,9 +134,9 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     return later.where(~place.eqNullSafe(F.col("first"))).select("row", "line", "reach")
 
 
-def deleted_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deleted_runs(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """(row, runs): per document the maximal runs of deleted lines as an array of (first, last) line numbers."""
-    spans = repeated_windows(docs, min_words).select("row", "line", (F.col("line") + F.col("reach") - 1).alias("last"))
+    spans = repeated_windows(docs, min_words, whole_runs).select("row", "line", (F.col("line") + F.col("reach") - 1).alias("last"))
     before = Window.partitionBy("row").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.coalesce(F.col("line") > F.max("last").over(before) + 1, F.lit(True))
     placed = spans.withColumn("_run", F.sum(fresh.cast("int")).over(Window.partitionBy("row").orderBy("line")))
@@ -141,9 +161,13 @@ def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
     return "\n".join(kept), dropped
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed: str | None = "n_removed") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, removed: str | None = "n_removed", whole_runs: bool = False
+) -> DataFrame:
     """``docs`` without the later copies of repeated runs of lines; the other columns stay as they are.
 
+    With ``whole_runs`` all lines of a repeated run go, else those of its
+    shortest windows, so that short lines at its end may stay.
     ``removed`` names a column for the number of deleted lines (None: none);
     a column of that name is replaced, and a column n_chars gets the new length.
     Lines without a word are never deleted and do not interrupt a run. A null
@@ -151,7 +175,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed: str | None
     deleted lines only becomes empty. Rows equal in doc_id and text are treated
     as one and stay equal. Lines are equal only if all their characters are.
     """
-    runs = deleted_runs(docs, min_words)
+    runs = deleted_runs(docs, min_words, whole_runs)
     names = [c for c in docs.columns if c != removed]
     fields = [docs.schema[c] for c in names] + ([StructField(removed, LongType())] if removed else [])
     packed = docs.select(

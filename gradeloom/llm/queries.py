@@ -14,7 +14,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf, "documents", "doc_id", "text"))
+    return line_dedup.dedup_lines(table(spark, sf, "documents", "doc_id", "text"), whole_runs=True)
 
 
 def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:

@@ -91,6 +91,26 @@ def test_line_dedup(docs, plain):
     assert line_dedup.dedup_lines(empty(docs)).count() == 0
 
 
+def test_line_dedup_whole_runs(spark):
+    """Every run of five words or more that stands before goes, with short lines at its end."""
+    rng = random.Random(11)
+    pool = ["Les.", "a b", "c d e", "f g h i", "j k l m n", "o p q r s t", "u", "v w"]
+    texts_of = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    texts_of += ["one two three four five six\nLes.", "one two three four five six\nLes.", "x\none two three four five six\nLes.\ny"]
+    lines_of = [t.split("\n") for t in texts_of]
+    first, dropped = {}, [set() for _ in lines_of]
+    for k, lines in enumerate(lines_of):
+        for a in range(len(lines)):
+            for e in range(a + 1, len(lines) + 1):
+                if sum(len(x.split()) for x in lines[a:e]) >= 5 and first.setdefault(tuple(lines[a:e]), (k, a)) != (k, a):
+                    dropped[k] |= set(range(a, e))
+    wanted = ["\n".join(x for i, x in enumerate(lines) if i not in dropped[k]) for k, lines in enumerate(lines_of)]
+    assert wanted[-2:] == ["", "x\ny"]
+    rows = spark.createDataFrame(list(enumerate(texts_of)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(rows, whole_runs=True).collect()}
+    assert found == {k: (wanted[k], len(dropped[k])) for k in range(len(texts_of))}
+
+
 def test_language(spark, docs):
     rng = random.Random(1)
     vocabulary = {"en": "the and of that with for not have this but".split(), "fr": "les des une dans pour avec sur est nous vous".split()}
