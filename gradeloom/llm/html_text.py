@@ -2,14 +2,15 @@
 
 A page becomes its lines: the text of its blocks, without what its markup names
 as furniture (menus, footers, asides, adverts, forms, scripts, comments). Pages
-are put in the order of (host, path); each one is paired with the neighbour of
-its host whose path has the longer common beginning. Lines that both have, by a
-longest common subsequence, are the furniture of the site and are deleted.
-
-Two things are kept from differencing: lines inside an ``article`` or ``main``
-element, which the page itself marks as its text, and pages that are copies of
-their neighbour, which would vanish. So differencing decides the pages and the
-parts of pages that no markup explains.
+with other lines than their host's earlier ones are put in the order of (host,
+path, query); each one is paired with the nearest page of its host, before or
+after it, that is not a copy of it, the one whose address has the longer common
+beginning. Lines that both have, by a longest common subsequence, are the
+furniture of the site and are deleted.
+
+Lines inside an ``article`` or ``main`` element, which the page itself marks as
+its text, are kept from differencing, and it decides all other lines, on pages
+with such an element too. Hosts whose pages have no other lines are left out.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-ADDRESS = re.compile(r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)([^?#]*)")
+ADDRESS = re.compile(r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?")
 
 # Elements by their part in a page, and words that name furniture in a class, id or role.
 RAW = frozenset("script style noscript textarea title iframe svg template object select math canvas audio video".split())
@@ -55,6 +56,19 @@ HINTS = frozenset(
     "complementary contentinfo disqus footer menu modal nav navbar navigation newsletter notice overlay popup promo related "
     "replies reply respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+# Words that make a class a state of the element (has-sidebar, comments-open) and no name of its part.
+STATES = frozenset("has is no with without".split())
+STATES_AFTER = frozenset("open closed enabled disabled on off".split())
+
+
+def _names_furniture(value: str) -> bool:
+    """Whether one of the names in a class, id or role is that of furniture, not of a state of the element."""
+    for one in value.split():
+        parts = [p for p in re.split(r"[_-]+", one) if p]
+        if HINTS.isdisjoint(parts) or (len(parts) > 1 and (parts[0] in STATES or parts[-1] in STATES_AFTER)):
+            continue
+        return True
+    return False
 
 
 def _part(name: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
@@ -68,7 +82,7 @@ def _part(name: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
                 drop = drop or value == "true"
             elif value in ("main", "articlebody"):
                 main = True
-            elif not HINTS.isdisjoint(re.split(r"[\s_-]+", value)):
+            elif _names_furniture(value):
                 drop = drop or name not in ("html", "body")
             elif value == "banner" or (value in ("header", "site-header", "page-header") and not in_main):
                 drop = True
@@ -157,16 +171,19 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
     return lines
 
 
-def address(url: str | None) -> tuple[str | None, str]:
-    """Host and path of a URL, without scheme, query, fragment, final slash and page suffix."""
+def address(url: str | None) -> tuple[str | None, str, str]:
+    """Host, path and query of a URL, without scheme, fragment, and the path's final slash and page suffix."""
     match = ADDRESS.match(url or "")
     if not match:
-        return None, ""
-    return match[1].lower(), re.sub(r"(\.html?)?/*$", "", match[2])
+        return None, "", ""
+    return match[1].lower(), re.sub(r"(\.html?)?/*$", "", match[2]), match[3] or ""
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Pages as lines, with host, path and a hash of every line."""
+    """Pages as lines, with host, path, query, a hash of every line and one of all.
+
+    ``outside`` tells whether a line is in no main part.
+    """
 
     def parse(batch: pa.RecordBatch) -> dict:
         urls = batch.column(1).to_pylist()
@@ -174,7 +191,9 @@ def parsed(pages: DataFrame) -> DataFrame:
         addresses = [address(u) for u in urls]
         return {
             "page_id": batch.column(0), "url": batch.column(1), "host": [a[0] for a in addresses],
-            "path": [a[1] for a in addresses],
+            "path": [a[1] for a in addresses], "query": [a[2] for a in addresses],
+            "digest": [xxhash.xxh3_128_digest("\n".join(t for t, _ in lines)) for lines in found],
+            "outside": [any(not m for _, m in lines) for lines in found],
             "lines": [[{"text": t, "main": m, "at": i} for i, (t, m) in enumerate(lines)] for lines in found],
             "hashes": [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in lines] for lines in found],
             "sizes": [[len(t) for t, _ in lines] for lines in found],
@@ -182,7 +201,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     kind = pages.schema["page_id"].dataType.simpleString()
     schema = (
-        f"page_id {kind}, url string, host string, path string, "
+        f"page_id {kind}, url string, host string, path string, query string, digest binary, outside boolean, "
         "lines array<struct<text:string,main:boolean,at:int>>, hashes array<long>, sizes array<int>"
     )
     return in_batches(pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")), schema, parse)
@@ -230,61 +249,94 @@ def _shared_path(a: str, b: str) -> int:
     return n
 
 
-def shared_lines(pages: DataFrame) -> DataFrame:
-    """(row, shared): places of the lines that a page has in common with its nearest neighbour.
+def compared(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """(no, to, copy, near, shared) of the pairs (no, to) of pages of one host, by their numbers in ``placed``.
 
-    The order is global and range-partitioned, so a host with a third of all
-    pages is spread over a third of the tasks; neighbours meet by their number.
+    ``shared`` has the places of the lines that page ``no`` has in common with
+    page ``to``, ``near`` the length of their addresses' common beginning.
     """
-    keyed = pages.where(F.col("host").isNotNull()).select("row", "host", "path", "hashes", "sizes")
-    order = [F.col("host"), F.col("path"), F.col("row")]
-    placed = materialise(number_rows(keyed, [], order, "no", start=0))
-    fields = ["host", "path", "hashes"]
-    beside = lambda step, name: placed.select(
-        (F.col("no") + step).alias("no"), F.struct(*fields, "sizes").alias(name)
-    )
-    met = placed.join(beside(1, "before"), "no", "left").join(beside(-1, "after"), "no", "left")
-
-    def match(batch: pa.RecordBatch) -> Iterator[dict]:
-        rows, shared = [], []
-        for page in batch.to_pylist():
-            near = [n for n in (page["before"], page["after"]) if n and n["host"] == page["host"]]
-            near = [n for n in near if n["path"] != page["path"]]
-            for n in sorted(near, key=lambda n: -_shared_path(n["path"], page["path"])):
-                places = common_lines(page["hashes"], n["hashes"])
-                chars = sum(page["sizes"][i] for i in places)
-                if chars < COPY_SHARE * max(1, min(sum(page["sizes"]), sum(n["sizes"]))):
-                    if places:
-                        rows.append(page["row"])
-                        shared.append(places)
-                    break
-        yield {"row": rows, "shared": shared}
+    page = F.struct("path", "query", "hashes", "sizes")
+    met = pairs.join(placed.select("no", "host", page.alias("page")), "no")
+    met = met.join(placed.select(F.col("no").alias("to"), F.col("host").alias("_host"), page.alias("other")), "to")
+
+    def match(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"copy": [], "near": [], "shared": []}
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            same = (x["path"], x["query"]) == (y["path"], y["query"])
+            places = [] if same else common_lines(x["hashes"], y["hashes"])
+            chars = sum(x["sizes"][i] for i in places)
+            copy = same or chars >= COPY_SHARE * max(1, min(sum(x["sizes"]), sum(y["sizes"])))
+            out["copy"].append(copy)
+            out["near"].append(_shared_path(f"{x['path']}?{x['query']}", f"{y['path']}?{y['query']}"))
+            out["shared"].append([] if copy else places)
+        return {"no": batch.column(0), "to": batch.column(1), **out}
+
+    met = met.where(F.col("host") == F.col("_host")).select("no", "to", "page", "other")
+    return materialise(in_batches(met, "no long, to long, copy boolean, near int, shared array<int>", match))
+
+
+def run_ends(copies: DataFrame) -> DataFrame:
+    """(no, ahead, end): the last page of the run of copies that page ``no`` begins, in either direction.
+
+    ``copies`` has the pairs (no, to) of adjacent copies. The steps double, so a
+    run of any length takes a few joins and no task holds it.
+    """
+    hops = materialise(copies.select("no", (F.col("to") > F.col("no")).alias("ahead"), F.col("to").alias("end")))
+    while True:
+        further = hops.select(F.col("no").alias("end"), "ahead", F.col("end").alias("_further"))
+        joined = hops.join(further, ["end", "ahead"], "left")
+        after = materialise(joined.select(
+            "no", "ahead", F.coalesce("_further", "end").alias("end"), F.col("_further").isNotNull().alias("moved")
+        ))
+        hops = after.drop("moved")
+        if after.where("moved").isEmpty():
+            return hops
 
-    return in_batches(met.select("row", *fields, "sizes", "before", "after"), "row long, shared array<int>", match)
+
+def shared_lines(pages: DataFrame) -> DataFrame:
+    """(row, shared): places of the lines that a page has in common with the nearest one that is no copy of it.
+
+    Equal lists of lines of a host are one page. The order is global and
+    range-partitioned, so a host with a third of all pages is spread over a
+    third of the tasks; neighbours meet by their number. Pages whose neighbour
+    is a copy go on behind the run of copies.
+    """
+    keyed = pages.where(F.col("host").isNotNull() & (F.size("hashes") > 0))
+    keyed = keyed.join(materialise(keyed.where("outside").select("host").distinct()), "host", "left_semi")
+    first = keyed.groupBy("host", "digest").agg(F.min(F.struct("path", "query", "row")).alias("first"))
+    order = [F.col(c) for c in ("host", "path", "query", "row")]
+    numbered = number_rows(first.select("host", "digest", "first.*"), [], order, "no", start=0)
+    placed = materialise(numbered.join(keyed.select("row", "hashes", "sizes"), "row"))
+    beside = lambda step: placed.select("no", (F.col("no") + step).alias("to"))
+    met = compared(beside(-1).unionByName(beside(1)), placed)
+    found, copies, ends = met.where(~F.col("copy")), met.where("copy").select("no", "to"), None
+    while not copies.isEmpty():
+        ends = run_ends(copies) if ends is None else ends
+        ahead = copies.withColumn("ahead", F.col("to") > F.col("no"))
+        behind = ahead.join(ends.withColumnRenamed("no", "to"), ["to", "ahead"], "left")
+        step = F.when(F.col("ahead"), 1).otherwise(-1)
+        met = compared(behind.select("no", (F.coalesce("end", "to") + step).alias("to")), placed)
+        found, copies = found.unionByName(met.where(~F.col("copy"))), met.where("copy").select("no", "to")
+    nearest = found.groupBy("no").agg(F.max(F.struct("near", F.col("to") < F.col("no"), "shared")).alias("best"))
+    shared = nearest.join(placed.select("no", "host", "digest"), "no").select("host", "digest", "best.shared")
+    return keyed.where("outside").select("row", "host", "digest").join(materialise(shared), ["host", "digest"]).select("row", "shared")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and its number of characters, for every row of ``pages``.
 
-    If a page has lines in an article or main element, these are its text;
-    otherwise all lines that its nearest neighbour does not share. Null html
-    counts as empty, a page without text has an empty one, a page without a
-    host has no neighbour. Repeated rows of one URL are copies and not compared
-    with each other. Further columns are not read.
+    The text is the lines in an article or main element, and of the others
+    those that the nearest page of the host does not share. Null html counts as
+    empty, a page without text has an empty one, a page without a host has no
+    neighbour. Repeated rows of one URL are copies and not compared with each
+    other. Further columns are not read.
     """
     table = materialise(parsed(pages).withColumn("row", F.monotonically_increasing_id()))
     shared = materialise(shared_lines(table))
     joined = table.select("row", "page_id", "url", "lines").join(shared, "row", "left")
-    marked = F.exists("lines", lambda x: x["main"])
-    kept = F.filter(
-        "lines",
-        lambda x: F.when(F.col("marked"), x["main"]).otherwise(
-            F.coalesce(~F.array_contains("shared", x["at"]), F.lit(True))
-        ),
-    )
+    kept = F.filter("lines", lambda x: x["main"] | F.coalesce(~F.array_contains("shared", x["at"]), F.lit(True)))
     text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
     return (
-        joined.withColumn("marked", marked)
-        .select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"))
+        joined.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"))
         .withColumn("n_chars", F.length("text").cast("long"))
     )

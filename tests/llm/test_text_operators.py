@@ -308,6 +308,22 @@ def test_html(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_differences_beside_main_and_behind_copies(spark):
+    """Lines beside an article are differenced, by query too and behind runs of copies; states name no furniture."""
+    ship(spark)
+    page = "<body><div>Site name</div><h1>Lead {0}</h1><article class='has-sidebar comments-open'><p>Body {0}</p></article></body>"
+    rows = [(i, f"http://a.org/p?id={i}", page.format(i)) for i in range(3)]
+    near = "<body><div>Menu of the site</div><p>" + "</p><p>".join(f"Long line {k} of a story that is told again" for k in range(12)) + "</p><p>End {}</p></body>"
+    rows += [(10 + i, f"http://b.org/x/a{i}", near.format(i)) for i in range(5)]
+    rows += [(20, "http://b.org/x/b", "<body><div>Menu of the site</div><p>Other story</p></body>")]
+    rows += [(30 + i, f"http://c.org/{i}", "<body><div>Top</div><p>Same</p></body>") for i in range(4)]
+    rows += [(40, "http://c.org/9", "<body><div>Top</div><p>" + "Something else " * 9 + "</p></body>")]
+    found = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Lead {i}\nBody {i}" for i in range(3))
+    assert all(found[i].startswith("Long line 0") and found[i].endswith(f"End {i - 10}") for i in range(10, 15))
+    assert found[20] == "Other story" and all(found[i] == "Same" for i in range(30, 34))
+
+
 def test_common_lines():
     rng = random.Random(6)
     for _ in range(300):
