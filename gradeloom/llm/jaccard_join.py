@@ -233,9 +233,13 @@ def sets_of(docs: DataFrame, listed: DataFrame, members: DataFrame, width: int)
 
     The sketch has the number of n-grams in each of ``SLICES`` slices of the
     hashes. The slices are pivots too: a set's differences to another one are at
-    least the sum of the differences of these numbers.
+    least the sum of the differences of these numbers. Every set is one row, also
+    if the document it is made from is stored several times.
     """
-    rows = listed.join(members, "set", "left_semi").groupBy("set").agg(F.min("row").alias("row"))
+    stored = listed.join(members, "set", "left_semi").groupBy("set", "row").agg(F.count(F.lit(1)).alias("stored"))
+    chosen = materialise(stored.groupBy("set").agg(F.min(F.struct("row", "stored")).alias("one")).select("set", "one.*"))
+    rows = chosen.where(F.col("stored") == 1).select("set", "row")
+    several = chosen.where(F.col("stored") > 1).select("set", "row")
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), whole_text().alias("text"))
 
     def grams(batch: pa.RecordBatch) -> dict:
@@ -247,6 +251,9 @@ def sets_of(docs: DataFrame, listed: DataFrame, members: DataFrame, width: int)
         }
 
     found = texts.join(rows, "row").select("set", "text")
+    if not several.isEmpty():
+        repeated = texts.join(several, "row").groupBy("set").agg(F.first("text").alias("text"))
+        found = found.unionByName(repeated)
     return in_batches(found, "set long, grams binary, n long, sketch binary", grams)
 
 

@@ -167,6 +167,30 @@ def test_jaccard(docs, plain, width, percent, leaf):
     assert jaccard_join.linked_documents(empty(docs), width, percent).count() == 0
 
 
+def test_jaccard_with_repeated_rows(spark):
+    """Rows stored several times count once: one row of each set, and the rarest n-grams still meet."""
+    ship(spark)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(30):
+        own = list(base)
+        for place in rng.sample(range(300), 6):
+            own[place] = f"own{k}x{place}"
+        rows += [(k, " ".join(own))] * (k % 3 + 4)
+    rows += [(None, rows[0][1])] * 5
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    listed = jaccard_join.listed_sets(table, 1, 90, False)
+    members = listed.select("set").distinct()
+    sets = jaccard_join.materialise(jaccard_join.sets_of(table, listed, members, 1))
+    assert sets.count() == sets.select("set").distinct().count() == 30
+    groups = jaccard_join.rare_prefixes(members, sets, 90)
+    met = {(r["g"], r["set"]) for r in groups.collect()}
+    assert groups.count() == len(met) and len({s for _, s in met}) == 30
+    found = jaccard_join.linked_documents(table, 1, 90, first_leaf=3, leaf=8).collect()
+    assert len(found) == len(rows) and {r["component_id"] for r in found} == {0}
+
+
 def test_keep_one(docs, plain):
     kept = jaccard_join.keep_one(docs).collect()
     groups = {r["component_id"] for r in jaccard_join.linked_documents(docs, 5, 80).where("n_shingles > 0").collect()}
