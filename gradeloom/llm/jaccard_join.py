@@ -4,8 +4,8 @@
 pivots, measuring every member against them, and giving each member to the
 region of its nearest pivot; a member whose distance to another pivot is within
 twice the join radius of its nearest one could be linked across the border and
-is replicated to that region too. Regions join in the same way until they are
-small, and small ones compare what is left. Members that are known to be
+is replicated to that region too. There is one such round, for groups that stay
+large; small regions compare what is left, larger ones meet in pairs of chunks. Members that are known to be
 connected need no comparison, so a pivot in the middle of thousands of near
 copies settles all of them with one comparison each.
 
