@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, context_mixing, exact_dedup, html_text, jaccard_join, language_id, line_dedup, mixing, oracles, suffix_dedup, topk_search
+from . import (
+    bpe, context_mixing, exact_dedup, filter_audit, html_text, jaccard_join, language_id, line_dedup, mixing, oracles,
+    phrase_mining, suffix_dedup, topk_search, url_filter,
+)
 from .common import remainder, ship, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,7 +59,23 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents", "doc_id", "text", "lang", "source", "n_chars"))
 
 
-QUERIES = (op1_line_dedup, op2_language_id, op3_jaccard_join, op4_exact_dedup, op5_lm_scoring, op6_suffix_dedup, op7_topk, op8_bpe, op9_html_text, op10_mixing)
+def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrase_mining.mine(table(spark, sf, "documents", "text", "lang"))
+
+
+def op12_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf, "pages", "page_id", "url"))
+
+
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents", "doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, sf, "labels", "doc_id", "quality", "toxic"))
+
+
+QUERIES = (
+    op1_line_dedup, op2_language_id, op3_jaccard_join, op4_exact_dedup, op5_lm_scoring, op6_suffix_dedup, op7_topk,
+    op8_bpe, op9_html_text, op10_mixing, op11_phrases, op12_url_filter, op13_filter_audit,
+)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
