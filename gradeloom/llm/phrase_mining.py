@@ -14,7 +14,7 @@ summarised or counted like any other and then falls below the threshold.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ TABLE_BITS = 1 << 26
 #: Text bytes for each hash partition, and the least number of partitions.
 BYTES_A_PART = 1 << 28
 LEAST_PARTS = 2048
+#: Bits that tell n-grams of a partition apart in its summary. Those that share them are one until they are counted exactly.
+CODE_BITS = 32
 #: Text bytes that are cut into words at a time, and n-grams that are gathered before a summary leaves a task.
 SLICE_BYTES = 1 << 22
 GATHERED = 1 << 22
@@ -113,11 +115,9 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str
             at = to
 
 
-def _known(table: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
-    """Whether the table of survivors has the hashes; without a table all are in."""
-    if table is None:
-        return np.ones(len(hashes), bool)
-    place = (hashes >> np.uint64(7)) % np.uint64(TABLE_BITS)
+def _known(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the table of survivors has the hashes."""
+    place = hashes % np.uint64(TABLE_BITS)
     return table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
@@ -157,23 +157,46 @@ def merge(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarr
     return keys[left], counts[left] - off, off
 
 
-def survivors(docs: DataFrame, low: int, high: int, tables: dict[int, np.ndarray], parts: int, threshold: int) -> DataFrame:
-    """(gram) hashes of n-grams of low to high words, all that reach the threshold among them."""
+def masses(docs: DataFrame, levels: Sequence[tuple[int, int]], parts: int) -> DataFrame:
+    """(part, m0, m1, ...) n-grams of each level in every hash partition, whether their parts survive or not."""
+    schema = pa.schema([("part", pa.int32()), *((f"m{i}", pa.int64()) for i in range(len(levels)))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass = np.zeros((len(levels), parts), np.int64)
+        for words, names in _slices(batches):
+            for n, hashes, whole in words.grams(levels[-1][1], _seeds(names, 0)):
+                level = next(i for i, (low, high) in enumerate(levels) if low <= n <= high)
+                mass[level] += np.bincount((hashes[whole] & np.uint64(parts - 1)).astype(np.int64), minlength=parts)
+        held = np.flatnonzero(mass.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), *(pa.array(m[held]) for m in mass)], schema=schema)
+
+    rows = docs.mapInArrow(count, "part int, " + ", ".join(f"m{i} long" for i in range(len(levels))))
+    return rows.groupBy("part").agg(*(F.sum(f"m{i}").alias(f"m{i}") for i in range(len(levels))))
+
+
+def survivors(
+    docs: DataFrame, low: int, high: int, tables: dict[int, np.ndarray], mass: DataFrame, parts: int, threshold: int
+) -> DataFrame:
+    """(gram) hashes of n-grams of low to high words, all that reach the threshold among them.
+
+    ``mass`` has the number of n-grams of every hash partition, or more. Of a
+    hash the lowest bits name the partition and CODE_BITS more are kept.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tables)
+    part_bits = parts.bit_length() - 1
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[np.ndarray] = []
 
         def leave() -> pa.RecordBatch:
+            # Turned so that the partition comes first in the order.
             keys = np.concatenate(gathered)
             gathered.clear()
-            keys, counts = _counted(keys, np.ones(len(keys), np.int64))
-            part = (keys % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            part, keys, counts = part[order], keys[order], counts[order]
+            turned = (keys & np.uint64(parts - 1)) << np.uint64(CODE_BITS) | keys >> np.uint64(part_bits) & np.uint64((1 << CODE_BITS) - 1)
+            turned, counts = _counted(turned, np.ones(len(turned), np.int64))
+            part, codes = (turned >> np.uint64(CODE_BITS)).astype(np.int32), turned.astype(np.uint32)
             cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            ends = [*cuts[1:], len(part)]
-            rows = [(int(part[a]), keys[a:b].tobytes(), _packed(counts[a:b]), int(counts[a:b].sum())) for a, b in zip(cuts, ends)]
+            rows = [(int(part[a]), codes[a:b].tobytes(), _packed(counts[a:b])) for a, b in zip(cuts, [*cuts[1:], len(part)])]
             return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), _PARTIAL.types)], schema=_PARTIAL)
 
         for words, names in _slices(batches):
@@ -185,22 +208,21 @@ def survivors(docs: DataFrame, low: int, high: int, tables: dict[int, np.ndarray
         if gathered:
             yield leave()
 
-    partial = materialise(docs.mapInArrow(summarise, "part int, grams binary, counts binary, mass long"))
-    mass = materialise(partial.groupBy("part").agg(F.sum("mass").alias("total")))
-    dealt = partial.join(mass, "part").repartition("part").sortWithinPartitions("part")
+    partial = docs.mapInArrow(summarise, "part int, codes binary, counts binary")
+    dealt = partial.repartition("part").join(mass.select("part", "total"), "part").sortWithinPartitions("part")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
 
         def settle(to: int) -> None:
-            state["keys"], state["counts"], off = merge(np.concatenate(state["more"]), np.concatenate(state["of"]), to)
+            state["codes"], state["counts"], off = merge(np.concatenate(state["more"]), np.concatenate(state["of"]), to)
             state["off"] += off
-            state["more"], state["of"], state["size"] = [state["keys"]], [state["counts"]], 0
+            state["more"], state["of"], state["size"] = [state["codes"]], [state["counts"]], 0
 
         def leave() -> pa.RecordBatch:
             settle(state["capacity"])
-            found = state["keys"][state["counts"] + state["off"] >= threshold]
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], schema=_GRAM)
+            found = state["codes"][state["counts"] + state["off"] >= threshold]
+            return pa.RecordBatch.from_arrays([pa.array((found.astype(np.int64) << part_bits) + state["part"])], schema=_GRAM)
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -209,10 +231,10 @@ def survivors(docs: DataFrame, low: int, high: int, tables: dict[int, np.ndarray
                         yield leave()
                     capacity = row["total"] // threshold + 1
                     state = {"part": row["part"], "capacity": capacity, "off": 0, "more": [], "of": [], "size": 0}
-                keys = np.frombuffer(row["grams"], np.uint64)
-                state["more"].append(keys)
-                state["of"].append(_unpacked(row["counts"], len(keys)))
-                state["size"] += len(keys)
+                codes = np.frombuffer(row["codes"], np.uint32)
+                state["more"].append(codes)
+                state["of"].append(_unpacked(row["counts"], len(codes)))
+                state["size"] += len(codes)
                 if state["size"] > max(4 * state["capacity"], GATHERED // 16):
                     settle(state["capacity"])
         if state is not None:
@@ -221,7 +243,7 @@ def survivors(docs: DataFrame, low: int, high: int, tables: dict[int, np.ndarray
     return dealt.mapInArrow(merged, "gram long")
 
 
-_PARTIAL = pa.schema([("part", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("mass", pa.int64())])
+_PARTIAL = pa.schema([("part", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
 _GRAM = pa.schema([("gram", pa.int64())])
 
 
@@ -249,7 +271,7 @@ def survivor_table(found: DataFrame) -> np.ndarray:
         packed = np.packbits(bits, bitorder="little").tobytes()
         return pa.table({"line": [key[0].as_py()], "bits": [packed]}, schema=pa.schema([("line", pa.int32()), ("bits", pa.binary())]))
 
-    place = F.pmod(F.shiftrightunsigned("gram", 7), F.lit(TABLE_BITS))
+    place = F.pmod("gram", F.lit(TABLE_BITS))
     places = found.select(place.alias("place")).distinct()
     lines = places.select((F.col("place") / row_bits).cast("int").alias("line"), (F.col("place") % row_bits).cast("int").alias("bit"))
     table = np.zeros(TABLE_BITS // 8, np.uint8)
@@ -309,13 +331,14 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, threshold: int = T
     """``exact_counts`` of the documents, by levels of summaries and one exact pass."""
     text, lang = whole_text(), F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = max(LEAST_PARTS, size // BYTES_A_PART)
+    parts = 1 << max(LEAST_PARTS - 1, size // BYTES_A_PART).bit_length()
     rows = docs.select(text.cast("binary").alias("text"), lang.alias("lang"))
+    levels = [(low, min(high, longest)) for low, high in LEVELS if low <= longest]
+    mass = materialise(masses(rows, levels, parts))
     tables: dict[int, np.ndarray] = {}
-    for low, high in LEVELS:
-        if low <= longest:
-            found = survivors(rows, low, min(high, longest), tables, parts, threshold)
-            tables |= dict.fromkeys(range(low, high + 1), survivor_table(found))
+    for i, (low, high) in enumerate(levels):
+        found = survivors(rows, low, high, tables, mass.withColumnRenamed(f"m{i}", "total"), parts, threshold)
+        tables |= dict.fromkeys(range(low, high + 1), survivor_table(found))
     return exact_counts(rows, tables, longest, threshold)
 
 
