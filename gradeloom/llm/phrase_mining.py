@@ -282,23 +282,27 @@ def survivor_table(found: DataFrame) -> np.ndarray:
     return table
 
 
-def exact_counts(docs: DataFrame, tables: dict[int, np.ndarray], longest: int, threshold: int) -> DataFrame:
+def exact_counts(docs: DataFrame, tables: dict[int, np.ndarray], longest: int, threshold: int, parts: int) -> DataFrame:
     """(lang, phrase, words, n) of every phrase of up to ``longest`` words that reaches the threshold.
 
     A row of no words has the number of all words of the language. Within a slice phrases are told
-    apart by 128 bits of hash, beyond it by their text.
+    apart by 128 bits of hash, beyond it by their text. A task sends one row for each hash
+    partition, with all its phrases there.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tables)
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("words", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, bytes, int], int] = {}
 
         def leave() -> pa.RecordBatch:
-            keys, numbers = list(total), list(total.values())
+            rows: dict[int, tuple[list, list, list, list]] = {}
+            for (lang, phrase, n), size in total.items():
+                row = rows.setdefault(xxhash.xxh3_64_intdigest(phrase) % parts, ([], [], [], []))
+                for column, value in zip(row, (lang, phrase, n, size)):
+                    column.append(value)
             total.clear()
-            columns = [[k[0] for k in keys], [k[1] for k in keys], [k[2] for k in keys], numbers]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            columns = [list(rows), *(list(c) for c in zip(*rows.values()))]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PHRASES)], schema=_PHRASES)
 
         for words, names in _slices(batches):
             for lang, size in enumerate(np.bincount(words.lang, minlength=len(names)).tolist()):
@@ -314,17 +318,42 @@ def exact_counts(docs: DataFrame, tables: dict[int, np.ndarray], longest: int, t
                 sizes = np.diff(np.append(begin, len(at)))
                 heads = at[begin]
                 forms = [words.forms.take(pa.array(words.ids[heads + k])).to_pylist() for k in range(n)]
-                for lang, size, *parts in zip(words.lang[heads].tolist(), sizes.tolist(), *forms):
-                    key = (names[lang], b" ".join(parts), n)
+                for lang, size, *form in zip(words.lang[heads].tolist(), sizes.tolist(), *forms):
+                    key = (names[lang], b" ".join(form), n)
                     total[key] = total.get(key, 0) + size
             if len(total) >= GATHERED // 16:
                 yield leave()
         if total:
             yield leave()
 
-    counted = docs.mapInArrow(count, "lang string, phrase binary, words int, n long")
-    summed = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return summed.where((F.col("words") == 0) | (F.col("n") >= threshold)).withColumn("phrase", F.col("phrase").cast("string"))
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, {}
+
+        def leave() -> pa.RecordBatch:
+            kept = [(*key, size) for key, size in total.items() if size >= threshold or key[2] == 0]
+            columns = list(zip(*kept)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _COUNTS)], schema=_COUNTS)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    yield leave()
+                    part, total = row["part"], {}
+                for *key, size in zip(row["langs"], row["phrases"], row["sizes"], row["counts"]):
+                    total[tuple(key)] = total.get(tuple(key), 0) + size
+        yield leave()
+
+    packed = docs.mapInArrow(count, "part long, langs array<string>, phrases array<binary>, sizes array<int>, counts array<long>")
+    dealt = packed.repartition("part").sortWithinPartitions("part")
+    counted = dealt.mapInArrow(add_up, "lang string, phrase binary, words int, n long")
+    return counted.withColumn("phrase", F.col("phrase").cast("string"))
+
+
+_PHRASES = pa.schema([
+    ("part", pa.int64()), ("langs", pa.list_(pa.string())), ("phrases", pa.list_(pa.binary())),
+    ("sizes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())),
+])
+_COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("words", pa.int32()), ("n", pa.int64())])
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, threshold: int = THRESHOLD) -> DataFrame:
@@ -339,13 +368,13 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, threshold: int = T
     for i, (low, high) in enumerate(levels):
         found = survivors(rows, low, high, tables, mass.withColumnRenamed(f"m{i}", "total"), parts, threshold)
         tables |= dict.fromkeys(range(low, high + 1), survivor_table(found))
-    return exact_counts(rows, tables, longest, threshold)
+    return exact_counts(rows, tables, longest, threshold, parts)
 
 
 def scored(counts: DataFrame, cover_percent: int) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of the phrases of two words or more that no longer one covers."""
     parts = counts.where("words > 0").select("lang", "phrase", "n")
-    total = counts.where("words = 0").select("lang", F.col("n").alias("total"))
+    total = materialise(counts.where("words = 0").select("lang", F.col("n").alias("total")))
     phrases = counts.where("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
     size = F.col("words")
     # A phrase that lies in a longer one also lies in one of a single word more, which is as frequent at least.
