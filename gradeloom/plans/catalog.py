@@ -10,8 +10,8 @@ from ..functions.grades import BIN_LABELS, scale_a, scale_b, scale_c, score_bin,
 from ..functions.text import short_node
 from ..ml import models, training
 from ..operators import audit, benchmarks, cohort, distribution, graph, knowledge, reshape, value_added
-from ..session import materialise
-from ..sources import adapters as src
+from ..session import materialise, new_folder
+from ..sources import adapters as src, committed, sinks
 from ..sources.tables import query
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,6 +229,26 @@ def scoring_update(spark, sf):
     return reshape.update_scoring(src.scored_point(spark, sf), _scoring_cells(spark, sf))
 
 
+@_query
+def stage_table_upsert(spark, sf):
+    """Two upserts into a table that does not exist at first; points change their stage, by which it is partitioned."""
+    path, key = new_folder(spark), ["kp_id", "year"]
+    committed.upsert(spark, path, "stages", _stages(spark, sf), key, "stage")
+    new = reshape.stage_assignment(_scoring_cells(spark, sf), "1999")
+    committed.upsert(spark, path, "stages", new, key, "stage")
+    return committed.read_committed(spark, path, "stages")
+
+
+@_query
+def scoring_table_update(spark, sf):
+    """The points that a sheet names get its scoring items in a stored table partitioned by them."""
+    path, points, cells = new_folder(spark), src.scored_point(spark, sf), materialise(_scoring_cells(spark, sf))
+    committed.upsert(spark, path, "points", points, ["kp_id"], "scoring")
+    named = points.join(cells.select("kp_id").distinct(), "kp_id", "left_semi")
+    committed.upsert(spark, path, "points", reshape.update_scoring(named, cells), ["kp_id"], "scoring")
+    return committed.read_committed(spark, path, "points")
+
+
 @_query
 def prereq_edges(spark, sf):
     return graph.prereq_edges(src.prereq_sheet(spark, sf))
@@ -298,6 +318,20 @@ def graph_elements(spark, sf):
     return graph.elements(points, graph.valid_edges(points, src.knowledge_edge(spark, sf)))
 
 
+@_query
+def graph_table_replace(spark, sf):
+    """Points and edges of some courses replaced in one commit; of others all are taken away."""
+    path, points = new_folder(spark), src.knowledge_point(spark, sf)
+    edges = graph.valid_edges(points, src.knowledge_edge(spark, sf))
+    sinks.save_graph(points, edges, path)
+    course, even = F.col("course"), F.col("kp_id") % 2 == 0
+    kept_points = points.where(course.endswith("1") & even)
+    kept_edges = edges.where(course.endswith("1") & (F.col("source") % 2 == 0) & (F.col("target") % 2 == 0))
+    names = points.where(course.rlike("[15]$")).select("course").distinct().collect()
+    sinks.save_graph(kept_points, kept_edges, path, [r[0] for r in names])
+    return graph.elements(*(committed.read_committed(spark, path, name) for name in ("points", "edges")))
+
+
 @_query
 def graph_id_by_name(spark, sf):
     """Ids of the points named in the prerequisite sheet."""

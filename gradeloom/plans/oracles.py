@@ -479,5 +479,14 @@ FROM ts_n""",
 }
 
 
+_SQL["stage_table_upsert"] = _SQL["stage_upsert"]
+_SQL["scoring_table_update"] = _SQL["scoring_update"]
+_SQL["graph_table_replace"] = """SELECT course,
+  '{"data":{"id":"' || kp_id || '","name":"' || kp_name || '"}}' AS element FROM points
+WHERE course NOT LIKE '%5' AND (course NOT LIKE '%1' OR kp_id % 2 = 0)
+UNION ALL SELECT course, '{"data":{"source":"' || source || '","target":"' || target || '"}}' FROM valid
+WHERE course NOT LIKE '%5' AND (course NOT LIKE '%1' OR source % 2 = 0 AND target % 2 = 0)"""
+
+
 def statements() -> dict[str, str]:
     return {name: _with(sql) for name, sql in _SQL.items()}

@@ -52,6 +52,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession) -> str:
+    """Path of a folder that does not exist yet, in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/gradeloom-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared folder and continue from it.
 
@@ -59,6 +64,6 @@ def materialise(df: DataFrame) -> DataFrame:
     size: joins broadcast the table only if its files are small enough.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/gradeloom-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

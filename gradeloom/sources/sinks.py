@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialise
+from .committed import Change, commit
 
 
 def write_sheet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -54,14 +55,33 @@ def _drop_partitions(spark: SparkSession, path: str, column: str, values: set[st
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def save_graph(points: DataFrame, edges: DataFrame, path: str, courses: Sequence[str] = ()) -> int:
+    """Points and edges of a course replace the stored ones together, in one commit; its number.
+
+    ``courses`` are replaced even where no point or edge is given for them.
+    """
+    changes = {"points": Change(points, "course", courses), "edges": Change(edges, "course", courses)}
+    return commit(points.sparkSession, path, changes)
+
+
 def upsert_courses(df: DataFrame, path: str, keys: Sequence[str], column: str = "course") -> None:
     """Write the rows of ``df`` into the table at ``path``: new keys are added, known ones replaced.
 
-    Only the partitions of the courses in ``df`` are read and written again.
-    The merged rows are stored first, as the table is read and overwritten.
+    The keys are looked up in the whole table, of which only they and the
+    course are read for that. Rewritten are the courses in ``df`` and those
+    that hold a key of ``df`` now; a course that loses all its rows is removed.
+    An absent table is created. The merged rows are stored first, as the table
+    is read and overwritten. ``committed.upsert`` does the same in one commit.
     """
     spark = df.sparkSession
-    touched = df.select(column).distinct()
-    stored = spark.read.schema(df.schema).parquet(path).join(touched, column, "left_semi")
-    kept = stored.join(df.select(*keys), list(keys), "left_anti").select(*df.columns)
-    replace_courses(materialise(kept.unionByName(df)), path, column)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        replace_courses(df, path, column)
+        return
+    table = spark.read.schema(df.schema).parquet(path)
+    held = table.select(column, *(k for k in keys if k != column)).join(df.select(*keys), list(keys), "left_semi")
+    held = materialise(held.select(column).distinct())
+    touched = df.select(column).union(held).distinct()
+    kept = table.join(touched, column, "left_semi").join(df.select(*keys), list(keys), "left_anti")
+    merged = materialise(kept.select(*df.columns).unionByName(df))
+    replace_courses(merged, path, column, [r[0] for r in held.collect()])
