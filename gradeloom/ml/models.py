@@ -8,6 +8,7 @@ part by one aggregate each.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
@@ -21,6 +22,8 @@ from ..session import materialise, shared_folder
 from .training import FEATURES, GRADES, WEIGHT, fold, grade_tuples, scaling, split
 
 CLUSTERS = 3
+#: Rows that a grade tuple is split into at most where rows are sampled.
+SHARES = 256
 
 # From the train part to pipeline steps, feature names and label.
 Steps = Callable[[DataFrame], tuple[list, list[str], str]]
@@ -132,8 +135,21 @@ def elastic_net(label: str, deviation: float, alpha: float = 0.1, ratio: float =
     )
 
 
+def row_shares(rows: DataFrame, most: int = SHARES) -> DataFrame:
+    """Every tuple as up to ``most`` rows that divide its weight as evenly as whole numbers can.
+
+    Boosting samples rows anew in each round. A tuple that stands for many rows
+    would be in or out as a whole; of its shares four fifths are in. Tuples of
+    up to ``most`` rows are sampled row by row.
+    """
+    n = F.least(F.col(WEIGHT), F.lit(most)).cast("long")
+    shares = rows.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    size = F.floor(F.col(WEIGHT) / n).cast("long") + (F.col("_share") < F.col(WEIGHT) % n).cast("long")
+    return shares.withColumn(WEIGHT, size).drop("_share")
+
+
 def boosted_trees(label: str, rounds: int = 200, depth: int = 5, seed: int = 42) -> GBTRegressor:
-    """Gradient boosting with row and column sampling of 0.8."""
+    """Gradient boosting with row and column sampling of 0.8; rows are sampled anew in each round."""
     return GBTRegressor(
         featuresCol="features", labelCol=label, weightCol=WEIGHT, maxIter=rounds, maxDepth=depth, stepSize=0.1,
         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, checkpointInterval=10,
@@ -151,6 +167,7 @@ def fit(train: DataFrame, steps: Steps, learner: str, **options) -> PipelineMode
     else:
         shared_folder(train.sparkSession)  # the rounds are checkpointed there
         regressor = boosted_trees(label, **options)
+        engineered = row_shares(engineered)
     rows = _through(engineered, scale).select("features", label, F.col(WEIGHT).cast("double").alias(WEIGHT))
     return PipelineModel(stages=[*engineer, *scale, regressor.fit(rows)])
 
@@ -168,10 +185,12 @@ def train_part(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("part") == "train")
 
 
-def train(rows: DataFrame, variant: str, **options) -> PipelineModel:
-    """Train a variant on the train part of ``prepared`` rows."""
+def train(rows: DataFrame, variant: str, on: str = "train", **options) -> PipelineModel:
+    """Train a variant on the train part of ``prepared`` rows, or ``on="all"`` of them."""
+    if on not in ("train", "all"):
+        raise ValueError(f"train on 'train' or 'all', not {on!r}")
     steps, learner, settings = VARIANTS[variant]
-    return fit(train_part(rows), steps(rows), learner, **{**settings, **options})
+    return fit(rows if on == "all" else train_part(rows), steps(rows), learner, **{**settings, **options})
 
 
 def label_of(model: PipelineModel) -> str:
@@ -257,16 +276,22 @@ def contiguous_folds(training: DataFrame, folds: int = 5) -> DataFrame:
     return numbered.withColumn("fold", run.cast("int")).drop("_at")
 
 
-def cross_validate(rows: DataFrame, folds: int, steps: Steps, learner: str, **options) -> DataFrame:
+def cross_validate(
+    rows: DataFrame, folds: int, steps: Steps, learner: str, at_once: int = 1, **options
+) -> DataFrame:
     """R² on each fold of a model fitted on the others; scaling included.
 
-    The folds are trained one after another; each fit and each score is a job
-    over the whole cluster.
+    Each fit and each score is a job over the whole cluster. ``at_once`` folds
+    submit their jobs at the same time, which pays where a fit is many small
+    ones, as boosting is. A fold without rows, or with one label only, has no R².
     """
-    scores = []
-    for k in range(folds):
+
+    def score(k: int) -> tuple[int, float | None]:
         model = fit(rows.where(F.col("fold") != k), steps, learner, **options)
         held_out = predict(model, rows.where(F.col("fold") == k))
         r2 = metrics(held_out, by=()).first()["r2"]
-        scores.append((k, None if r2 is None else float(r2)))
+        return k, None if r2 is None else float(r2)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        scores = list(pool.map(score, range(folds)))
     return rows.sparkSession.createDataFrame(scores, "fold int, r2 double")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.grades import BIN_LABELS, scale_a, scale_b, scale_c, score_bin, stretch_above
 from ..functions.text import short_node
-from ..ml import models, training
+from ..ml import models, store, training
 from ..operators import audit, benchmarks, cohort, distribution, graph, knowledge, reshape, value_added
 from ..session import materialise, new_folder
 from ..sources import adapters as src, committed, sinks
@@ -510,39 +510,47 @@ def zscore_features(spark, sf):
 # --- models ---------------------------------------------------------------
 
 
-def _each_linear(spark, sf, report):
+def _each_linear(spark, sf, report, *rounded):
     rows = models.prepared(_training(spark, sf))
     results = [
-        report(models.train(rows, name), rows).withColumn("variant", F.lit(name))
+        report(store.stored(rows, name), rows).withColumn("variant", F.lit(name))
         for name in ("raw", "engineered", "clustered")
     ]
-    return results[0].unionByName(results[1]).unionByName(results[2])
+    return _rounded(results[0].unionByName(results[1]).unionByName(results[2]), 4, *rounded)
 
 
 @_query
 def elastic_net_fit(spark, sf):
-    return _each_linear(spark, sf, models.coefficients)
+    return _each_linear(spark, sf, models.coefficients, "coefficient")
 
 
 @_query
 def elastic_net_metrics(spark, sf):
-    return _each_linear(spark, sf, lambda model, rows: models.metrics(models.predict(model, rows)))
+    return _each_linear(spark, sf, lambda model, rows: models.metrics(models.predict(model, rows)), "mse", "r2")
 
 
-def _boosted(spark, sf):
+def _boosted(spark, sf, on):
     rows = models.prepared(_training(spark, sf))
-    return models.train(rows, "boosted"), rows
+    return store.stored(rows, "boosted", on), rows
 
 
 @_query
 def gbt_fit_metrics(spark, sf):
-    model, rows = _boosted(spark, sf)
+    model, rows = _boosted(spark, sf, "train")
     return models.metrics(models.predict(model, rows))
 
 
+@_query
+def gbt_all_metrics(spark, sf):
+    """Fitted on all rows and measured on the same ones."""
+    model, rows = _boosted(spark, sf, "all")
+    return models.metrics(models.predict(model, rows), by=())
+
+
 @_query
 def feature_importance(spark, sf):
-    model, rows = _boosted(spark, sf)
+    """Of the model fitted on all rows."""
+    model, rows = _boosted(spark, sf, "all")
     return models.importances(model, rows)
 
 
@@ -553,36 +561,61 @@ def kmeans_feature(spark, sf):
     clustered = rows
     for step in steps:
         clustered = step.transform(clustered)
-    return clustered.groupBy("cluster").agg(
+    grouped = clustered.groupBy("cluster").agg(
         F.sum("weight").alias("n"), F.min("advanced_adj").alias("lowest"), F.max("advanced_adj").alias("highest")
     )
+    return _rounded(grouped, 6, "lowest", "highest")
+
+
+def _train_rows(spark, sf):
+    return training.split(_training(spark, sf)).where(F.col("part") == "train").drop("part")
+
+
+def _shuffled(spark, sf):
+    return materialise(training.grade_tuples(models.shuffled_folds(_train_rows(spark, sf)), ["fold"]))
+
+
+def _contiguous(spark, sf):
+    folded = models.contiguous_folds(training.expand(_train_rows(spark, sf)))
+    return materialise(training.grade_tuples(folded.withColumn("weight", F.lit(1).cast("long")), ["fold"]))
 
 
 @_query
 def cv_scores(spark, sf):
-    folded = models.shuffled_folds(training.split(_training(spark, sf)).where(F.col("part") == "train"))
-    rows = materialise(training.grade_tuples(folded, ["fold"]))
-    return models.cross_validate(rows, 5, models.raw_steps, "elastic_net", alpha=0.1)
+    scores = models.cross_validate(_shuffled(spark, sf), 5, models.raw_steps, "elastic_net", alpha=0.1)
+    return _rounded(scores, 6, "r2")
 
 
 @_query
 def cv_scores_contiguous(spark, sf):
-    train = training.split(_training(spark, sf)).where(F.col("part") == "train").drop("part")
-    folded = models.contiguous_folds(training.expand(train)).withColumn("weight", F.lit(1).cast("long"))
-    rows = materialise(training.grade_tuples(folded, ["fold"]))
-    return models.cross_validate(rows, 5, models.raw_steps, "elastic_net", alpha=0.1)
+    scores = models.cross_validate(_contiguous(spark, sf), 5, models.raw_steps, "elastic_net", alpha=0.1)
+    return _rounded(scores, 6, "r2")
+
+
+@_query
+def cv_scores_clustered(spark, sf):
+    scores = models.cross_validate(_contiguous(spark, sf), 5, models.clustered_steps, "elastic_net", alpha=0.001)
+    return _rounded(scores, 6, "r2")
+
+
+@_query
+def cv_scores_boosted(spark, sf):
+    """Shuffled folds of the train part; the grades are stretched at the quantiles of all rows."""
+    steps = models.q75_steps(models.prepared(_training(spark, sf)))
+    return models.cross_validate(_shuffled(spark, sf), 5, steps, "boosted_trees", at_once=5)
 
 
 def _scored(spark, sf):
     rows = models.prepared(_training(spark, sf))
-    return models.diagnostics(models.train(rows, "raw"), rows)
+    return _rounded(models.diagnostics(store.stored(rows, "raw"), rows), 6, "predicted", "residual")
 
 
 @_query
 def batch_predict(spark, sf):
-    rows = models.prepared(_training(spark, sf))
-    model = models.train(rows, "raw")
-    return models.predict(model, _training(spark, sf).select("student_id", "base", "advanced", "weight"))
+    """Students in bulk, by the saved model; whichever query comes first trains it."""
+    model = store.stored(models.prepared(_training(spark, sf)), "raw")
+    rows = _training(spark, sf).select("student_id", "base", "advanced", "weight")
+    return _rounded(models.predict(model, rows), 6, "predicted")
 
 
 @_query

@@ -245,6 +245,8 @@ def _with(sql: str) -> str:
     """Prepend the views; they come before the statement's own WITH entries."""
     views = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in _needs(sql))
     own = sql.strip()
+    if own.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views},\n{own[15:]}"
     return f"WITH {views}" + (f",\n{own[5:]}" if own.startswith("WITH ") else f"\n{own}")
 
 
@@ -479,6 +481,135 @@ FROM ts_n""",
 }
 
 
+# --- elastic nets: normal equations, then descent along one coordinate a step ------------
+
+_ADV = "CASE WHEN advanced >= 95 THEN 95 + SQRT(GREATEST(advanced - 95, 0)) ELSE advanced END"
+_BINS = {f"base_bin_{i}": f"base > {lo} AND base <= {hi}" for i, (lo, hi) in enumerate(((0, 60), (60, 75), (75, 90), (90, 100)))}
+_CLUSTERS = {f"cluster_{i}": f"(adv > middle[1])::INT + (adv > middle[2])::INT = {i}" for i in range(3)}
+_NET_FEATURES = {
+    "raw": {"base": "base", "advanced": "advanced"},
+    "engineered": {"base": "base", "advanced_adj": "adv", "base_x_advanced": "base * adv"} | _BINS,
+    "clustered": {"base": "base", "advanced_adj": "adv", "base_x_advanced": "base * adv"} | _CLUSTERS,
+}
+
+
+def _net(rows: str, final: str, steps: int = 6000) -> str:
+    """Elastic nets of groups of rows: (grp, variant, alpha, fit, part, base, advanced, structures, target, weight).
+
+    ``fit`` marks the rows that a group is fitted on. Clusters are the three runs of the stretched
+    grade with the least sum of squares, over every pair of cuts. ``final`` reads ``net_w`` (weights
+    w of the scaled features, ybar) and ``net_pred`` (the rows with ``predicted``).
+    """
+    x = " ".join(
+        f"WHEN '{v}' THEN [{', '.join(f'CAST({e} AS DOUBLE)' for e in f.values())}]" for v, f in _NET_FEATURES.items()
+    )
+    return f"""WITH RECURSIVE net_rows AS MATERIALIZED (
+  SELECT *, {_ADV} AS adv, ROW_NUMBER() OVER () AS id FROM ({rows}) AS given),
+runs AS MATERIALIZED (
+  SELECT grp, adv, SUM(SUM(weight)) OVER w AS n, SUM(SUM(weight * adv)) OVER w AS s
+  FROM net_rows WHERE fit AND variant = 'clustered' GROUP BY grp, adv WINDOW w AS (PARTITION BY grp ORDER BY adv)),
+middles AS MATERIALIZED (
+  SELECT grp, [(a.s / a.n + (b.s - a.s) / (b.n - a.n)) / 2, ((b.s - a.s) / (b.n - a.n) + (t.s - b.s) / (t.n - b.n)) / 2] AS middle
+  FROM runs a JOIN runs b USING (grp) JOIN (SELECT grp, MAX(n) AS n, MAX_BY(s, n) AS s FROM runs GROUP BY grp) t USING (grp)
+  WHERE a.adv < b.adv AND b.n < t.n
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY grp ORDER BY
+    a.s * a.s / a.n + (b.s - a.s) * (b.s - a.s) / (b.n - a.n) + (t.s - b.s) * (t.s - b.s) / (t.n - b.n) DESC) = 1),
+net_x AS MATERIALIZED (
+  SELECT r.*, CASE variant {x} END AS x FROM net_rows r LEFT JOIN middles USING (grp)),
+net_long AS MATERIALIZED (
+  SELECT id, grp, alpha, fit, weight, structures AS y, j, x[j] AS v
+  FROM (SELECT *, UNNEST(GENERATE_SERIES(1, LEN(x))) AS j FROM net_x)),
+net_mean AS (SELECT grp, j, SUM(weight * v) / SUM(weight) AS m FROM net_long WHERE fit GROUP BY grp, j),
+net_scale AS MATERIALIZED (
+  SELECT grp, j, m, CASE WHEN SUM(weight * (v - m) * (v - m)) / SUM(weight) > 1e-12 * (1 + m * m)
+    THEN SQRT(SUM(weight * (v - m) * (v - m)) / SUM(weight)) ELSE 1 END AS s
+  FROM net_long JOIN net_mean USING (grp, j) WHERE fit GROUP BY grp, j, m),
+net_label AS MATERIALIZED (
+  SELECT grp, SUM(weight) AS n, SUM(weight * structures) / SUM(weight) AS ybar FROM net_x WHERE fit GROUP BY grp),
+net_z AS MATERIALIZED (
+  SELECT l.*, (v - m) / s AS z, n, ybar FROM net_long l JOIN net_scale USING (grp, j) JOIN net_label USING (grp)),
+net_gram AS (
+  SELECT a.grp, a.j, b.j AS k, SUM(a.weight * a.z * b.z / a.n) AS g FROM net_z a JOIN net_z b ON a.id = b.id
+  WHERE a.fit GROUP BY a.grp, a.j, b.j),
+net_right AS (
+  SELECT grp, j, SUM(weight * z * (y - ybar) / n) AS c, ANY_VALUE(alpha) AS alpha FROM net_z WHERE fit GROUP BY grp, j),
+net_system AS MATERIALIZED (
+  SELECT grp, j, LIST(g ORDER BY k) AS g, ANY_VALUE(c) AS c, ANY_VALUE(alpha) AS alpha, COUNT(*) AS p
+  FROM net_gram JOIN net_right USING (grp, j) GROUP BY grp, j),
+net_steps AS (
+  SELECT DISTINCT grp, 0 AS step, LIST_RESIZE(CAST([] AS DOUBLE[]), p, 0.0) AS w FROM net_system
+  UNION ALL
+  SELECT grp, step + 1,
+    LIST_CONCAT(LIST_CONCAT(w[1:j - 1], [SIGN(r) * GREATEST(ABS(r) - alpha / 2, 0) / (d + alpha / 2)]), w[j + 1:])
+  FROM (SELECT o.grp, step, w, e.j, e.alpha, e.g[e.j] AS d, e.c - LIST_INNER_PRODUCT(e.g, w) + e.g[e.j] * w[e.j] AS r
+    FROM net_steps o JOIN net_system e ON e.grp = o.grp AND e.j = step % e.p + 1)
+  WHERE step < {steps}),
+net_w AS MATERIALIZED (SELECT grp, w, ybar FROM net_steps JOIN net_label USING (grp) WHERE step = {steps}),
+net_pred AS (
+  SELECT x.*, ANY_VALUE(net_w.ybar) + SUM(w[j] * z) AS predicted FROM net_x x JOIN net_z USING (id) JOIN net_w ON net_w.grp = x.grp
+  GROUP BY ALL)
+{final}"""
+
+
+_NET_TUPLES = """SELECT part, base, advanced, structures, target, CAST(SUM(weight) AS BIGINT) AS weight
+FROM parts GROUP BY part, base, advanced, structures, target"""
+
+
+def _net_of(*variants: str) -> str:
+    """The variants on the train part."""
+    groups = ", ".join(f"('{v}', {'0.001' if v == 'clustered' else '0.1'})" for v in variants)
+    return f"""SELECT v.variant AS grp, v.variant, v.alpha, part = 'train' AS fit, t.*
+FROM ({_NET_TUPLES}) t CROSS JOIN (VALUES {groups}) AS v(variant, alpha)"""
+
+
+def _net_cv(folded: str, variant: str, alpha: float) -> str:
+    """R² of every fold by a model of the others; ``folded`` has the rows with their fold."""
+    rows = f"""SELECT 'fold' || k AS grp, '{variant}' AS variant, {alpha} AS alpha, fold <> k AS fit,
+  CASE WHEN fold = k THEN 'out' ELSE 'in' END AS part, base, advanced, structures, target, weight, CAST(k AS INT) AS k
+FROM (SELECT fold, base, advanced, structures, target, CAST(SUM(weight) AS BIGINT) AS weight FROM ({folded}) GROUP BY ALL)
+CROSS JOIN GENERATE_SERIES(0, 4) AS s(k)"""
+    final = f"SELECT k AS fold, {_round(_R_SQUARED)} AS r2 FROM net_pred WHERE part = 'out' GROUP BY k"
+    return _net(rows, final)
+
+
+_MISSES = "SUM(weight * (structures - predicted) * (structures - predicted))"
+_R_SQUARED = f"""1 - {_MISSES} / (SUM(weight * structures * structures)
+  - SUM(weight * structures) * SUM(weight * structures) / SUM(weight))"""
+_SHUFFLED = """SELECT base, advanced, structures, target, weight,
+  CAST('0x' || LEFT(MD5('cv|42|' || student_id), 8) AS BIGINT) % 5 AS fold FROM parts WHERE part = 'train'"""
+# Runs of the rows in student order; the first n % 5 runs are one row longer.
+_RUNS = """SELECT base, advanced, structures, target, 1 AS weight,
+  CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY student_id, base, advanced, structures, target) - 1 AS i, COUNT(*) OVER () AS n
+  FROM ts WHERE student_id IN (SELECT student_id FROM parts WHERE part = 'train'))"""
+_NAMES = " ".join(f"WHEN '{v}' THEN [{', '.join(repr(c) for c in f)}]" for v, f in _NET_FEATURES.items())
+_LINEAR = ("raw", "engineered", "clustered")
+
+_SQL |= {
+    "elastic_net_fit": _net(_net_of(*_LINEAR), f"""SELECT grp AS variant, names[j] AS feature, {_round('w[j]', 4)} AS coefficient
+FROM (SELECT *, CASE grp {_NAMES} END AS names, UNNEST(GENERATE_SERIES(1, LEN(w))) AS j FROM net_w)
+UNION ALL SELECT grp, '(intercept)', {_round('ybar', 4)} FROM net_w"""),
+    "elastic_net_metrics": _net(_net_of(*_LINEAR), f"""SELECT variant, part, CAST(SUM(weight) AS BIGINT) AS n,
+  {_round(f'{_MISSES} / SUM(weight)', 4)} AS mse, {_round(_R_SQUARED, 4)} AS r2 FROM net_pred GROUP BY variant, part"""),
+    "prediction_diagnostics": _net(_net_of("raw"), f"""SELECT base, advanced, structures, target, part, weight,
+  structures AS actual, {_round('predicted')} AS predicted, {_round('structures - predicted')} AS residual FROM net_pred"""),
+    "residual_histogram": _net(_net_of("raw"), f"""SELECT CAST(CASE WHEN lo = hi THEN 1
+    ELSE LEAST(20, FLOOR((residual - lo) / (hi - lo) * 20) + 1) END AS INT) AS bin, CAST(SUM(weight) AS BIGINT) AS n
+FROM (SELECT residual, weight, MIN(residual) OVER () AS lo, MAX(residual) OVER () AS hi
+  FROM (SELECT weight, {_round('structures - predicted')} AS residual FROM net_pred WHERE part = 'test'))
+GROUP BY 1"""),
+    "batch_predict": _net(_net_of("raw"), f"""SELECT s.student_id, s.base, s.advanced, s.weight,
+  CAST(NULL AS DOUBLE) AS actual, {_round('predicted')} AS predicted
+FROM parts s JOIN net_pred p USING (base, advanced, structures, target, part)"""),
+    "cv_scores": _net_cv(_SHUFFLED, "raw", 0.1),
+    "cv_scores_contiguous": _net_cv(_RUNS, "raw", 0.1),
+    "cv_scores_clustered": _net_cv(_RUNS, "clustered", 0.001),
+    "kmeans_feature": _net(_net_of("clustered"), f"""SELECT
+  CAST((adv > middle[1])::INT + (adv > middle[2])::INT AS INT) AS cluster, CAST(SUM(weight) AS BIGINT) AS n,
+  {_round('MIN(adv)')} AS lowest, {_round('MAX(adv)')} AS highest
+FROM net_rows JOIN middles USING (grp) GROUP BY 1"""),
+}
+
 _SQL["stage_table_upsert"] = _SQL["stage_upsert"]
 _SQL["scoring_table_update"] = _SQL["scoring_update"]
 _SQL["graph_table_replace"] = """SELECT course,
