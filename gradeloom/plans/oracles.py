@@ -562,7 +562,7 @@ def _net_of(*variants: str) -> str:
 FROM ({_NET_TUPLES}) t CROSS JOIN (VALUES {groups}) AS v(variant, alpha)"""
 
 
-def _net_cv(folded: str, variant: str, alpha: float) -> str:
+def _net_cv(folded: str, variant: str = "raw", alpha: float = 0.1) -> str:
     """R² of every fold by a model of the others; ``folded`` has the rows with their fold."""
     rows = f"""SELECT 'fold' || k AS grp, '{variant}' AS variant, {alpha} AS alpha, fold <> k AS fit,
   CASE WHEN fold = k THEN 'out' ELSE 'in' END AS part, base, advanced, structures, target, weight, CAST(k AS INT) AS k
@@ -601,9 +601,8 @@ GROUP BY 1"""),
     "batch_predict": _net(_net_of("raw"), f"""SELECT s.student_id, s.base, s.advanced, s.weight,
   CAST(NULL AS DOUBLE) AS actual, {_round('predicted')} AS predicted
 FROM parts s JOIN net_pred p USING (base, advanced, structures, target, part)"""),
-    "cv_scores": _net_cv(_SHUFFLED, "raw", 0.1),
-    "cv_scores_contiguous": _net_cv(_RUNS, "raw", 0.1),
-    "cv_scores_clustered": _net_cv(_RUNS, "clustered", 0.001),
+    "cv_scores": _net_cv(_SHUFFLED),
+    "cv_scores_contiguous": _net_cv(_RUNS),
     "kmeans_feature": _net(_net_of("clustered"), f"""SELECT
   CAST((adv > middle[1])::INT + (adv > middle[2])::INT AS INT) AS cluster, CAST(SUM(weight) AS BIGINT) AS n,
   {_round('MIN(adv)')} AS lowest, {_round('MAX(adv)')} AS highest
