@@ -110,20 +110,39 @@ def describe(training: DataFrame, columns: Sequence[str] = GRADES) -> DataFrame:
     return tuples.agg(F.array(*(summary(c) for c in columns)).alias("rows")).select(F.inline("rows"))
 
 
+def means(rows: DataFrame, columns: Sequence[str]) -> Column:
+    """Weighted means as one scalar struct, for moments around them."""
+    w = F.col(WEIGHT)
+    return rows.agg(F.struct(*((F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in columns))).scalar()
+
+
 def correlations(training: DataFrame, columns: Sequence[str] = GRADES) -> DataFrame:
-    """Pearson correlation of every pair of columns, one row per pair."""
-    w = F.col(WEIGHT).cast("double")
-    n = F.sum(w)
+    """Pearson correlation of every pair of columns, one row per pair.
 
-    def cross(a: str, b: str) -> Column:
-        return n * F.sum(w * F.col(a) * F.col(b)) - F.sum(w * F.col(a)) * F.sum(w * F.col(b))
+    Products are added up around the means, so that columns far from zero keep
+    their small deviations.
+    """
+    tuples = grade_tuples(training)
+    w, middle = F.col(WEIGHT).cast("double"), means(tuples, columns)
+    centred = tuples.select(w.alias("w"), *((F.col(c) - middle.getField(c)).alias(c) for c in columns))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    firsts = [F.sum(F.col("w") * F.col(c)).alias(f"s_{c}") for c in columns]
+    seconds = [F.sum(F.col("w") * F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in pairs]
+    sums = centred.agg(F.sum("w").alias("n"), *firsts, *seconds)
 
-    def pair(a: str, b: str) -> Column:
-        r = F.try_divide(cross(a, b), F.sqrt(cross(a, a)) * F.sqrt(cross(b, b)))
-        return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"))
+    def cross(a: str, b: str) -> Column:
+        # The centred first sums are what rounding left of zero.
+        return F.col(f"s_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("n")
 
-    pairs = F.array(*(pair(a, b) for a in columns for b in columns))
-    return grade_tuples(training).agg(pairs.alias("rows")).select(F.inline("rows"))
+    moments = sums.select(*(cross(a, b).alias(f"{a}_{b}") for a, b in pairs))
+    rows = []
+    for a in columns:
+        for b in columns:
+            one, other = sorted((a, b), key=list(columns).index)
+            spread = F.sqrt(F.col(f"{a}_{a}")) * F.sqrt(F.col(f"{b}_{b}"))
+            r = F.try_divide(F.col(f"{one}_{other}"), spread)
+            rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
+    return moments.select(F.inline(F.array(*rows)))
 
 
 def stretch_q75(training: DataFrame, columns: Sequence[str] = GRADES, fit_on: DataFrame | None = None) -> DataFrame:
@@ -179,24 +198,26 @@ def split(training: DataFrame, seed: int = 42) -> DataFrame:
     return training.withColumn("part", F.when(test, "test").otherwise("train"))
 
 
-def scaling(train: DataFrame, columns: Sequence[str], tolerance: float = 1e-12) -> DataFrame:
+def scaling(train: DataFrame, columns: Sequence[str], tolerance: float = 1e-13) -> DataFrame:
     """One row with mean and population deviation per column; 1 where it is 0.
 
-    A variance counts as 0 up to ``tolerance`` times 1 + mean squared, which is
-    what rounding leaves of a constant column.
+    The rows are read twice: for the means, and for the moments around them,
+    which do not cancel out in columns far from zero. A deviation counts as 0
+    up to ``tolerance`` times the mean, which is what rounding leaves of a
+    constant column.
     """
-    w = F.col(WEIGHT)
+    w, middle = F.col(WEIGHT), means(train, columns)
     n = F.sum(w)
 
-    def deviation(c: str) -> Column:
-        mean = F.sum(w * F.col(c)) / n
-        spread = F.greatest(F.sum(w * F.col(c) * F.col(c)) / n - mean * mean, F.lit(0.0))
-        return F.when(spread > tolerance * (1 + mean * mean), F.sqrt(spread)).otherwise(1.0)
+    def moments(c: str) -> tuple[Column, Column]:
+        off = F.col(c) - middle.getField(c)
+        shift = F.sum(w * off) / n
+        spread = F.sqrt(F.greatest(F.sum(w * off * off) / n - shift * shift, F.lit(0.0)))
+        mean = middle.getField(c) + shift
+        return mean, F.when(spread > tolerance * F.abs(mean), spread).otherwise(1.0)
 
-    return train.agg(
-        *((F.sum(w * F.col(c)) / n).alias(f"{c}_mean") for c in columns),
-        *(deviation(c).alias(f"{c}_std") for c in columns),
-    )
+    found = {c: moments(c) for c in columns}
+    return train.agg(*(m.alias(f"{c}_mean") for c, (m, _) in found.items()), *(s.alias(f"{c}_std") for c, (_, s) in found.items()))
 
 
 def standardise(rows: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:

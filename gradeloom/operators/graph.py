@@ -122,8 +122,9 @@ def prereq_edges(sheet: DataFrame, cells: Sequence[str] = CELLS) -> DataFrame:
     lacks are empty, and no other column is read as one.
     """
     rows, cells = _first_mentions(sheet, cells)
-    long = rows.unpivot(["level1"], cells, "_cell", "source").where(not_blank(F.col("source")))
-    return long.select("source", F.col("level1").alias("target")).distinct()
+    source = F.explode(F.array(*cells) if cells else F.array().cast("array<string>")).alias("source")
+    long = rows.select(source, F.col("level1").alias("target"))
+    return long.where(not_blank(F.col("source"))).distinct()
 
 
 def prereq_nodes(sheet: DataFrame, cells: Sequence[str] = CELLS) -> DataFrame:

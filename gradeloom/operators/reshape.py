@@ -12,19 +12,24 @@ from ..functions.predicates import filled
 POINT_HEADER = "知识点"
 
 
-def _cell(name: str) -> Column:
+def cell(name: str) -> Column:
     """Sheet column by its header, which may hold dots or spaces."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def cell_rows(cells: Sequence[Column], kind: str) -> Column:
+    """The cells of a row as rows of type ``struct<kind>``; none if the sheet has no such column."""
+    return F.inline(F.array(*cells) if cells else F.array().cast(f"array<struct<{kind}>>"))
+
+
 def unpivot_scores(sheet: DataFrame, points: DataFrame, year: str, id_column: str = "student_id") -> DataFrame:
     """Wide score sheet to (student, point, year, score); NULL scores are kept.
 
     Columns whose header is no point's name drop out in the join.
     """
     names = [c for c in sheet.columns if c != id_column]
-    cells = [F.struct(F.lit(c).alias("kp_name"), _cell(c).cast("double").alias("score")) for c in names]
-    long = sheet.select(_cell(id_column).alias("student_id"), F.inline(F.array(*cells)))
+    cells = [F.struct(F.lit(c).alias("kp_name"), cell(c).cast("double").alias("score")) for c in names]
+    long = sheet.select(cell(id_column).alias("student_id"), cell_rows(cells, "kp_name: string, score: double"))
     return long.join(points.select("kp_name", "kp_id"), "kp_name").select(
         "student_id", "kp_id", F.lit(year).alias("year"), "score"
     )
@@ -38,9 +43,9 @@ def scoring_cells(sheet: DataFrame, points: DataFrame, header: str = POINT_HEADE
     """
     columns = [c for c in sheet.columns if header in c]
     places = [
-        F.struct(F.lit(sheet.columns.index(c)).alias("col_no"), _cell(c).alias("kp_name")) for c in columns
+        F.struct(F.lit(sheet.columns.index(c)).alias("col_no"), cell(c).alias("kp_name")) for c in columns
     ]
-    long = sheet.select("row_no", "scoring", F.inline(F.array(*places))).where(filled(F.col("kp_name")))
+    long = sheet.select("row_no", "scoring", cell_rows(places, "col_no: int, kp_name: string")).where(filled(F.col("kp_name")))
     return long.join(points.select("kp_name", "kp_id"), "kp_name").select("row_no", "col_no", "scoring", "kp_id")
 
 

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.grades import BIN_LABELS, scale_a, scale_b, scale_c, score_bin, stretch_above
 from ..functions.text import short_node
 from ..ml import models, store, training
-from ..operators import audit, benchmarks, cohort, distribution, graph, knowledge, reshape, value_added
+from ..operators import audit, benchmarks, cohort, distribution, graph, knowledge, quarantine, reshape, value_added
 from ..session import materialise, new_folder
 from ..sources import adapters as src, committed, sinks
 from ..sources.tables import query
+from . import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -279,6 +280,65 @@ def new_students(spark, sf):
     return reshape.insert_missing(rows, src.existing_students(spark, sf), "student_id")
 
 
+# --- sheets as files ------------------------------------------------------
+
+
+def _file(sheet):
+    """The sheet written as a CSV file; its rows keep their order."""
+    path = new_folder(sheet.sparkSession)
+    sinks.write_sheet(sheet, path)
+    return path
+
+
+@_query
+def ingest_scores(spark, sf):
+    file = _file(src.score_sheet(spark, sf).withColumnRenamed("student_id", ingest.STUDENT_HEADER))
+    store = new_folder(spark)
+    ingest.scores(spark, file, src.score_point(spark, sf), store, "1998")
+    return committed.read_committed(spark, store, "student_knowledge")
+
+
+def _scoring_file(spark, sf):
+    sheet = src.scoring_sheet(spark, sf).orderBy("row_no")
+    return _file(sheet.select("scoring", *(F.col(f"kp_{i}").alias(f"{reshape.POINT_HEADER}{i}") for i in (1, 2, 3))))
+
+
+@_query
+def ingest_stages(spark, sf):
+    store = new_folder(spark)
+    ingest.stages(spark, _scoring_file(spark, sf), _points_by_id(spark, sf), store, "1999")
+    return committed.read_committed(spark, store, "stage_pre_year")
+
+
+@_query
+def ingest_rejected(spark, sf):
+    """What the scoring sheet names and no point is."""
+    store = new_folder(spark)
+    ingest.stages(spark, _scoring_file(spark, sf), _points_by_id(spark, sf), store, "1999")
+    return committed.read_committed(spark, store, "rejected").select("item", "cell", "reason")
+
+
+@_query
+def ingest_graph(spark, sf):
+    headers = {name: header for header, name in graph.SHEET_HEADERS.items()}
+    file = _file(src.prereq_sheet(spark, sf).orderBy("row_no").drop("row_no").withColumnsRenamed(headers))
+    store = new_folder(spark)
+    ingest.prerequisites(spark, file, "数据结构", store)
+    return graph.elements(*(committed.read_committed(spark, store, name) for name in ("points", "edges")))
+
+
+@_query
+def grade_quarantine(spark, sf):
+    """Enrolments by scale and reason, read from where good and bad ones were written."""
+    store, rows = new_folder(spark), src.enrollment(spark, sf).select("student_id", "course_name", "grade_text")
+    counts = []
+    for scale in quarantine.SCALES:
+        quarantine.set_apart(quarantine.judged(rows, scale), store, f"scale_{scale}")
+        written = committed.read_committed(spark, store, f"scale_{scale}")
+        counts.append(written.groupBy(F.lit(scale).alias("scale"), "status", "reason").agg(F.count(F.lit(1)).alias("n")))
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 # --- knowledge graph ------------------------------------------------------
 
 
@@ -455,7 +515,7 @@ def describe_training(spark, sf):
 
 @_query
 def correlation_matrix(spark, sf):
-    return _rounded(training.correlations(_training(spark, sf)), 6, "r")
+    return _rounded(training.correlations(_kept_training(spark, sf)), 6, "r")
 
 
 @_query

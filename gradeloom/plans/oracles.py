@@ -618,5 +618,36 @@ UNION ALL SELECT course, '{"data":{"source":"' || source || '","target":"' || ta
 WHERE course NOT LIKE '%5' AND (course NOT LIKE '%1' OR source % 2 = 0 AND target % 2 = 0)"""
 
 
+_SQL["ingest_scores"] = _SQL["unpivot_scores"]
+_SQL["ingest_stages"] = _SQL["stage_assignment"]
+_SQL["ingest_rejected"] = "\nUNION ALL ".join(
+    f"""SELECT scoring AS item, CAST(kp_{i} AS VARCHAR) AS cell, 'no such point' AS reason FROM score_sheet_items
+WHERE kp_{i} IS NOT NULL AND kp_{i} NOT IN (SELECT p_partkey FROM part)"""
+    for i in (1, 2, 3)
+)
+_KEY = "CAST('0x' || LEFT(MD5('数据结构' || chr(31) || {}), 15) AS BIGINT)"
+_SQL["ingest_graph"] = f"""SELECT '数据结构' AS course,
+  '{{"data":{{"id":"' || {_KEY.format('name')} || '","name":"' || name || '"}}}}' AS element FROM prereq_nodes
+UNION ALL SELECT '数据结构',
+  '{{"data":{{"source":"' || {_KEY.format('source')} || '","target":"' || {_KEY.format('target')} || '"}}}}' FROM prereq_edges"""
+
+
+def _quarantine(scale: str, score: str, labels: tuple[str, ...]) -> str:
+    number = "^ *[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
+    return f"""SELECT '{scale}' AS scale, CASE WHEN reason IS NULL THEN 'good' ELSE 'bad' END AS status, reason, COUNT(*) AS n
+FROM (SELECT CASE WHEN grade_text IN ({_in(labels)}) THEN NULL WHEN grade_text IS NULL THEN 'missing'
+    WHEN NOT REGEXP_MATCHES(grade_text, '{number}') THEN 'no number'
+    WHEN NOT REGEXP_MATCHES(grade_text, '{number} *$') THEN 'text after the number'
+    WHEN {score} IS NULL OR {score} < 0 OR {score} > 100 THEN 'out of range' END AS reason FROM enrollment)
+GROUP BY ALL"""
+
+
+_SQL["grade_quarantine"] = "\nUNION ALL ".join((
+    _quarantine("a", _a(), ("优秀", "良好", "中等", "及格", "通过", "不及格")),
+    _quarantine("b", _b(), ("优", "良", "中", "及格", "不及格", "缓考")),
+    _quarantine("c", _c(), ("优秀", "良好", "中等", "及格")),
+))
+
+
 def statements() -> dict[str, str]:
     return {name: _with(sql) for name, sql in _SQL.items()}

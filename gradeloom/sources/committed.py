@@ -34,11 +34,15 @@ class Conflict(RuntimeError):
 
 
 class Change(NamedTuple):
-    """Rows that replace the partitions they fall into; ``emptied`` lose their rows unless ``rows`` has some of them."""
+    """Rows that replace the partitions they fall into, or with ``append`` are added to them.
+
+    The partitions ``emptied`` lose their rows unless ``rows`` has some of them.
+    """
 
     rows: DataFrame
     column: str
     emptied: Sequence = ()
+    append: bool = False
 
 
 def _path(spark: SparkSession, *parts: str):
@@ -93,7 +97,7 @@ def read_committed(spark: SparkSession, path: str, table: str, values: Sequence
 def _read(spark: SparkSession, path: str, entry: dict, values: Sequence | None) -> DataFrame:
     schema, parts = StructType.fromJson(entry["schema"]), entry["parts"]
     names = parts if values is None else {_folder_name(spark, v) for v in values} & parts.keys()
-    folders = [f"{path.rstrip('/')}/{parts[n]}" for n in sorted(names)]
+    folders = [f"{path.rstrip('/')}/{folder}" for n in sorted(names) for folder in parts[n]]
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
@@ -106,6 +110,9 @@ def commit(spark: SparkSession, path: str, changes: Mapping[str, Change], base:
     newest, tables = _latest(spark, path)
     if base is not None and newest != base:
         raise Conflict(f"{path} is at commit {newest}, not {base}")
+    for table in changes:
+        if f"{table}.keys" in tables and f"{table}.keys" not in changes:
+            raise ValueError(f"{table} has a key index; change it by upsert")
     tables = dict(tables)
     stage = f"data/{uuid.uuid4().hex}"
     try:
@@ -136,7 +143,9 @@ def _stage(spark: SparkSession, path: str, folder: str, change: Change, entry: d
     emptied = {_folder_name(spark, v) for v in change.emptied}
     kept = {} if entry is None else {n: f for n, f in entry["parts"].items() if n not in emptied}
     schema = rows.schema.jsonValue() if entry is None else entry["schema"]
-    return {"schema": schema, "column": change.column, "parts": kept | {n: f"{folder}/{n}" for n in written}}
+    before = kept if change.append else {}
+    parts = kept | {n: [*before.get(n, ()), f"{folder}/{n}"] for n in written}
+    return {"schema": schema, "column": change.column, "parts": parts}
 
 
 def _publish(spark: SparkSession, path: str, version: int, tables: dict) -> None:
@@ -169,15 +178,18 @@ def _same(left: str, right: str, keys: Sequence[str]) -> Column:
     return reduce(Column.__and__, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys))
 
 
-def upsert(spark: SparkSession, path: str, table: str, rows: DataFrame, keys: Sequence[str], column: str) -> int:
+def upsert(
+    spark: SparkSession, path: str, table: str, rows: DataFrame, keys: Sequence[str], column: str,
+    also: Mapping[str, Change] | None = None,
+) -> int:
     """Rows of new keys are added, those of known keys replaced, wherever they were stored.
 
     The table has an index from key to partition, itself a committed table in
     buckets of the keys' hash. It names the partitions that hold a key now, so
     only these and the ones that ``rows`` fall into are read and written again,
     and a key that changes its partition leaves the old one. Table and index
-    change in one commit; without a table both are created. A key that ``rows``
-    has twice is an error. Keys may be NULL.
+    change in one commit, with the changes ``also`` asked for; without a table
+    both are created. A key that ``rows`` has twice is an error. Keys may be NULL.
     """
     new = materialise(rows)
     if not new.groupBy(*keys).count().where(F.col("count") > 1).isEmpty():
@@ -198,14 +210,15 @@ def upsert(spark: SparkSession, path: str, table: str, rows: DataFrame, keys: Se
         stored = _read(spark, path, tables[table], values).alias("s")
         merged = stored.join(new.alias("n"), _same("s", "n", keys), "left_anti").unionByName(new)
     changes = {table: Change(merged, column, values), index: Change(indexed, "bucket", buckets)}
-    return commit(spark, path, changes, base)
+    return commit(spark, path, changes | dict(also or {}), base)
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 1) -> None:
     """Remove what none of the last ``keep`` commits refers to; no commit may be under way."""
     versions = _versions(spark, path)
     recent = versions[-keep:]
-    folders = [f for v in recent for entry in _manifest(spark, path, v).values() for f in entry["parts"].values()]
+    entries = [entry for v in recent for entry in _manifest(spark, path, v).values()]
+    folders = [f for entry in entries for part in entry["parts"].values() for f in part]
     used, stages = set(folders), {f.split("/")[1] for f in folders}
     for stage in _names(spark, _path(spark, path, "data")):
         if stage not in stages:

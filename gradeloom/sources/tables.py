@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+#: Column of ``read_checked`` with the lines that do not fit the header.
+BROKEN = "_broken_line"
 
 SCHEMAS = {
     "enrollment": (
@@ -46,8 +50,10 @@ def read_sheet(spark: SparkSession, path: str, schema: str | None = None, number
     """
     reader = spark.read.option("header", True).option("encoding", "UTF-8")
     sheet = (reader.schema(schema) if schema else reader).csv(path)
-    if not numbered:
-        return sheet
+    return _numbered(sheet) if numbered else sheet
+
+
+def _numbered(sheet: DataFrame) -> DataFrame:
     place = F.struct(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
@@ -55,6 +61,19 @@ def read_sheet(spark: SparkSession, path: str, schema: str | None = None, number
     return sheet.select("*", place.alias("row_no"))
 
 
+def read_checked(spark: SparkSession, path: str) -> DataFrame:
+    """Spreadsheet export as text cells with ``row_no``, as in ``read_sheet``.
+
+    A line with more or fewer cells than the header is kept as it stands in
+    ``BROKEN``, which is NULL for the others.
+    """
+    reader = spark.read.option("header", True).option("encoding", "UTF-8")
+    names = reader.csv(path).columns
+    schema = StructType([StructField(n, StringType()) for n in [*names, BROKEN]])
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).option("columnPruning", False)
+    return _numbered(reader.schema(schema).csv(path))
+
+
 def query(spark: SparkSession, sql: str, views: dict[str, DataFrame], **binds) -> DataFrame:
     """SQL over the given frames with named binds (``:name``)."""
     return spark.sql(sql, args=binds, **views)
