@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gradeloom.llm import bpe, jaccard_join, language_id, line_dedup, mixing
 from gradeloom.llm.common import ship
 from gradeloom.llm.queries import TOKENIZER
-from gradeloom.session import materialise
+from gradeloom.session import new_folder, remove, written_once
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -62,13 +62,20 @@ STAGES: list[tuple[str, Stage]] = [
     ("bpe", encode),
 ]
 
-#: Language models, transitive links and byte-pair merges have no SQL form; tests hold run() against brute force.
+#: Language models, transitive links and byte-pair merges have no SQL form; the tests chain the brute-force forms.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents; the last one's rows are read from where they were written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the table of documents; the last one's rows are read from where they were written.
+
+    What a stage writes on its way is removed when its rows are written, and
+    these when the next stage's are.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        path = new_folder(spark)
+        docs = written_once(spark, lambda: stage(spark, docs, sf_dir), path)
+        remove(spark, before)
+        before = [path]
     return docs

@@ -8,13 +8,14 @@ answers for all of them at once; a given one is an ordinary filter.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..ml import models, training
 from ..operators import audit, benchmarks, cohort, distribution, graph, knowledge, value_added
+from ..session import steps
 from ..sources.sinks import json_record
 
 
@@ -117,6 +118,19 @@ def grade_model(
     return model, {"metrics": models.metrics(scored), "rows": scored}
 
 
+def write_report(
+    spark: SparkSession, make: Callable[[], DataFrame | Mapping[str, DataFrame]], path: str, mode: str = "overwrite"
+) -> None:
+    """Write the frame, or each of the named frames, that ``make()`` builds, and remove the steps behind it.
+
+    A report of several frames has a folder for each below ``path``.
+    """
+    with steps(spark):
+        made = make()
+        for name, frame in (made if isinstance(made, Mapping) else {"": made}).items():
+            frame.write.mode(mode).parquet(f"{path.rstrip('/')}/{name}".rstrip("/"))
+
+
 def as_json(report: DataFrame) -> DataFrame:
     """The rows of a report as JSON records."""
     return report.select(json_record(*report.columns).alias("record"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,13 +59,58 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/gradeloom-{uuid.uuid4().hex}"
 
 
+#: Folders written so far by the scopes that are open, innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared folder and continue from it.
 
     The lineage ends there, the rows are fixed, and the planner knows their
-    size: joins broadcast the table only if its files are small enough.
+    size: joins broadcast the table only if its files are small enough. The
+    innermost open scope of ``steps`` owns the table; without one it stays.
     """
     spark = df.sparkSession
     path = new_folder(spark)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[None]:
+    """Own the tables that are written inside, and remove them at the end, also after an error.
+
+    Write the result before the scope ends; frames that read the steps cannot
+    be read after it. Scopes nest. What other threads write while a scope is
+    open belongs to it as well.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        remove(spark, _SCOPES.pop())
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Delete written folders by the file system that they belong to."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written_once(spark: SparkSession, make: Callable[[], DataFrame], path: str | None = None) -> DataFrame:
+    """The frame that ``make()`` returns, as a table; the steps made on the way are removed.
+
+    The table is at ``path``, else in a new folder that the scope outside owns.
+    """
+    owned = path is None
+    path = path or new_folder(spark)
+    if _SCOPES and owned:
+        _SCOPES[-1].append(path)
+    with steps(spark):
+        made = make()
+        made.write.parquet(path)
+        schema = made.schema
+    return spark.read.schema(schema).parquet(path)
