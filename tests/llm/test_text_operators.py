@@ -15,6 +15,7 @@ from gradeloom.llm import (
     bpe, context_mixing, exact_dedup, html_text, jaccard_join, language_id, line_dedup, mixing, suffix_dedup, topk_search,
 )
 from gradeloom.llm.common import ship
+from gradeloom.session import materialise
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, row string, `_doc` string"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -383,7 +384,7 @@ def test_pipeline(spark, tmp_path, docs):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, rows, str(tmp_path))
         assert after.columns == rows.columns, name
-        rows = corpus_pipeline.materialise(after)
+        rows = materialise(after)
     result = corpus_pipeline.run(spark, str(tmp_path)).collect()
     reference = Tokenizer.from_file(TOKENIZER)
     want = Counter(
