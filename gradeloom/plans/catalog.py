@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -572,10 +573,12 @@ def zscore_features(spark, sf):
 
 def _each_linear(spark, sf, report, *rounded):
     rows = models.prepared(_training(spark, sf))
-    results = [
-        report(store.stored(rows, name), rows).withColumn("variant", F.lit(name))
-        for name in ("raw", "engineered", "clustered")
-    ]
+
+    def one(name):
+        return report(store.stored(rows, name), rows).withColumn("variant", F.lit(name))
+
+    with ThreadPoolExecutor(3) as pool:  # fits of many small jobs, submitted at the same time
+        results = list(pool.map(one, ("raw", "engineered", "clustered")))
     return _rounded(results[0].unionByName(results[1]).unionByName(results[2]), 4, *rounded)
 
 
