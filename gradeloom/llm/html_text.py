@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +33,9 @@ COPY_SHARE = 0.8
 #: A line outside of an article is a menu if links hold more than this part of it.
 LINK_SHARE = 0.5
 
+#: Bits of rows that a comparison of two pages keeps at a time.
+ROW_BITS = 1 << 27
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -44,7 +47,8 @@ ADDRESS = re.compile(r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 # Elements by their part in a page, and words that name furniture in a class, id or role.
 RAW = frozenset("script style noscript textarea title iframe svg template object select math canvas audio video".split())
-FURNITURE = frozenset("head nav footer aside form button menu dialog fieldset label input".split())
+FURNITURE = frozenset("head nav footer aside button menu dialog label input".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
@@ -56,17 +60,29 @@ HINTS = frozenset(
     "complementary contentinfo disqus footer menu modal nav navbar navigation newsletter notice overlay popup promo related "
     "replies reply respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+# Words beside a name of furniture that leave it one: in an article a name counts only if all its words are of these.
+PLACES = frozenset(
+    "area bar block body box button buttons container content feed footer form foot group head header holder inner item items "
+    "layer left link links list module outer panel post posts right section slot stories story thread top bottom unit wrap wrapper".split()
+)
+#: Elements whose names count in an article; a paragraph or heading is text whatever it is called.
+BOXES = frozenset("div section ul ol dl table figure span center aside details".split())
 # Words that make a class a state of the element (has-sidebar, comments-open) and no name of its part.
 STATES = frozenset("has is no with without".split())
 STATES_AFTER = frozenset("open closed enabled disabled on off".split())
 
 
-def _names_furniture(value: str) -> bool:
-    """Whether one of the names in a class, id or role is that of furniture, not of a state of the element."""
+def _names_furniture(value: str, in_main: bool) -> bool:
+    """Whether one of the names in a class, id or role is that of furniture, not of a state of the element.
+
+    In the main part every word of the name must be one of furniture, or of a place of it.
+    """
     for one in value.split():
         parts = [p for p in re.split(r"[_-]+", one) if p]
         if HINTS.isdisjoint(parts) or (len(parts) > 1 and (parts[0] in STATES or parts[-1] in STATES_AFTER)):
             continue
+        if in_main and not all(p in HINTS or p in PLACES or p.isdigit() for p in parts):
+            continue
         return True
     return False
 
@@ -82,53 +98,111 @@ def _part(name: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
                 drop = drop or value == "true"
             elif value in ("main", "articlebody"):
                 main = True
-            elif _names_furniture(value):
-                drop = drop or name not in ("html", "body")
+            elif _names_furniture(value, in_main):
+                drop = drop or (name not in ("html", "body") and (not in_main or name in BOXES))
             elif value == "banner" or (value in ("header", "site-header", "page-header") and not in_main):
                 drop = True
     return drop, main
 
 
+class _Open:
+    """The elements that are open, with counts of what they are, so that each costs the same however deep it lies."""
+
+    def __init__(self) -> None:
+        self.elements: list[tuple[str, bool, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.drops = self.fixed = self.mains = 0
+
+    def push(self, name: str, drop: bool, main: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.elements))
+        self.elements.append((name, drop, main))
+        self._count(name, drop, main, 1)
+
+    def _count(self, name: str, drop: bool, main: bool, by: int) -> None:
+        self.drops += by * drop
+        self.fixed += by * (drop and name in FURNITURE)
+        self.mains += by * main
+
+    def last(self, name: str) -> int:
+        """Depth of the innermost element of the name; -1 if none is open."""
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def first_above(self, name: str, depth: int) -> int | None:
+        """Depth of the outermost element of the name that lies deeper than ``depth``."""
+        places = self.places.get(name, [])
+        at = bisect_right(places, depth)
+        return places[at] if at < len(places) else None
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.elements) > depth:
+            name, drop, main = self.elements.pop()
+            self.places[name].pop()
+            self._count(name, drop, main, -1)
+
+    def rescue(self) -> None:
+        """Take back that the open elements are furniture, which a main part inside shows they are not."""
+        self.elements = [(name, False, main) for name, _, main in self.elements]
+        self.drops = self.fixed = 0
+
+
 def page_lines(page: str) -> list[tuple[str, bool]]:
     """(text, in the main part) of every block that is not furniture, in page order.
 
     Character references are decoded, white space becomes one space, empty
     blocks have no line. Unclosed elements end with their parent, a paragraph
-    also at the next block.
+    also at the next block. A form is furniture unless it holds a main part, or,
+    on a page that has none, a heading and a paragraph. The time grows with the page's length, whatever
+    its depth and however many elements or quotes are left open.
     """
-    lines: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    lines: list[tuple[str, bool | None]] = []  # None: in a form that counts only on a page without a main part
+    elements = _Open()
     words: list[str] = []
     linked = 0
-    drop = main = False
+    forms: list[list] = []  # first line, whether there is a main part, a heading, a paragraph
+    unclosed: set[str] = set()
 
     def end_block() -> None:
         nonlocal linked
         if words:
             text = " ".join(html.unescape("".join(words)).split())
             words.clear()
-            if text and (main or linked <= LINK_SHARE * len(text)):
-                lines.append((text, main))
+            if text and (elements.mains or linked <= LINK_SHARE * len(text)):
+                lines.append((text, elements.mains > 0))
+                if forms and elements.last("p") >= 0:
+                    forms[-1][3] = True
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
-        if text and not drop:
+        if text and not elements.drops:
             words.append(text)
-            if any(s[0] == "a" for s in stack):
+            if elements.last("a") >= 0:
                 linked += len(text.strip())
 
+    def close_forms(depth: int) -> None:
+        while forms and len(forms) > bisect_left(elements.places["form"], depth):
+            first, main, heading, paragraph = forms.pop()
+            if not main and not (heading and paragraph):
+                del lines[first:]
+                continue
+            if not main:
+                lines[first:] = [(text, None) for text, _ in lines[first:]]
+            if forms:
+                forms[-1][1:] = [x or y for x, y in zip(forms[-1][1:], (main, heading, paragraph))]
+
     def pop_to(depth: int) -> None:
-        nonlocal drop, main
-        del stack[depth:]
-        drop, main = any(s[1] for s in stack), any(s[2] for s in stack)
+        close_forms(depth)
+        elements.pop_to(depth)
 
-    at = 0
-    while match := TOKEN.search(page, at):
+    at, last = 0, page.rfind(">") + 1
+    while match := TOKEN.search(page, at, last):
         add(page[at : match.start()])
         at = match.end()
+        if at == last and match[0].startswith(("<!--", "<![CDATA[")) and not match[0].endswith(("-->", "]]>")):
+            at = len(page)  # never closed, so it goes on to the end
         if match["data"] is not None:
-            add(html.escape(match["data"]))
+            add(html.escape(match["data"] + page[match.end() : at]))
         name = match["name"] or match["name2"]
         if not name:
             continue
@@ -138,37 +212,44 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
         if block:
             end_block()
         if match["close"] or match["close2"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                pop_to(depth)
+            if elements.last(name) >= 0:
+                pop_to(elements.last(name))
             continue
         if name in RAW:
             if not attrs.rstrip().endswith("/"):
-                end = re.compile(f"</{name}\\b[^>]*>", re.I).search(page, at)
+                end = None if name in unclosed else re.compile(f"</{name}\\b[^>]*>", re.I).search(page, at)
+                if end is None:
+                    unclosed.add(name)
                 at = end.end() if end else (len(page) if name in ("script", "style") else at)
             continue
         if name in VOID:
-            if name in ("br", "img", "wbr") and not drop and name != "wbr":
+            if name in ("br", "img") and not elements.drops:
                 words.append(" ")
             continue
         if block:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or (name == "li" and stack[i][0] == "li"):
-                    pop_to(i)
-                if stack and i < len(stack) and stack[i][0] in ("ul", "ol", "div", "article", "td", "section"):
-                    break
-        elif name in ("td", "th") and not drop:
+            barrier = max(elements.last(b) for b in ("ul", "ol", "div", "article", "td", "section"))
+            ends = [d for n in ("p", "li")[: 1 + (name == "li")] if (d := elements.first_above(n, barrier)) is not None]
+            if ends:
+                pop_to(min(ends))
+        elif name in ("td", "th") and not elements.drops:
             words.append(" ")
         if attrs.rstrip().endswith("/"):
             continue
-        own_drop, own_main = _part(name, attrs, main)
-        if name in MAIN and drop and not any(s[1] and s[0] in FURNITURE for s in stack):
-            stack[:] = [(s[0], False, s[2]) for s in stack]
-        stack.append((name, own_drop, own_main))
-        drop, main = any(s[1] for s in stack), any(s[2] for s in stack)
-    add(page[at:])
+        own_drop, own_main = _part(name, attrs, elements.mains > 0)
+        if name in MAIN and elements.drops and not elements.fixed:
+            elements.rescue()
+        if forms:
+            forms[-1][1] = forms[-1][1] or own_main
+            forms[-1][2] = forms[-1][2] or (name in HEADINGS and not elements.drops)
+        if name == "form":
+            forms.append([len(lines), False, False, False])
+        elements.push(name, own_drop, own_main)
+    tail = page[at:]
+    add(tail[: re.search(r"<!--|<!\[CDATA\[|\Z", tail).start()])
     end_block()
-    return lines
+    close_forms(0)
+    has_main = any(main for _, main in lines)
+    return [(text, bool(main)) for text, main in lines if main is not None or not has_main]
 
 
 def address(url: str | None) -> tuple[str | None, str, str]:
@@ -207,11 +288,38 @@ def parsed(pages: DataFrame) -> DataFrame:
     return in_batches(pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")), schema, parse)
 
 
+def _rows(a: list[int], masks: dict[int, int], width: int) -> Iterator[int]:
+    """After each element of ``a`` a bit row over ``b``; its zeros below a place count the longest common subsequence there."""
+    full = (1 << width) - 1
+    row = full
+    for x in a:
+        hit = row & masks.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _masks(b: list[int]) -> dict[int, int]:
+    """Bits of the places of every element."""
+    found: dict[int, bytearray] = {}
+    for j, x in enumerate(b):
+        found.setdefault(x, bytearray((len(b) + 7) // 8))[j >> 3] |= 1 << (j & 7)
+    return {x: int.from_bytes(bits, "little") for x, bits in found.items()}
+
+
+def _zeros(row: int, width: int) -> list[int]:
+    """Number of zeros of a bit row below every place."""
+    counts = [0]
+    for bit in reversed(bin(row | 1 << width)[3:]):
+        counts.append(counts[-1] + (bit == "0"))
+    return counts
+
+
 def common_lines(a: list[int], b: list[int]) -> list[int]:
     """Places in ``a`` of a longest common subsequence with ``b``.
 
-    Equal beginnings and ends are taken off first; then longest increasing
-    sequences over the matching pairs are built (Hunt and Szymanski).
+    Equal beginnings and ends are taken off first. Lengths are found for a
+    machine word of ``b`` at a time, whatever repeats; where the rows would take
+    much memory, ``a`` is halved at the best place of ``b``.
     """
     start = 0
     while start < len(a) and start < len(b) and a[start] == b[start]:
@@ -219,25 +327,46 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     end = 0
     while end < len(a) - start and end < len(b) - start and a[len(a) - 1 - end] == b[len(b) - 1 - end]:
         end += 1
-    where: dict[int, list[int]] = {}
-    for j in range(len(b) - end - 1, start - 1, -1):
-        where.setdefault(b[j], []).append(j)
-    tails: list[int] = []
-    nodes: list[tuple] = []
-    for i in range(start, len(a) - end):
-        for j in where.get(a[i], ()):
-            k = bisect_left(tails, j)
-            node = (i, nodes[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                nodes.append(node)
-            else:
-                tails[k], nodes[k] = j, node
-    middle, node = [], nodes[-1] if nodes else None
-    while node:
-        middle.append(node[0])
-        node = node[1]
-    return [*range(start), *middle[::-1], *range(len(a) - end, len(a))]
+    middle: list[int] = []
+    todo = [(start, len(a) - end, start, len(b) - end)]
+    while todo:
+        i, to, j, upto = todo.pop()
+        # Lines that the other page lacks match nothing.
+        other = set(b[j:upto])
+        own = [k for k in range(i, to) if a[k] in other]
+        seen = {a[k] for k in own}
+        theirs = [x for x in b[j:upto] if x in seen]
+        if not own or not theirs:
+            continue
+        if len(own) == 1:
+            middle.append(own[0])
+        elif len(own) * len(theirs) <= ROW_BITS:
+            middle += [own[k] for k in _traced([a[k] for k in own], theirs)]
+        else:
+            half, width = len(own) // 2, len(theirs)
+            *_, ahead = _rows([a[k] for k in own[:half]], _masks(theirs), width)
+            *_, behind = _rows([a[k] for k in own[: half - 1 : -1]], _masks(theirs[::-1]), width)
+            before, after = _zeros(ahead, width), _zeros(behind, width)[::-1]
+            best = max(range(width + 1), key=lambda k: before[k] + after[k])
+            places = [k for k in range(j, upto) if b[k] in seen]
+            cut = places[best] if best < width else upto
+            todo += [(i, own[half], j, cut), (own[half], to, cut, upto)]
+    return [*range(start), *sorted(middle), *range(len(a) - end, len(a))]
+
+
+def _traced(a: list[int], b: list[int]) -> list[int]:
+    """``common_lines`` by keeping every row."""
+    rows = list(_rows(a, _masks(b), len(b)))
+    i, j, places = len(a), len(b), []
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1  # as long without b's last line
+        elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
+            i -= 1  # as long without a's last line
+        else:
+            i, j = i - 1, j - 1
+            places.append(i)
+    return places[::-1]
 
 
 def _shared_path(a: str, b: str) -> int:
@@ -329,7 +458,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     those that the nearest page of the host does not share. Null html counts as
     empty, a page without text has an empty one, a page without a host has no
     neighbour. Repeated rows of one URL are copies and not compared with each
-    other. Further columns are not read.
+    other. Pages are read whole and in time that grows with their length, two
+    pages are compared line by line whatever repeats in them. An empty table
+    gives no rows. Further columns are not read.
     """
     table = materialise(parsed(pages).withColumn("row", F.monotonically_increasing_id()))
     shared = materialise(shared_lines(table))
