@@ -41,6 +41,9 @@ FIRST_LEAF = 8
 #: Regions of so many members join in one task later on.
 LEAF = 2048
 SLICES = 128
+#: Cells of the table of n-gram counts, and those that are added up at a time.
+CELLS = 1 << 20
+PIECE = 1 << 14
 COLUMNS = 2048
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _ODD = np.uint64(0x100000001B3)
@@ -323,27 +326,64 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("set"), F.col("v").alias("comp")).unionByName(roots)
 
 
+def gram_counts(grams: DataFrame) -> np.ndarray:
+    """How often the members hold the n-grams of each of ``CELLS`` cells of the hashes: a table of fixed size.
+
+    A task counts into one such table, whatever it reads; the tables are added up in pieces.
+    """
+    schema = pa.schema([("piece", pa.int32()), ("counts", pa.binary())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for v in batch.column(0):
+                total += np.bincount(_cells(np.frombuffer(v.as_buffer(), np.uint64)), minlength=CELLS)
+        pieces = total.reshape(-1, PIECE)
+        held = np.flatnonzero(pieces.any(axis=1))
+        rows = [pieces[i].astype(np.uint32).tobytes() for i in held]
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(rows, pa.binary())], schema=schema)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total[piece] = total.get(piece, 0) + np.frombuffer(v.as_buffer(), np.uint32).astype(np.int64)
+        rows = [x.tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(rows, pa.binary())], schema=schema)
+
+    counted = grams.mapInArrow(count, "piece int, counts binary")
+    found = np.zeros(CELLS, np.int64)
+    for row in counted.repartition("piece").mapInArrow(add, "piece int, counts binary").collect():  # CELLS numbers
+        found[row["piece"] * PIECE : (row["piece"] + 1) * PIECE] = np.frombuffer(row["counts"], np.int64)
+    return found
+
+
+def _cells(grams: np.ndarray) -> np.ndarray:
+    return (_mixed(grams, 2) >> np.uint64(32)).astype(np.int64) & (CELLS - 1)
+
+
 def rare_prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(g, set): groups of the sets in ``members`` that share one of their rarest n-grams.
 
     Linked sets of which one has n elements share at least one of the first
-    n - ceil(n * threshold) + 1 in any common order, here that of the number of
-    members which hold an n-gram; sets that share no such one need not meet.
+    n - ceil(n * threshold) + 1 in any common order, here that of ``gram_counts``
+    and then of the hash; sets that share no such one need not meet. Only these
+    n-grams leave a task.
     """
-
-    def listed(batch: pa.RecordBatch) -> dict:
-        found = [np.frombuffer(v.as_buffer(), dtype=np.int64) for v in batch.column(1)]
-        return {"set": batch.column(0), "grams": found}
-
-    arrays = in_batches(sets.join(members, "set", "left_semi").select("set", "grams"), "set long, grams array<long>", listed)
-    size = F.size("grams")
-    prefix = size - F.ceil(size * percent / 100) + 1
-    grams = materialise(arrays.select("set", prefix.alias("prefix"), F.explode("grams").alias("gram")))
-    often = materialise(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")))
-    place = F.row_number().over(Window.partitionBy("set").orderBy("often", "gram"))
-    placed = grams.join(often, "gram").withColumn("place", place)
-    near = placed.where((F.col("place") <= F.col("prefix")) & (F.col("often") > 1))
-    return near.select(F.col("gram").alias("g"), "set")
+    chosen = materialise(sets.join(members, "set", "left_semi").select("set", "grams"))
+    often = chosen.sparkSession.sparkContext.broadcast(gram_counts(chosen.select("grams")).astype(np.float32))
+
+    def first(batch: pa.RecordBatch) -> dict:
+        names, found = [], []
+        for name, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+            grams = np.frombuffer(v.as_buffer(), dtype=np.uint64)
+            size = len(grams) - -(-len(grams) * percent // 100) + 1
+            found.append(grams[np.lexsort((grams, often.value[_cells(grams)]))[:size]].view(np.int64))
+            names.append(np.full(len(found[-1]), name, np.int64))
+        none = np.empty(0, np.int64)
+        return {"g": np.concatenate(found or [none]), "set": np.concatenate(names or [none])}
+
+    return in_batches(chosen, "g long, set long", first)
 
 
 def unsettled(groups: DataFrame, known: DataFrame | None) -> DataFrame:
