@@ -493,7 +493,7 @@ _NET_FEATURES = {
 }
 
 
-def _net(rows: str, final: str, steps: int = 6000) -> str:
+def _net(rows: str, final: str, steps: int = 40000) -> str:
     """Elastic nets of groups of rows: (grp, variant, alpha, fit, part, base, advanced, structures, target, weight).
 
     ``fit`` marks the rows that a group is fitted on. Clusters are the three runs of the stretched
@@ -592,14 +592,14 @@ UNION ALL SELECT grp, '(intercept)', {_round('ybar', 4)} FROM net_w"""),
     "elastic_net_metrics": _net(_net_of(*_LINEAR), f"""SELECT variant, part, CAST(SUM(weight) AS BIGINT) AS n,
   {_round(f'{_MISSES} / SUM(weight)', 4)} AS mse, {_round(_R_SQUARED, 4)} AS r2 FROM net_pred GROUP BY variant, part"""),
     "prediction_diagnostics": _net(_net_of("raw"), f"""SELECT base, advanced, structures, target, part, weight,
-  structures AS actual, {_round('predicted')} AS predicted, {_round('structures - predicted')} AS residual FROM net_pred"""),
+  structures AS actual, {_round('predicted', 3)} AS predicted, {_round('structures - predicted', 3)} AS residual FROM net_pred"""),
     "residual_histogram": _net(_net_of("raw"), f"""SELECT CAST(CASE WHEN lo = hi THEN 1
     ELSE LEAST(20, FLOOR((residual - lo) / (hi - lo) * 20) + 1) END AS INT) AS bin, CAST(SUM(weight) AS BIGINT) AS n
 FROM (SELECT residual, weight, MIN(residual) OVER () AS lo, MAX(residual) OVER () AS hi
-  FROM (SELECT weight, {_round('structures - predicted')} AS residual FROM net_pred WHERE part = 'test'))
+  FROM (SELECT weight, {_round('structures - predicted', 3)} AS residual FROM net_pred WHERE part = 'test'))
 GROUP BY 1"""),
     "batch_predict": _net(_net_of("raw"), f"""SELECT s.student_id, s.base, s.advanced, s.weight,
-  CAST(NULL AS DOUBLE) AS actual, {_round('predicted')} AS predicted
+  CAST(NULL AS DOUBLE) AS actual, {_round('predicted', 3)} AS predicted
 FROM parts s JOIN net_pred p USING (base, advanced, structures, target, part)"""),
     "cv_scores": _net_cv(_SHUFFLED),
     "cv_scores_contiguous": _net_cv(_RUNS),
