@@ -40,7 +40,9 @@ PIVOTS = 2
 FIRST_LEAF = 8
 #: Regions of so many members join in one task later on.
 LEAF = 2048
+#: Fewest slices of a sketch, and n-grams a slice at most on average in larger ones.
 SLICES = 128
+A_SLICE = 4
 #: Cells of the table of n-gram counts, and those that are added up at a time.
 CELLS = 1 << 20
 PIECE = 1 << 14
@@ -97,8 +99,10 @@ class Parts:
     Class k holds sizes from l to l / threshold; linked sets are in one class or
     in neighbouring ones, so a set has parts for its own class and for the one
     below. With ``spare`` more parts than the pigeonhole needs, ``spare`` + 1
-    parts agree at least. So the empty parts of a set need not be matched if it
-    has no more than ``spare``, which is chosen so that few sets have more.
+    parts agree at least. So the last ``spare`` parts of a set in an order common
+    to all sets need not be matched: at least one that agrees comes before them
+    in both sets. The order is by the number of n-grams in a part, so the parts left out are
+    those that are empty or hold one n-gram, which agree by chance most often.
     """
 
     def __init__(self, percent: int):
@@ -146,9 +150,9 @@ class Parts:
             sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(grams, 3)[order], dtype=np.uint64)])
             ends = np.cumsum(size)
             total = sums[ends] - sums[ends - size]
-            used = np.flatnonzero(size) if (size == 0).sum() <= spare else np.arange(parts)
-            place = used.astype(np.uint64) * _MIX[1] + np.array([k * 1_000_003 + 17], dtype=np.uint64) * _MIX[0]
-            out.append(_mixed(_mixed(total, 0)[used] ^ place, 2))
+            place = np.arange(parts, dtype=np.uint64) * _MIX[1] + np.array([k * 1_000_003 + 17], dtype=np.uint64) * _MIX[0]
+            found = _mixed(_mixed(total, 0) ^ place, 2)
+            out.append(found[np.lexsort((found, -size))[: parts - spare]])
         return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
@@ -234,10 +238,8 @@ def distinct_groups(groups: DataFrame) -> DataFrame:
 def sets_of(docs: DataFrame, listed: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """(set, grams, n, sketch) for the sets in ``members``: the n-grams are made again from one text of each.
 
-    The sketch has the number of n-grams in each of ``SLICES`` slices of the
-    hashes. The slices are pivots too: a set's differences to another one are at
-    least the sum of the differences of these numbers. Every set is one row, also
-    if the document it is made from is stored several times.
+    Every set is one row, also if the document it is made from is stored several
+    times.
     """
     stored = listed.join(members, "set", "left_semi").groupBy("set", "row").agg(F.count(F.lit(1)).alias("stored"))
     chosen = materialise(stored.groupBy("set").agg(F.min(F.struct("row", "stored")).alias("one")).select("set", "one.*"))
@@ -247,10 +249,9 @@ def sets_of(docs: DataFrame, listed: DataFrame, members: DataFrame, width: int)
 
     def grams(batch: pa.RecordBatch) -> dict:
         found = [shingle_set(t.as_py(), width) for t in batch.column(1)]
-        slices = [np.bincount((_mixed(x, 1) >> np.uint64(32)) % np.uint64(SLICES), minlength=SLICES) for x in found]
         return {
             "set": batch.column(0), "grams": [x.tobytes() for x in found], "n": [len(x) for x in found],
-            "sketch": [np.minimum(x, 255).astype(np.uint8).tobytes() for x in slices],
+            "sketch": [sketch(x) for x in found],
         }
 
     found = texts.join(rows, "row").select("set", "text")
@@ -260,6 +261,25 @@ def sets_of(docs: DataFrame, listed: DataFrame, members: DataFrame, width: int)
     return in_batches(found, "set long, grams binary, n long, sketch binary", grams)
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """Number of n-grams in each slice of the hashes, a byte each.
+
+    The slices are pivots too: a set's differences to another one are at least
+    the sum of the differences of these numbers. Their number is a power of two
+    that grows with the set, as few slices cannot tell large sets apart;
+    ``folded`` brings two sketches to the same slices.
+    """
+    slices = max(SLICES, 1 << (max(1, len(grams) // A_SLICE) - 1).bit_length())
+    spread = (_mixed(grams, 1) >> np.uint64(16)).astype(np.int64)
+    while (found := np.bincount(spread & (slices - 1), minlength=slices)).max() > 255:
+        slices *= 2
+    return found.astype(np.uint8).tobytes()
+
+
+def folded(found: np.ndarray, slices: int) -> np.ndarray:
+    return found.reshape(-1, slices).sum(axis=0, dtype=np.int64)
+
+
 def near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches and sizes leave it possible that they are linked."""
 
@@ -267,12 +287,12 @@ def near_enough(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, SLICES).astype(np.int64)
-                for i in (3, 5)
-            )
+            apart = np.zeros(batch.num_rows, dtype=np.int64)
+            for i, (v, w) in enumerate(zip(batch.column(3), batch.column(5))):
+                x, y = (np.frombuffer(q.as_buffer(), dtype=np.uint8) for q in (v, w))
+                slices = min(len(x), len(y))
+                apart[i] = np.abs(folded(x, slices) - folded(y, slices)).sum()
             both = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-            apart = np.maximum(np.abs(x - y).sum(axis=1), np.abs(batch.column(2).to_numpy() - batch.column(4).to_numpy()))
             yield batch.select(["a", "b"]).filter(pa.array(100 * (both - apart) >= percent * (both + apart)))
 
     left = sets.select(F.col("set").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("x"))
@@ -444,6 +464,36 @@ def region_links(percent: int):
     return join
 
 
+def near_members(percent: int):
+    """The members of a region of bounded size whose sketch leaves a link to one of another component possible.
+
+    Sketches are compared at the fewest slices first, then what remains at more.
+    """
+
+    def choose(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        comps, sizes = table["comp"].to_numpy(), table["n"].to_numpy()
+        sketches = [np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in table["sketch"]]
+        widths = np.array([len(x) for x in sketches])
+        near = comps[:, None] != comps[None, :]
+        slices = SLICES
+        while slices <= widths.max():
+            at = np.flatnonzero((widths >= slices) & near.any(axis=1))
+            if not len(at):
+                break
+            found = np.stack([folded(sketches[i], slices) for i in at]).astype(np.int32)
+            step = max(1, (1 << 22) // found.size)
+            for start in range(0, len(at), step):
+                own = at[start : start + step]
+                apart = np.abs(found[start : start + step, None, :] - found[None, :, :]).sum(axis=2, dtype=np.int64)
+                both = sizes[own][:, None] + sizes[at][None, :]
+                near[np.ix_(own, at)] &= 100 * (both - apart) >= percent * (both + apart)
+            slices *= 2
+        return table.select(["g", "set", "comp"]).filter(pa.array(near.any(axis=1)))
+
+    return choose
+
+
 def chunk_pairs(large: DataFrame, size: int) -> DataFrame:
     """Regions of at most ``2 * size`` members, so that every two members of a group meet in one of them."""
     chunks = F.ceil(F.col("n") / size).cast("int")
@@ -489,7 +539,9 @@ def linked_sets(
         return pivots, met, measured
 
     def joined(regions: DataFrame) -> None:
-        members = regions.select("g", "set", "comp").join(sets, "set").select("g", "set", "comp", "grams")
+        sketched = regions.select("g", "set", "comp").join(sets.drop("grams"), "set")
+        near = sketched.groupBy("g").applyInArrow(near_members(percent), "g long, set long, comp long")
+        members = materialise(near).join(sets, "set").select("g", "set", "comp", "grams")
         links.append(materialise(members.groupBy("g").applyInArrow(region_links(percent), "a long, b long")))
 
     active = unsettled(groups, None)
