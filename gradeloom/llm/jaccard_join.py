@@ -45,6 +45,8 @@ SLICES = 128
 A_SLICE = 4
 #: Cells of the table of n-gram counts, and those that are added up at a time.
 CELLS = 1 << 20
+#: Bits of the table that tells tasks which texts are wanted (8 MB, whatever the input).
+MARKS = 1 << 26
 PIECE = 1 << 14
 COLUMNS = 2048
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -235,6 +237,30 @@ def distinct_groups(groups: DataFrame) -> DataFrame:
     return groups.join(materialise(first.select("g")), "g")
 
 
+def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (row, text) whose ``row`` may be in ``wanted``, so that the other texts are not shuffled.
+
+    The table of marks has a fixed size; with more rows wanted than it can tell
+    apart, more texts pass. A join has to follow.
+    """
+    mark = F.pmod(F.xxhash64("row"), F.lit(MARKS)).alias("mark")
+    cells = wanted.select(mark).select(
+        F.shiftright("mark", 5).cast("int").alias("cell"), F.expr("shiftleft(1L, cast(mark & 31 as int))").alias("bit")
+    )
+    found = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()  # MARKS bits
+    table = np.zeros(MARKS // 32, dtype=np.uint32)
+    table[found["cell"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    marks = rows.sparkSession.sparkContext.broadcast(table)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            held = (marks.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1
+            yield batch.select(["row", "text"]).filter(pa.array(held.astype(bool)))
+
+    return rows.select("row", "text", mark).mapInArrow(choose, "row binary, text string")
+
+
 def sets_of(docs: DataFrame, listed: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """(set, grams, n, sketch) for the sets in ``members``: the n-grams are made again from one text of each.
 
@@ -245,7 +271,9 @@ def sets_of(docs: DataFrame, listed: DataFrame, members: DataFrame, width: int)
     chosen = materialise(stored.groupBy("set").agg(F.min(F.struct("row", "stored")).alias("one")).select("set", "one.*"))
     rows = chosen.where(F.col("stored") == 1).select("set", "row")
     several = chosen.where(F.col("stored") > 1).select("set", "row")
-    texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), whole_text().alias("text"))
+    texts = marked(
+        docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), whole_text().alias("text")), chosen
+    )
 
     def grams(batch: pa.RecordBatch) -> dict:
         found = [shingle_set(t.as_py(), width) for t in batch.column(1)]
@@ -314,8 +342,11 @@ def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             distance.append(1.0 - both / max(union, 1))
         return {"a": batch.column(0), "b": batch.column(1), "linked": linked, "distance": distance}
 
-    left = sets.select(F.col("set").alias("a"), F.col("grams").alias("x"))
-    right = sets.select(F.col("set").alias("b"), F.col("grams").alias("y"))
+    pairs = materialise(pairs)
+    left = sets.join(materialise(pairs.select(F.col("a").alias("set")).distinct()), "set", "left_semi")
+    right = sets.join(materialise(pairs.select(F.col("b").alias("set")).distinct()), "set", "left_semi")
+    left = left.select(F.col("set").alias("a"), F.col("grams").alias("x"))
+    right = right.select(F.col("set").alias("b"), F.col("grams").alias("y"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return in_batches(met, "a long, b long, linked boolean, distance double", measure)
 
@@ -390,7 +421,7 @@ def rare_prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     and then of the hash; sets that share no such one need not meet. Only these
     n-grams leave a task.
     """
-    chosen = materialise(sets.join(members, "set", "left_semi").select("set", "grams"))
+    chosen = materialise(sets.join(materialise(members), "set", "left_semi").select("set", "grams"))
     often = chosen.sparkSession.sparkContext.broadcast(gram_counts(chosen.select("grams")).astype(np.float32))
 
     def first(batch: pa.RecordBatch) -> dict:
