@@ -6,7 +6,9 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -391,3 +393,50 @@ def test_pipeline(spark, tmp_path, docs):
         (r["doc_id"], len(reference.encode(r["text"] or "", add_special_tokens=False).ids)) for r in rows.collect()
     )
     assert Counter((r["doc_id"], r["n_tokens"]) for r in result) == want and result
+
+
+def test_sketches_never_rule_out_links():
+    from gradeloom.llm import jaccard_join as join
+
+    rng = np.random.default_rng(3)
+    for n in (5, 400, 3_000, 20_000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for share in (0.0, 0.05, 0.11, 0.3):
+            away = int(len(x) * share)
+            y = np.unique(np.concatenate([x[away:], rng.integers(0, 1 << 63, 2 * away, dtype=np.uint64)]))
+            p, q = (np.frombuffer(join.sketch(v), np.uint8) for v in (x, y))
+            slices = min(len(p), len(q))
+            apart = np.abs(join.folded(p, slices) - join.folded(q, slices)).sum()
+            assert apart <= len(np.setxor1d(x, y))
+    few = join.sketch(np.arange(1, dtype=np.uint64))
+    assert len(few) == join.SLICES and np.frombuffer(few, np.uint8).sum() == 1
+
+
+def test_large_groups_are_thinned_without_losing_links():
+    from gradeloom.llm import jaccard_join as join
+
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 63, 4_000, dtype=np.uint64))
+    sets = [base, base[:3_700], np.unique(rng.integers(0, 1 << 63, 4_000, dtype=np.uint64)), base[:3_000], base[100:]]
+    table = pa.table({
+        "g": pa.array([1] * 5), "set": pa.array([10, 11, 12, 13, 14]), "comp": pa.array([10, 11, 12, 13, 10]),
+        "n": pa.array([len(x) for x in sets]), "sketch": pa.array([join.sketch(x) for x in sets], pa.binary()),
+    })
+    kept = join.near_members(90)(table)["set"].to_pylist()
+    assert {10, 11, 14} <= set(kept) and 12 not in kept and 13 not in kept
+
+
+def test_parts_of_linked_sets_agree():
+    from gradeloom.llm import jaccard_join as join
+
+    rng = np.random.default_rng(7)
+    for percent in (80, 90):
+        parts = join.Parts(percent)
+        for n in [*range(1, 60), 200, 999, 5_000]:
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            for away in {0, n * (100 - percent) // (100 + percent), n * (100 - percent) // 100}:
+                for fresh in {0, away}:
+                    y = np.unique(np.concatenate([x[away:], rng.integers(0, 1 << 63, fresh, dtype=np.uint64)]))
+                    both, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+                    if both < union and 100 * both >= percent * union:
+                        assert len(np.intersect1d(parts.signatures(x), parts.signatures(y))), (percent, n, away, fresh)
