@@ -100,6 +100,13 @@ def violin_exam_only(spark, sf):
     return distribution.violin_rows(src.enrollment(spark, sf), exam_course="1", nature="1")
 
 
+@_query
+def violin_filtered(spark, sf):
+    """Every filter has a text; students without a major do not match any."""
+    filters = {"cohort": "A", "course": "M", "major": "I", "semester": "1", "academic_year": "199"}
+    return distribution.violin_rows(src.irregular_enrollment(spark, sf), **filters)
+
+
 @_query
 def grade_distribution(spark, sf):
     rows = distribution.violin_rows(src.enrollment(spark, sf))
@@ -130,6 +137,20 @@ def home_pooled(spark, sf):
     return _rounded(benchmarks.home_line(home), 6, *_MEANS)
 
 
+@_query
+def irregular_home_line(spark, sf):
+    """Long course names, students without class or major, and means of zero, which read as missing."""
+    home = benchmarks.home_scores(src.irregular_enrollment(spark, sf))
+    return _rounded(benchmarks.home_line(home), 6, *_MEANS)
+
+
+@_query
+def irregular_home_radar(spark, sf):
+    """As ``irregular_home_line``; means of zero stay."""
+    home = benchmarks.home_scores(src.irregular_enrollment(spark, sf))
+    return _rounded(benchmarks.home_radar(home), 6, "score")
+
+
 @_query
 def weak_subjects(spark, sf):
     home = benchmarks.home_scores(src.enrollment(spark, sf))
@@ -408,9 +429,9 @@ def stage_list(spark, sf):
     return knowledge.stage_list(src.knowledge_point(spark, sf), _stages(spark, sf))
 
 
-def _mastery(spark, sf, up_to=None):
+def _mastery(spark, sf, up_to=None, scores=src.student_knowledge):
     return knowledge.mastery(
-        src.student(spark, sf), src.student_knowledge(spark, sf), src.knowledge_point(spark, sf),
+        src.student(spark, sf), scores(spark, sf), src.knowledge_point(spark, sf),
         _stages(spark, sf), up_to,
     )
 
@@ -442,6 +463,14 @@ def mastery_bands(spark, sf):
     return knowledge.mastery_display(src.knowledge_point(spark, sf), _mastery(spark, sf))
 
 
+@_query
+def lowered_mastery_bands(spark, sf):
+    """Scores of 0 read as not examined and are coloured as red ones."""
+    return knowledge.mastery_display(
+        src.knowledge_point(spark, sf), _mastery(spark, sf, scores=src.lowered_knowledge)
+    )
+
+
 def _bubbles(spark, sf, by=()):
     return knowledge.bubble_counts(
         src.knowledge_point(spark, sf), src.student_knowledge(spark, sf), src.student(spark, sf), by=by

@@ -173,6 +173,26 @@ FROM scored e JOIN k USING (course_name, class_id) JOIN m USING (course_name, ma
 SELECT student_id, course_name, grade_text, MIN(score) AS personal,
   SUM(ks) / SUM(kc) AS class_mean, SUM(ms) / SUM(mc) AS major_mean
 FROM matched GROUP BY student_id, course_name, grade_text""",
+    "irregular": """
+SELECT * REPLACE (
+  CASE WHEN l_linenumber % 2 = 1 THEN course_name || ' ' || course_code ELSE course_name END AS course_name,
+  CASE WHEN CAST(student_id AS BIGINT) % 13 <> 0 THEN class_id END AS class_id,
+  CASE WHEN CAST(student_id AS BIGINT) % 11 <> 0 THEN major END AS major,
+  CASE WHEN course_name = 'PROMO' AND class_id LIKE '%1' OR course_name = 'SMALL' AND major = 'BUILDING'
+    THEN '0' ELSE grade_text END AS grade_text)
+FROM enrollment""",
+    "irregular_scored": f"SELECT *, {_a()} AS score FROM irregular",
+    # A student without class (or major) has no partner in the left join: one row without a score.
+    "irregular_home": """
+SELECT e.student_id, e.course_name, e.grade_text, MIN(e.score) AS personal,
+  SUM(k.s * COALESCE(m.n, 1)) / NULLIF(SUM(k.c * COALESCE(m.n, 1)), 0) AS class_mean,
+  SUM(m.s * COALESCE(k.n, 1)) / NULLIF(SUM(m.c * COALESCE(k.n, 1)), 0) AS major_mean
+FROM irregular_scored e
+LEFT JOIN (SELECT course_name, class_id, SUM(score) AS s, COUNT(score) AS c, COUNT(*) AS n
+  FROM irregular_scored GROUP BY ALL) k ON k.course_name = e.course_name AND k.class_id = e.class_id
+LEFT JOIN (SELECT course_name, major, SUM(score) AS s, COUNT(score) AS c, COUNT(*) AS n
+  FROM irregular_scored GROUP BY ALL) m ON m.course_name = e.course_name AND m.major = e.major
+GROUP BY ALL""",
     "subjects": """
 SELECT student_id, course_name, MAX_BY(personal, grade_text) AS personal, MAX_BY(class_mean, grade_text) AS class_mean
 FROM home GROUP BY student_id, course_name""",
@@ -220,6 +240,8 @@ FROM student s JOIN sk ON s.student_id = sk.student_id JOIN points p ON p.kp_id
     "shown": """
 SELECT id, student_id, score FROM mastery WHERE stage IS NOT NULL
 QUALIFY ROW_NUMBER() OVER (PARTITION BY id, student_id ORDER BY stage DESC, year DESC, score DESC) = 1""",
+    "lowered_shown": """
+SELECT id, student_id, CASE WHEN score >= 0 THEN score - 2 ELSE score END AS score FROM shown""",
     "bubbles": """
 SELECT s.class_id, p.course, p.chapter, p.kp_name, x.score, COUNT(x.student_id) AS n_students
 FROM points p JOIN sk x ON x.kp_id = p.kp_id JOIN student s ON s.student_id = x.student_id
@@ -254,8 +276,8 @@ def _scale_sql(score: str) -> str:
     return f"SELECT grade_text, {score} AS score, COUNT(*) AS n FROM enrollment GROUP BY ALL"
 
 
-def _violin(score: str, where: str) -> str:
-    return f"""SELECT * FROM (SELECT course_name AS courseName, class_id AS x, {score} AS y FROM enrollment
+def _violin(score: str, where: str, source: str = "enrollment") -> str:
+    return f"""SELECT * FROM (SELECT course_name AS courseName, class_id AS x, {score} AS y FROM {source}
 WHERE cohort IS NOT NULL AND course_name IS NOT NULL AND major IS NOT NULL AND {where}) WHERE y IS NOT NULL"""
 
 
@@ -265,6 +287,13 @@ def _home_line(source: str, keys: str) -> str:
 FROM {source} WHERE personal IS NOT NULL"""
 
 
+def _home_radar(source: str) -> str:
+    return f"""SELECT student_id, course_name, grade_text, {_short('course_name', '..', 2)} AS subject,
+  '个人' AS type, {_round('personal')} AS score FROM {source} WHERE personal IS NOT NULL
+UNION ALL SELECT student_id, course_name, grade_text, {_short('course_name', '..', 2)}, '班级平均',
+  {_round('class_mean')} FROM {source} WHERE class_mean IS NOT NULL"""
+
+
 def _slope(key: str, select: str) -> str:
     return f"""SELECT {select} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY {ORDER}) - 1 AS i
 FROM scored WHERE score IS NOT NULL) GROUP BY {key} HAVING COUNT(*) > 1"""
@@ -323,10 +352,15 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY major, student_id ORDER BY {ORDER}, clas
   QUANTILE_CONT(y, 0.25) AS q25, QUANTILE_CONT(y, 0.5) AS q50, QUANTILE_CONT(y, 0.75) AS q75, MAX(y) AS max
 FROM ({_violin(_b(), "exam_nature LIKE '%'")}) GROUP BY x, courseName""",
     "student_home_line": _home_line("home", "student_id, "),
-    "student_home_radar": f"""SELECT student_id, course_name, grade_text, {_short('course_name', '..', 2)} AS subject,
-  '个人' AS type, {_round('personal')} AS score FROM home WHERE personal IS NOT NULL
-UNION ALL SELECT student_id, course_name, grade_text, {_short('course_name', '..', 2)}, '班级平均',
-  {_round('class_mean')} FROM home WHERE class_mean IS NOT NULL""",
+    "student_home_radar": _home_radar("home"),
+    "irregular_home_line": _home_line("irregular_home", "student_id, "),
+    "irregular_home_radar": _home_radar("irregular_home"),
+    "violin_filtered": _violin(
+        _b(),
+        "cohort LIKE '%A%' AND course_name LIKE '%M%' AND major LIKE '%I%' AND semester LIKE '%1%' "
+        "AND academic_year LIKE '%199%' AND exam_nature LIKE '%'",
+        "irregular",
+    ),
     "home_pooled": _home_line(
         """(SELECT course_name, grade_text, MIN(score) AS personal, SUM(ks) / SUM(kc) AS class_mean,
   SUM(ms) / SUM(mc) AS major_mean FROM matched WHERE semester LIKE '%1%' GROUP BY course_name, grade_text)""",
@@ -609,6 +643,7 @@ FROM parts s JOIN net_pred p USING (base, advanced, structures, target, part)"""
 FROM net_rows JOIN middles USING (grp) GROUP BY 1"""),
 }
 
+_SQL["lowered_mastery_bands"] = _SQL["mastery_bands"].replace("FROM shown", "FROM lowered_shown")
 _SQL["stage_table_upsert"] = _SQL["stage_upsert"]
 _SQL["scoring_table_update"] = _SQL["scoring_update"]
 _SQL["graph_table_replace"] = """SELECT course,

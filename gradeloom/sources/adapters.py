@@ -132,6 +132,28 @@ def knowledge_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("source", "target").distinct()
 
 
+def irregular_enrollment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enrolments with long course names, students without class or major, and groups in which every grade is 0."""
+    student = F.col("student_id").cast("long")
+    none = (F.col("course_name") == "PROMO") & F.col("class_id").endswith("1")
+    none |= (F.col("course_name") == "SMALL") & (F.col("major") == "BUILDING")
+    long_name = F.concat("course_name", F.lit(" "), "course_code")
+    return enrollment(spark, sf_dir).withColumns(
+        {
+            "course_name": F.when(F.col("l_linenumber") % 2 == 1, long_name).otherwise(F.col("course_name")),
+            "class_id": F.when(student % 13 != 0, F.col("class_id")),
+            "major": F.when(student % 11 != 0, F.col("major")),
+            "grade_text": F.when(none, "0").otherwise(F.col("grade_text")),
+        }
+    )
+
+
+def lowered_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of points, two less each, so that the lowest one is 0; what was not assessed stays so."""
+    lower = F.when(F.col("score") >= 0, F.col("score") - 2).otherwise(F.col("score"))
+    return student_knowledge(spark, sf_dir).withColumn("score", lower)
+
+
 def student_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.when(F.col("l_returnflag") == "N", -1.0).otherwise(F.col("l_quantity") * 2)
     return _lines_with(spark, sf_dir, table(spark, sf_dir, "orders")).select(
