@@ -8,10 +8,24 @@ from __future__ import annotations
 
 import re
 
-from ..functions.grades import BIN_EDGES, BIN_LABELS, LABELS_A, LABELS_B, LABELS_C, NUMBER, STAGES
-from ..operators.audit import FULL_POINTS
-from ..operators.value_added import LEARNING_RATE, ROUNDS
-from ..sources.adapters import SCORING_ITEMS, SHEET_POINTS
+# Fixed values, stated here a second time: a wrong one in the engine must not reach the statements.
+LABELS_A = {"优秀": 95, "良好": 85, "中等": 75, "及格": 60, "通过": 100, "不及格": 0}
+LABELS_B = {"优": 95, "良": 85, "中": 75, "及格": 65, "不及格": 0, "缓考": 0}
+LABELS_C = {"优秀": 95, "良好": 85, "中等": 75, "及格": 65}
+NUMBER = "([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?)"
+BIN_EDGES = [0, 60, 75, 90, 100]
+BIN_LABELS = ["差", "中", "良", "优"]
+STAGES = {
+    "阶段1线性": ["作业1线性", "实验1", "实验2"],
+    "阶段2树图": ["作业2树图", "实验3", "实验4"],
+    "阶段3查找排序": ["阶段考试", "作业3查找排序"],
+    "阶段4期末": ["期末考试"],
+}
+SCORING_ITEMS = ["作业1线性", "实验1", "实验2", "作业2树图", "实验3", "实验4", "阶段考试", "期末考试"]
+SHEET_POINTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+FULL_POINTS = 18
+LEARNING_RATE = 0.1
+ROUNDS = 100
 
 ORDER = "academic_year, semester, l_orderkey, l_linenumber, l_partkey, l_suppkey, grade_text"
 
