@@ -119,33 +119,17 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def repeated_anchors(found: DataFrame) -> DataFrame:
-    """The regions whose hash stands at two places or more. They are sorted by hash and read as a stream."""
+    """The regions whose hash stands at two places or more; places in equal texts are one place.
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        before = False
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            if held.num_rows < 2:
-                continue
-            hashes, first = held["hash"].to_numpy(), held["first"].to_numpy()
-            keys = np.array(held["text_key"].to_pylist(), dtype="S16")
-            again = (hashes[1:] == hashes[:-1]) & (first[1:] == first[:-1]) & (keys[1:] == keys[:-1])
-            if again.any():
-                held = held.filter(pa.array(np.concatenate([[True], ~again])))
-                hashes = held["hash"].to_numpy()
-            same = hashes[1:] == hashes[:-1]
-            keep = np.concatenate([[before], same]) | np.concatenate([same, [False]])
-            before = bool(keep[-1]) if held.num_rows > 1 else before
-            keep[-1] = False
-            yield from held.filter(pa.array(keep)).combine_chunks().to_batches()
-            held = held.slice(held.num_rows - 1).combine_chunks()
-        if held is not None and held.num_rows and before:
-            yield from held.to_batches()
-
-    dealt = found.repartition("hash").sortWithinPartitions("hash", "text_key", "first")
-    return dealt.mapInArrow(shared, found.schema)
+    Of every hash only the least and the largest place (hashed to 64 bits) are
+    kept, which combine before the shuffle. So a passage in very many documents
+    goes through no single task: the join back is broadcast or its skewed side split.
+    """
+    found = materialise(found)
+    place = F.xxhash64("text_key", "first")
+    ends = found.groupBy("hash").agg(F.min(place).alias("least"), F.max(place).alias("most"))
+    several = materialise(ends.where(F.col("least") != F.col("most")).select("hash"))
+    return found.join(several, "hash", "left_semi")
 
 
 def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
@@ -339,7 +323,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     )
     texts = materialise(texts)
     found = repeated_anchors(anchors(docs, length, gram))
-    by_text = found.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("first", "last", "hash"))).alias("regions"))
+    by_text = found.groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct("first", "last", "hash"))).alias("regions"))
     chosen = materialise(by_text.join(texts, "text_key").select("row_key", "text_key", "copies", "regions"))
     raw = docs.select(
         row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.encode(whole_text(), "utf-8").alias("raw")
