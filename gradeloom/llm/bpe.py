@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import in_batches
+from .common import in_batches, kept_in_worker
 
 LONG_WORD = 200
 CACHE_WORDS = 250_000
@@ -170,6 +170,9 @@ def _loaded(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+kept_in_worker(_loaded.cache_clear)
+
+
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with an array column ``ids`` (replaced if there). A null text has no ids."""
     return _added(docs, path, text, ids, "array<int>", lambda bpe, t: bpe.encode(t or ""))

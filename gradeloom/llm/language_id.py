@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..session import materialise
-from .common import remainder
+from .common import empty_worker, remainder, slices
 
 #: An n-gram belongs to a language if it is at least this share of its n-grams: 100,000 per language at most.
 MIN_SHARE = 1e-5
@@ -29,7 +29,9 @@ MIN_SHARE = 1e-5
 MIN_OF_LARGEST = 0.1
 SLOT_BITS = 21
 HASHES = 3
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
+#: Rows that are Python objects at once.
+SLICE = 1_024
 UNDETERMINED = "und"
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -80,8 +82,9 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
         return grams, np.bincount(place, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty_worker()
         found: dict[str, list] = {}
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in set(langs):
                 own = [t for t, name in zip(texts, langs) if name == lang and t]
@@ -183,7 +186,8 @@ def identify(docs: DataFrame, model: LanguageFilter, language: str = "lang_pred"
     )
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        empty_worker()
+        for batch in slices(batches, SLICE):
             names, scores = shared.value.decide([t or "" for t in batch.column(at).to_pylist()])
             columns = [batch.column(i) for i in places]
             yield pa.RecordBatch.from_arrays(
@@ -204,7 +208,8 @@ def keep_identified(docs: DataFrame, model: LanguageFilter, least: float) -> Dat
     at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        empty_worker()
+        for batch in slices(batches, SLICE):
             names, scores = shared.value.decide([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores)], pa.bool_()))
 

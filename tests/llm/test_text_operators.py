@@ -10,13 +10,14 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gradeloom.llm import (
     bpe, context_mixing, exact_dedup, html_text, jaccard_join, language_id, line_dedup, mixing, suffix_dedup, topk_search,
 )
-from gradeloom.llm.common import ship
+from gradeloom.llm.common import empty_worker, ship, slices
 from gradeloom.session import materialise
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, row string, `_doc` string"
@@ -245,6 +246,17 @@ def test_mixed_probabilities_add_up():
     assert math.isclose(total, 1.0, rel_tol=1e-6)
 
 
+def test_a_worker_gives_back_the_tokenizer_before_it_identifies():
+    bpe._loaded.cache_clear()
+    bpe._loaded(TOKENIZER)
+    assert bpe._loaded.cache_info().currsize == 1
+    empty_worker()
+    assert bpe._loaded.cache_info().currsize == 0
+    batches = [pa.RecordBatch.from_pydict({"n": list(range(n))}) for n in (0, 5, 2)]
+    pieces = list(slices(iter(batches), 2))
+    assert [p.column(0).to_pylist() for p in pieces] == [[0, 1], [2, 3], [4], [0, 1]]
+
+
 def test_suffix_dedup(docs, plain):
     for length, gram in ((60, 16), (400, 64)):
         seen = Counter()
