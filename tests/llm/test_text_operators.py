@@ -246,6 +246,25 @@ def test_mixed_probabilities_add_up():
     assert math.isclose(total, 1.0, rel_tol=1e-6)
 
 
+def test_weights_are_learned_from_every_training_text(spark):
+    """The sums hold each decision of each of 2,500 texts, more than any sample that was taken, however they are dealt."""
+    texts = spark.range(2_500).select(F.concat(F.lit("a b "), (F.col("id") % 7).cast("string"), F.lit(" c")).alias("text"))
+    counts = Counter(w for i in range(2_500) for w in [b"", b"a", b"b", str(i % 7).encode(), b"c"])
+    own = context_mixing.Words(list(counts), list(counts.values()), sum(counts.values()), len(counts))
+    vocabulary = spark.sparkContext.broadcast(own)
+    tables = spark.sparkContext.broadcast(context_mixing.bit_counts(texts, vocabulary))
+    mixer = context_mixing.Mixer(tables.value)
+    mixer.leave_out()
+    for _, run in context_mixing.chunks([f"a b {i % 7} c" for i in range(2_500)]):
+        ids, first, _ = context_mixing.flat(own, run)
+        mixer.add_up(own.decisions(ids, first))
+    assert mixer.observed.sum() == sum(c * own.size[i] for i, c in enumerate(counts.values()))
+    mixer.learn(mixer.sums())
+    for dealt in (texts.coalesce(1), texts.repartition(5)):
+        weights, cells = context_mixing.fit_weights(dealt, vocabulary, tables)
+        assert np.allclose(weights, mixer.weights, atol=1e-4) and np.allclose(cells, mixer.map, atol=1e-9)
+
+
 def test_a_worker_gives_back_the_tokenizer_before_it_identifies():
     bpe._loaded.cache_clear()
     bpe._loaded(TOKENIZER)
