@@ -24,6 +24,9 @@ from .training import FEATURES, GRADES, WEIGHT, fold, grade_tuples, scaling, spl
 CLUSTERS = 3
 #: Rows that a grade tuple is split into at most where rows are sampled.
 SHARES = 256
+#: Rows that all tuples are split into at most, if there are fewer tuples than that, and rows of a boosting task.
+SHARED_ROWS = 500_000
+TASK_ROWS = 50_000
 
 # From the train part to pipeline steps, feature names and label.
 Steps = Callable[[DataFrame], tuple[list, list[str], str]]
@@ -148,6 +151,30 @@ def row_shares(rows: DataFrame, most: int = SHARES) -> DataFrame:
     return shares.withColumn(WEIGHT, size).drop("_share")
 
 
+def boosting_rows(rows: DataFrame, names: Sequence[str], label: str, most: int = SHARED_ROWS, task: int = TASK_ROWS) -> DataFrame:
+    """Shares of the tuples to boost on, the whole weight of every tuple, dealt over tasks by their number.
+
+    What one task can take stays as it is. Beyond it a tuple has fewer shares,
+    so that there are ``most`` of them in all; with more tuples than that, those
+    of equal features are one with their mean label first, as squared error
+    gives the same trees for it.
+    """
+    fewest = F.least(F.col(WEIGHT), F.lit(SHARES))
+    tuples, shares = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(fewest), F.lit(0))).first()
+    if shares <= task:
+        return row_shares(rows)
+    if tuples > most:
+        w = F.col(WEIGHT)
+        mean = (F.sum(w * F.col(label)) / F.sum(w)).alias(label)
+        rows = materialise(rows.groupBy(*names).agg(mean, F.sum(w).alias(WEIGHT)))
+        tuples, shares = rows.agg(F.count(F.lit(1)), F.sum(fewest)).first()
+    each = SHARES if shares <= most else max(1, most // tuples)
+    keys = [*names, label]
+    # Sorted, as the rows that a round samples depend on their order.
+    parts = -(-min(shares, max(tuples, most)) // task)
+    return row_shares(rows, each).repartition(parts, *keys).sortWithinPartitions(*keys, WEIGHT)
+
+
 def boosted_trees(label: str, rounds: int = 200, depth: int = 5, seed: int = 42) -> GBTRegressor:
     """Gradient boosting with row and column sampling of 0.8; rows are sampled anew in each round."""
     return GBTRegressor(
@@ -167,7 +194,7 @@ def fit(train: DataFrame, steps: Steps, learner: str, **options) -> PipelineMode
     else:
         shared_folder(train.sparkSession)  # the rounds are checkpointed there
         regressor = boosted_trees(label, **options)
-        engineered = row_shares(engineered)
+        engineered = boosting_rows(engineered, names, label)
     rows = _through(engineered, scale).select("features", label, F.col(WEIGHT).cast("double").alias(WEIGHT))
     return PipelineModel(stages=[*engineer, *scale, regressor.fit(rows)])
 

@@ -35,6 +35,32 @@ def test_each_round_samples_four_fifths_of_a_tuples_rows(spark):
     assert all(abs(n - 5600) < 5 * 56 for n in taken) and abs(sum(taken) / len(taken) - 5600) < 80
 
 
+def _graded(spark, n, weight):
+    grades = [(float(50 + i % 5), float(40 + i % 7), float(i % 11), weight) for i in range(n)]
+    return spark.createDataFrame(grades, "x double, z double, y double, weight long").coalesce(1)
+
+
+def test_many_shares_are_boosted_by_many_tasks(spark):
+    frame = _graded(spark, 40, 100)
+    few = models.boosting_rows(frame, ["x", "z"], "y")
+    assert few.rdd.getNumPartitions() == 1 and few.count() == 4000  # what one task can take stays as it was
+    many = models.boosting_rows(frame, ["x", "z"], "y", most=10_000, task=500)
+    assert many.rdd.getNumPartitions() == 8 and many.count() == 4000
+    fewer = models.boosting_rows(frame, ["x", "z"], "y", most=400, task=50)
+    assert fewer.rdd.getNumPartitions() == 8 and fewer.count() == 400
+    for got in (few, many, fewer):
+        kept = got.groupBy("x", "z", "y").agg(F.sum("weight").alias("weight"))
+        want = frame.groupBy("x", "z", "y").agg(F.sum("weight").alias("weight"))
+        assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_tuples_of_equal_features_give_the_same_trees_as_one(spark):
+    frame = _graded(spark, 385, 3)
+    merged = models.boosting_rows(frame, ["x", "z"], "y", most=100, task=50)
+    assert merged.agg(F.sum("weight"), F.count("*")).first() == (385 * 3, 70)
+    assert [r.y for r in merged.collect()] == pytest.approx([5.0] * 70)
+
+
 def test_fit_on_all_rows(rows):
     part, whole = (models.train(rows, "raw", on) for on in ("train", "all"))
     mean = lambda r: r.agg(F.sum(F.col("structures") * F.col("weight")) / F.sum("weight")).first()[0]
