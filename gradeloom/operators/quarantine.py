@@ -42,7 +42,7 @@ def judged(rows: DataFrame, scale: str, column: str = "grade_text") -> DataFrame
 def set_apart(rows: DataFrame, path: str, table: str) -> dict[str, int]:
     """Write ``judged`` rows into a committed table, good and bad ones as partitions of one write.
 
-    The rows are read once: the counts by reason come out of the same pass.
+    The rows are read once and not shuffled: the counts by reason come out of the same pass.
     ``status`` is ``good`` or ``bad``.
     """
     seen = Observation(f"reasons of {table}")
@@ -50,5 +50,5 @@ def set_apart(rows: DataFrame, path: str, table: str) -> dict[str, int]:
     counts = [F.count_if(test).alias(name) for name, test in kinds.items()]
     status = F.when(F.col("reason").isNull(), "good").otherwise("bad")
     observed = rows.withColumn("status", status).observe(seen, *counts)
-    commit(rows.sparkSession, path, {table: Change(observed, "status")})
+    commit(rows.sparkSession, path, {table: Change(observed, "status", few=True)})
     return seen.get

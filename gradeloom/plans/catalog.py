@@ -11,7 +11,7 @@ from ..functions.grades import BIN_LABELS, scale_a, scale_b, scale_c, score_bin,
 from ..functions.text import short_node
 from ..ml import models, store, training
 from ..operators import audit, benchmarks, cohort, distribution, graph, knowledge, quarantine, reshape, value_added
-from ..session import materialise, new_folder
+from ..session import materialise, new_folder, steps
 from ..sources import adapters as src, committed, sinks
 from ..sources.tables import query
 from . import ingest
@@ -352,10 +352,12 @@ def ingest_graph(spark, sf):
 @_query
 def grade_quarantine(spark, sf):
     """Enrolments by scale and reason, read from where good and bad ones were written."""
-    store, rows = new_folder(spark), src.enrollment(spark, sf).select("student_id", "course_name", "grade_text")
-    counts = []
+    store, counts = new_folder(spark), []
+    with steps(spark):  # the enrolments are joined once for all scales
+        rows = materialise(src.enrollment(spark, sf).select("student_id", "course_name", "grade_text"))
+        for scale in quarantine.SCALES:
+            quarantine.set_apart(quarantine.judged(rows, scale), store, f"scale_{scale}")
     for scale in quarantine.SCALES:
-        quarantine.set_apart(quarantine.judged(rows, scale), store, f"scale_{scale}")
         written = committed.read_committed(spark, store, f"scale_{scale}")
         counts.append(written.groupBy(F.lit(scale).alias("scale"), "status", "reason").agg(F.count(F.lit(1)).alias("n")))
     return counts[0].unionByName(counts[1]).unionByName(counts[2])

@@ -37,12 +37,15 @@ class Change(NamedTuple):
     """Rows that replace the partitions they fall into, or with ``append`` are added to them.
 
     The partitions ``emptied`` lose their rows unless ``rows`` has some of them.
+    With ``few`` partitions every task writes the rows that it reads, a file for
+    each partition, and nothing is shuffled.
     """
 
     rows: DataFrame
     column: str
     emptied: Sequence = ()
     append: bool = False
+    few: bool = False
 
 
 def _path(spark: SparkSession, *parts: str):
@@ -137,7 +140,9 @@ def _stage(spark: SparkSession, path: str, folder: str, change: Change, entry: d
         if entry["column"] != change.column:
             raise ValueError(f"the table is partitioned by {entry['column']}")
         rows = rows.select(*known.names)
-    placed = rows.withColumn(PART, F.col(change.column).cast("string")).hint("rebalance", F.col(PART))
+    placed = rows.withColumn(PART, F.col(change.column).cast("string"))
+    if not change.few:
+        placed = placed.hint("rebalance", F.col(PART))
     placed.write.partitionBy(PART).parquet(f"{path.rstrip('/')}/{folder}")
     written = [n for n in _names(spark, _path(spark, path, folder)) if n.startswith(f"{PART}=")]
     emptied = {_folder_name(spark, v) for v in change.emptied}

@@ -107,6 +107,29 @@ def test_quarantine(spark, tmp_path, scale, reasons):
     assert counts == {"good": reasons.count(None)} | {r: reasons.count(r) for r in quarantine.REASONS}
 
 
+def test_quarantine_does_not_shuffle_the_rows(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 3).select("id", F.when(F.col("id") % 3 != 0, "60").otherwise("x").alias("grade_text"))
+    counts = quarantine.set_apart(quarantine.judged(rows, "b"), str(tmp_path / "store"), "grades")
+    assert counts["good"] == 666 and counts["no number"] == 334
+    files = read_committed(spark, str(tmp_path / "store"), "grades", ["bad"]).inputFiles()
+    assert len(files) == 3  # one of every task; a shuffle made one of them all
+
+
+def test_quarantine_joins_the_enrolments_once(spark, monkeypatch):
+    from gradeloom.plans import catalog
+
+    read, table = [], catalog.src.table
+    monkeypatch.setattr(catalog.src, "table", lambda *a: read.append(a[-1]) or table(*a))
+    written = []
+    monkeypatch.setattr(catalog.quarantine, "set_apart", lambda rows, path, name: written.append(rows.inputFiles()) or commit_none(rows, path, name))
+
+    def commit_none(rows, path, name):
+        catalog.committed.commit(spark, path, {name: catalog.committed.Change(rows.withColumn("status", F.lit("good")), "status")})
+
+    catalog.grade_quarantine(spark, "/root/testdata/sf0.001").collect()
+    assert len(written) == 3 and all("lineitem" not in f for files in written for f in files)
+
+
 def test_moments_far_from_zero(spark):
     values = [(1e8 + d, 5.0, 3 * d + e, n) for d, e, n in ((-0.01, 0.0, 3), (0.01, 0.002, 2), (0.0, -0.001, 1))]
     frame = spark.createDataFrame([(*v, 0.1 + 0.2) for v in values], "x double, k double, y double, weight long, c double")
