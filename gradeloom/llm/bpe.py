@@ -170,7 +170,13 @@ def _loaded(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-kept_in_worker(_loaded.cache_clear)
+def _forget() -> bool:
+    held = _loaded.cache_info().currsize > 0
+    _loaded.cache_clear()
+    return held
+
+
+kept_in_worker(_forget)
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -265,7 +265,9 @@ def sets_of(docs: DataFrame, listed: DataFrame, members: DataFrame, width: int)
     """(set, grams, n, sketch) for the sets in ``members``: the n-grams are made again from one text of each.
 
     Every set is one row, also if the document it is made from is stored several
-    times.
+    times. Texts are chosen in one stage and cut in another, also if the chosen
+    rows are few: a task that did both would hold two Python workers, and an
+    executor keeps those it has started.
     """
     stored = listed.join(members, "set", "left_semi").groupBy("set", "row").agg(F.count(F.lit(1)).alias("stored"))
     chosen = materialise(stored.groupBy("set").agg(F.min(F.struct("row", "stored")).alias("one")).select("set", "one.*"))
@@ -282,9 +284,9 @@ def sets_of(docs: DataFrame, listed: DataFrame, members: DataFrame, width: int)
             "sketch": [sketch(x) for x in found],
         }
 
-    found = texts.join(rows, "row").select("set", "text")
+    found = texts.join(rows.hint("merge"), "row").select("set", "text")
     if not several.isEmpty():
-        repeated = texts.join(several, "row").groupBy("set").agg(F.first("text").alias("text"))
+        repeated = texts.join(several.hint("merge"), "row").groupBy("set").agg(F.first("text").alias("text"))
         found = found.unionByName(repeated)
     return in_batches(found, "set long, grams binary, n long, sketch binary", grams)
 

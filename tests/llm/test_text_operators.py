@@ -195,6 +195,17 @@ def test_jaccard_with_repeated_rows(spark):
     assert len(found) == len(rows) and {r["component_id"] for r in found} == {0}
 
 
+def test_texts_are_chosen_and_cut_in_two_stages(spark):
+    """However few rows are chosen, no task holds a Python worker for each of the two."""
+    ship(spark)
+    few = spark.createDataFrame([(i, f"a b c d {i % 3} {i}") for i in range(9)], "doc_id long, text string")
+    listed = materialise(jaccard_join.listed_sets(few, 3, 90, with_parts=False).drop("sigs"))
+    sets = jaccard_join.sets_of(few, listed, listed.select("set").distinct(), 3)
+    _, *nodes = sets._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
+    assert len(nodes) == 2 and "Exchange hashpartitioning" in nodes[0]
+    assert sets.count() == 9
+
+
 def test_keep_one(docs, plain):
     kept = jaccard_join.keep_one(docs).collect()
     groups = {r["component_id"] for r in jaccard_join.linked_documents(docs, 5, 80).where("n_shingles > 0").collect()}
