@@ -276,6 +276,39 @@ def test_weights_are_learned_from_every_training_text(spark):
         assert np.allclose(weights, mixer.weights, atol=1e-4) and np.allclose(cells, mixer.map, atol=1e-9)
 
 
+def test_words_are_looked_up_once(spark):
+    """Counts, weights and map come from the numbers of the words, without the texts, and are the same."""
+    found = ["a b zz c", None, "", "c c A\tb rare rare", "b " * 300]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(found)], "doc_id long, text string")
+    texts = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = context_mixing.Words([b"b", b"", b"c", b"a"], [301, 5, 3, 2], 314, 6)
+    vocabulary = spark.sparkContext.broadcast(own)
+    ids = materialise(context_mixing.numbered(texts, vocabulary))
+    rows = {r["doc_id"]: r for r in ids.collect()}
+    for i, t in enumerate(found):
+        tokens = context_mixing.words(t or "")
+        assert np.frombuffer(rows[i]["ids"], np.int32).tolist() == own.look_up(tokens).tolist()
+        assert [bytes(w) for w in rows[i]["unlisted"]] == [w for w in tokens if w not in own.ids]
+    ids = ids.select("ids")
+    plain, numbers = (context_mixing.bit_counts(d, vocabulary) for d in (texts, ids))
+    assert all((a == b).all() for a, b in zip(plain, numbers))
+    tables = spark.sparkContext.broadcast(plain)
+    for a, b in zip(context_mixing.fit_weights(texts, vocabulary, tables), context_mixing.fit_weights(ids, vocabulary, tables)):
+        assert np.allclose(a, b, atol=1e-9)
+
+
+def test_numbers_come_in_the_runs_of_their_texts(monkeypatch):
+    monkeypatch.setattr(context_mixing, "CHUNK_TOKENS", 4)
+    own = context_mixing.Words([b"", b"a", b"b"], [3, 2, 1], 6, 3)
+    found = ["a", "b b", "a b a b a b", "", "a a", ""]
+    ids = pa.array([own.look_up(context_mixing.words(t)).astype(np.int32).tobytes() for t in found], pa.binary())
+    want = [context_mixing.flat(own, run) for _, run in context_mixing.chunks(found)]
+    got = list(context_mixing.runs(ids))
+    whole = lambda parts: [np.concatenate(x).tolist() for x in zip(*[p[:2] for p in parts])]
+    assert whole(got) == whole(want) and sum(len(set(p[2])) for p in got) == len(found)
+    assert list(context_mixing.runs(ids[:0])) == []
+
+
 def test_a_worker_gives_back_the_tokenizer_before_it_identifies():
     bpe._loaded.cache_clear()
     bpe._loaded(TOKENIZER)
