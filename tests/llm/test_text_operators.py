@@ -393,6 +393,26 @@ def test_bpe(docs, plain):
     assert all(r["decoded"] == (r["text"] or "") and r["row"] == "clash" for r in back)
 
 
+def test_bpe_merges_words_of_about_one_length_together(monkeypatch):
+    own, reference, rng = bpe.ByteBpe(TOKENIZER), Tokenizer.from_file(TOKENIZER), random.Random(6)
+    letters = ["the and ingtion ", "aeéß漢", "ab1.,'s\n"]
+    words = ["".join(rng.choice(letters[k % 3]) for _ in range(k % 130)) for k in range(6000)]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, len(words), 40)] + ["", None, " a", "<|endoftext|>b  c", "x" * 900]
+    singly = []
+    for name in ("merge_short", "merge_long"):
+        monkeypatch.setattr(own, name, lambda w, merge=getattr(own, name): singly.append(w) or merge(w))
+    for size in (1, 3_000, bpe.SLICE_BYTES):
+        monkeypatch.setattr(bpe, "SLICE_BYTES", size)
+        singly.clear()
+        runs = list(own.encoded(pa.array(["left out", *texts], pa.string()).slice(1)))
+        want = [reference.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [i for run in runs for i in run.ids().to_pylist()] == want
+        assert [n for run in runs for n in run.n_tokens().tolist()] == [len(i) for i in want]
+        assert [t for run in runs for t in run.ids_text().to_pylist()] == [",".join(map(str, i)) for i in want]
+        assert [t.decode() for run in runs for t in run.decoded().to_pylist()] == [t or "" for t in texts]
+    assert len(runs) == 1 and sum(len(w) <= bpe.LONG_WORD for w in singly) < 100
+
+
 PAGE = "<html><head><title>x</title></head><body><nav><a href=/>Home</a></nav>{}<footer>&copy; us</footer></body>"
 
 
