@@ -309,6 +309,40 @@ def test_numbers_come_in_the_runs_of_their_texts(monkeypatch):
     assert list(context_mixing.runs(ids[:0])) == []
 
 
+def test_tokens_are_cut_and_looked_up_together():
+    """Tokens of many texts are one Arrow array, cut as ``words`` cuts one text, and are numbered without Python objects."""
+    rng = random.Random(8)
+    own = context_mixing.Words([b"", b"a", "\u00e9".encode(), b"b"], [9, 5, 4, 1], 20, 5)
+    for _ in range(200):
+        found = ["".join(rng.choice("aAb\u00e9 \t\n\x0b\x0c\r\x1c\xa0\u00c4") for _ in range(rng.randrange(9))) for _ in range(rng.randrange(7))]
+        tokens, place = context_mixing.tokens_of(pa.array(["b A", *found], pa.string()).slice(1))
+        each = tokens.to_pylist()
+        assert [each[a:b] for a, b in zip(place, place[1:])] == [context_mixing.words(t) for t in found]
+        assert own.look_up(tokens).tolist() == [own.ids.get(w, own.unlisted) for w in each]
+
+
+def test_decisions_in_steps_are_those_of_the_whole_run(monkeypatch):
+    """Steps keep the contexts of the words before them; products of up to FACTORS probabilities give the same logarithm."""
+    rng = np.random.default_rng(2)
+    counts = [1 << (40 - k) for k in range(40)]  # paths of up to 40 decisions
+    own = context_mixing.Words([b"", *[b"w%d" % k for k in range(1, 40)]], counts, sum(counts), 40)
+    mixer = context_mixing.Mixer(
+        [rng.integers(0, 9, (own.width, 2)).astype(np.uint32)] + [rng.integers(0, 9, (1 << 20, 2)).astype(np.uint32)] * 2
+    )
+    mixer.settle()
+    ids, first = rng.integers(0, 41, 500), rng.random(500) < 0.1
+    first[0] = True
+    whole = own.decisions(ids, first)
+    assert whole[3].max() >= context_mixing.FACTORS
+    monkeypatch.setattr(context_mixing, "STEP_TOKENS", 7)
+    steps = list(own.steps(ids, first))
+    assert max(len(d[0]) for _, d in steps) < len(whole[0])
+    for k in range(1, 6):
+        assert np.concatenate([d[k] for _, d in steps]).tolist() == whole[k].tolist()
+    got = np.concatenate([mixer.token_log10(d, s.stop - s.start) for s, d in steps])
+    assert np.allclose(got, np.bincount(whole[0], weights=mixer.log10(whole), minlength=500), rtol=1e-12)
+
+
 def test_a_worker_gives_back_the_tokenizer_before_it_identifies():
     bpe._loaded.cache_clear()
     bpe._loaded(TOKENIZER)
