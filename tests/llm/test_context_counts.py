@@ -111,23 +111,39 @@ def test_a_hot_context_is_dealt_to_several_parts(spark, monkeypatch):
     assert sum(sizes) == 51 * len(rows) and max(sizes) < 0.3 * sum(sizes)
 
 
-def test_numbers_of_paths_are_sums_of_counts():
-    """At every depth of every word, the tokens below are those of all words whose path begins alike."""
+def test_odds_without_context_are_sums_of_counts():
+    """At every depth of every word, the log odds are of the tokens of all words whose path begins alike."""
     counts = sorted([60, 31, 30, 9, 9, 9, 5, 3, 3, 2, *[1] * 30], reverse=True)
     for head in (2, 7, len(counts)):
         own = context_mixing.Words([b"%d" % i for i in range(head)], counts[:head], sum(counts), len(counts))
         paths = context_counts.Paths(own, list(Counter(counts).items()), context_mixing.huffman)
         ids = np.arange(len(counts) + 1)
         assert paths.counts(ids).tolist() == [*counts, 0]
-        code, size = paths.codes(ids)
-        symbol = paths.symbols(ids)
-        bits = [tuple(int(c) >> (63 - d) & 1 for d in range(n)) for c, n in zip(code, size)]
+        bits = [tuple(int(c) >> (63 - d) & 1 for d in range(n)) for c, n in zip(*paths.codes(ids))]
         assert not any(a != b and a == b[: len(a)] for a in bits for b in bits) and len(set(bits)) == len(bits)
-        for depth in range(int(size.max()) + 1):
-            got = paths.totals(ids, symbol, depth)
+        below = lambda begin: sum(c for c, b in zip([*counts, 0], bits) if b[: len(begin)] == begin)
+        for less in (0, 1):
+            steps = [x.copy() for x in paths.odds(ids, less)]
+            assert len(steps) == max(map(len, bits))
             for i, mine in enumerate(bits):
-                if depth <= len(mine):
-                    assert got[i] == sum(c for c, b in zip([*counts, 0], bits) if b[:depth] == mine[:depth])
+                for depth in range(len(mine)):
+                    taken, all_ = below(mine[: depth + 1]), below(mine[:depth])
+                    want = math.log((max(taken - less, 0) + 0.4) / (all_ - taken + 0.4))
+                    assert math.isclose(steps[depth][i], want, rel_tol=1e-5, abs_tol=1e-6)
+
+
+def test_words_outside_of_the_head_are_told_by_the_words_before(spark, monkeypatch):
+    """Rare words that always come in one order: a text that keeps it is likelier than one of the same words that does not."""
+    monkeypatch.setattr(context_mixing, "HEAD", 2)
+    rng = random.Random(6)
+    kept = [i for i in range(400) if not held_out(i)]
+    pairs = [f"x{i} y{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.sample(pairs, 20))) for i in kept[:200]]
+    ordered, mixed = [i for i in range(400) if held_out(i)][:2]
+    rows += [(ordered, " ".join(pairs[:20])), (mixed, " ".join(f"x{i} y{(i + 1) % 20}" for i in range(20)))]
+    ship(spark)
+    scores = {r["doc_id"]: r["score"] for r in context_mixing.score_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert scores[ordered] > scores[mixed] + 20
 
 
 def test_blocks_come_back_as_they_were():
